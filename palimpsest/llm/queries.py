@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe
+from palimpsest.llm import bpe, chat, warc
 
-MODULES = [bpe]
+MODULES = [bpe, warc, chat]
 
 
 def queries() -> dict:
