@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, warc
+from palimpsest.llm import bpe, chat, decontam, warc
 
-MODULES = [bpe, warc, chat]
+MODULES = [bpe, warc, chat, decontam]
 
 
 def queries() -> dict:
