@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, decontam, warc
+from palimpsest.llm import bpe, chat, decontam, quality, warc
 
-MODULES = [bpe, warc, chat, decontam]
+MODULES = [bpe, warc, chat, decontam, quality]
 
 
 def queries() -> dict:
