@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import materialize
+
 #: Labelled rows that a classifier is fitted on at most; more are thinned by a hash of the id.
 MAX_TRAIN_ROWS = 200_000
 
@@ -16,12 +18,13 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     return (F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int = MAX_TRAIN_ROWS, distinct_texts: bool = False) -> DataFrame:
     """(doc_id, text, y) of labelled documents outside the held-out remainder.
 
     A document with several labels has their mean. At most about ``max_rows`` rows are
     used, chosen by a hash of the id, so the labels that are broadcast have a fixed
-    bound; texts are not shuffled.
+    bound; texts are not shuffled. ``distinct_texts`` keeps the smallest id of each
+    text, so that copies do not count as independent evidence.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
@@ -34,8 +37,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     if n > max_rows:
         share = int(2**32 * max_rows / n)
         known = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < share)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if distinct_texts:
+        hashed = rows.select("doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(known), "doc_id")
+        known = materialize(hashed.groupBy("h", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "y").groupBy("doc_id").agg(F.avg("y").alias("y")), "known")
     # bounded by max_rows rows of 16 bytes
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    return rows.join(F.broadcast(known), "doc_id")
 
 
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, decontam, quality, warc
+from palimpsest.llm import bpe, chat, decontam, quality, toxicity, warc
 
-MODULES = [bpe, warc, chat, decontam, quality]
+MODULES = [bpe, warc, chat, decontam, quality, toxicity]
 
 
 def queries() -> dict:
