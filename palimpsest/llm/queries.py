@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, decontam, quality, toxicity, warc
+from palimpsest.llm import bpe, chat, decontam, lmscore, quality, toxicity, warc
 
-MODULES = [bpe, warc, chat, decontam, quality, toxicity]
+MODULES = [bpe, warc, chat, decontam, lmscore, quality, toxicity]
 
 
 def queries() -> dict:
