@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,3 +104,20 @@ def _signature(edges: DataFrame) -> tuple:
         F.sum(F.shiftrightunsigned(half, 32)),
     ).first()
     return tuple(row)
+
+
+def bounded_slices(frame: pd.DataFrame, rows: int = 512, chars: int = 4_000_000, column: str = "text") -> Iterator[pd.DataFrame]:
+    """Consecutive parts of an Arrow batch with at most ``rows`` rows and about ``chars`` characters.
+
+    A single longer text is a part of its own, so memory follows the longest text and
+    not the length of a batch.
+    """
+    start, held = 0, 0
+    for i, text in enumerate(frame[column]):
+        size = len(text) if isinstance(text, str) else 0
+        if i > start and (i - start >= rows or held + size > chars):
+            yield frame.iloc[start:i]
+            start, held = i, 0
+        held += size
+    if len(frame) > start:
+        yield frame.iloc[start:]

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import bounded_slices, materialize
 from palimpsest.llm.wordhash import as_bytes, hash_words, mix
 
 #: Fixed masks over 13 tokens; nine count, four may differ. Any one or two changed
@@ -134,8 +134,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS) ->
         flags = np.frombuffer(zlib.decompress(shared.value), np.uint8)
         low = np.uint64((1 << bits) - 1)
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.iloc[start : start + 1024]
+            for part in bounded_slices(batch, rows=1024):
                 plain = [tokens(t) for t in part["text"]]
                 hashes, first = _hash(plain)
                 out: list[tuple] = []

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import bounded_slices, materialize
 from palimpsest.llm.labelled import MAX_TRAIN_ROWS, calibrated, id_remainder, isotonic, training_rows
 from palimpsest.llm.wordhash import as_bytes, hash_words
 
@@ -109,8 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Q
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.iloc[start : start + 1024]
+            for part in bounded_slices(batch, rows=1024):
                 yield pd.DataFrame({"y": part["y"], "fold": part["fold"], "x": list(statistics(part["text"].tolist()))})
 
     rows = training_rows(docs, labels, "quality", MODULUS, HELD_OUT, max_rows).withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int"))

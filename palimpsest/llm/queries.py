@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, decontam, lmscore, neardup_vectors, quality, toxicity, warc
+from palimpsest.llm import bpe, chat, decontam, lmscore, neardup_texts, neardup_vectors, quality, toxicity, warc
 
-MODULES = [bpe, warc, chat, decontam, lmscore, neardup_vectors, quality, toxicity]
+MODULES = [bpe, warc, chat, decontam, lmscore, neardup_texts, neardup_vectors, quality, toxicity]
 
 
 def queries() -> dict:
