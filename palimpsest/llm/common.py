@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -121,3 +122,9 @@ def bounded_slices(frame: pd.DataFrame, rows: int = 512, chars: int = 4_000_000,
         held += size
     if len(frame) > start:
         yield frame.iloc[start:]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished work whose frames are gone."""
+    gc.collect()
+    spark._jvm.System.gc()
