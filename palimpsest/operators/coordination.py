@@ -17,9 +17,9 @@ def classify_insert(arriving: DataFrame, stored: DataFrame) -> DataFrame:
 
 def insert_only(arriving: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows to append; a collision fails the write."""
-    new = classify_insert(arriving, stored)
-    guard = F.assert_true(F.col("outcome") != "collision", "an id is stored with other content")
-    return new.filter(guard.isNull()).filter("outcome = 'insert'").select("id", "content_hash")
+    refused = F.raise_error(F.lit("an id is stored with other content")).cast("string")
+    checked = F.when(F.col("outcome") == "collision", refused).otherwise(F.col("outcome"))
+    return classify_insert(arriving, stored).filter(checked == "insert").select("id", "content_hash")
 
 
 def latest_version(rows: DataFrame, key: str, version: str = "version") -> DataFrame:
