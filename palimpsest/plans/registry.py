@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from palimpsest.plans import coordination, filters, joins, retrieval, text, timelines, trees  # noqa: E402, F401
+from palimpsest.plans import control, coordination, filters, joins, retrieval, text, timelines, trees  # noqa: E402, F401
