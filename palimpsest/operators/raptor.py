@@ -93,9 +93,11 @@ def token_partition(items: list[tuple[str, int]], budget: int) -> list[list[str]
     return groups + [now] if now else groups
 
 
-def cluster_groups(vectors: DataFrame, group: str, components: int = 8, most: int = 6, seed: str = "tree", threshold: float = 0.1, max_group: int = 2048) -> DataFrame:
+def cluster_groups(vectors: DataFrame, group: str, components: int = 8, most: int = 6, seed: str = "tree", threshold: float = 0.1, max_group: int = 2048, budget: int | None = None) -> DataFrame:
     """Soft clusters within each group: (group, cluster, member, tokens).
 
+    A cluster over the token budget is split into runs of ids that keep it.
+
     A group larger than ``max_group`` is split by a hash of the id first, so a task holds
     a bounded number of vectors.
     """
@@ -106,21 +108,32 @@ def cluster_groups(vectors: DataFrame, group: str, components: int = 8, most: in
         rows = rows.sort_values("id")
         x = reduce_dimensions(np.stack(rows["vector"].to_numpy()).astype(float), components)
         found = soft_clusters(best_mixture(x, most, f"{seed}:{key[0]}:{key[1]}")["shares"], threshold)
-        ids, tokens = rows["id"].tolist(), rows["tokens"].tolist()
-        out = [(key[0], sha256_hex(canonical_json({"level": 1, "leafIds": sorted(ids[i] for i in c), "seed": seed})), ids[i], tokens[i]) for c in found for i in c]
+        size = dict(zip(rows["id"], rows["tokens"].astype(int), strict=True))
+        ids = rows["id"].tolist()
+        groups = [[ids[i] for i in c] for c in found]
+        if budget is not None:
+            groups = [part for g in groups for part in ([g] if sum(size[m] for m in g) <= budget else token_partition([(m, size[m]) for m in g], budget))]
+        groups = sorted({tuple(sorted(g)) for g in groups})
+        out = [(key[0], sha256_hex(canonical_json({"leafIds": list(g), "seed": seed})), m, size[m]) for g in groups for m in g]
         return pd.DataFrame(out, columns=["grp", "cluster", "member", "tokens"])
 
     return split.groupBy(group, "part").applyInPandas(run, "grp long, cluster string, member string, tokens long")
 
 
-def build_tree(vectors: DataFrame, budget: int, max_levels: int = 10, **options) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, level, tokens) and edges (parent, child, level), each edge one level up."""
+def build_tree(vectors: DataFrame, budget: int, max_levels: int = 10, seed: str = "tree", **options) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, level, tokens) and edges (parent, child, level), each edge one level up.
+
+    Ends when each group has at most two nodes, when a level no longer shrinks, or when
+    the two smallest nodes of every group exceed the budget together.
+    """
+    last = None
     spark = vectors.sparkSession
     nodes = vectors.select("id", F.lit(0).alias("level"), "tokens")
     edges = spark.createDataFrame([], "parent string, child string, level int")
     now = vectors.select(F.col("grp"), "id", "vector", "tokens")
     for level in range(1, max_levels + 1):
-        linked = cluster_groups(now, "grp", **options).checkpoint() if spark.sparkContext.getCheckpointDir() else cluster_groups(now, "grp", **options).cache()
+        clustered = cluster_groups(now, "grp", seed=f"{seed}:{level}", budget=budget, **options)
+        linked = clustered.checkpoint() if spark.sparkContext.getCheckpointDir() else clustered.cache()
         joined = linked.join(now.select(F.col("id").alias("member"), "vector"), "member")
         means = joined.select("grp", "cluster", "member", "tokens", F.posexplode("vector").alias("place", "x")).groupBy("grp", "cluster", "place").agg(F.avg("x").alias("x"))
         up = means.groupBy("grp", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("vector"))
@@ -128,9 +141,11 @@ def build_tree(vectors: DataFrame, budget: int, max_levels: int = 10, **options)
         nxt = up.join(sums, ["grp", "cluster"]).select("grp", F.col("cluster").alias("id"), "vector", "tokens", "n")
         edges = edges.unionByName(linked.select(F.col("cluster").alias("parent"), F.col("member").alias("child"), F.lit(level).alias("level")))
         nodes = nodes.unionByName(nxt.select("id", F.lit(level).alias("level"), "tokens"))
-        counts = nxt.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max("tokens").alias("t")).agg(F.max("n"), F.max("t")).first()
-        if not counts[0] or counts[0] <= 2:
+        smallest = F.slice(F.array_sort(F.collect_list("tokens")), 1, 2)
+        most, total, pair = nxt.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.aggregate(smallest, F.lit(0).cast("long"), lambda s, x: s + x).alias("pair")).agg(F.max("n"), F.sum("n"), F.min("pair")).first()
+        if not most or most <= 2 or pair > budget or (last is not None and total >= last):
             break
+        last = total
         now = nxt.select("grp", "id", "vector", "tokens")
     return nodes, edges
 

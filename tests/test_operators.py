@@ -93,6 +93,11 @@ def test_tree_edges_are_one_level_apart(spark):
     level = {r.id: r.level for r in nodes.collect()}
     found = edges.collect()
     assert found and all(level[r.parent] == level[r.child] + 1 for r in found)
+    sums = {}
+    for r in found:
+        if r.level == 1:
+            sums[r.parent] = sums.get(r.parent, 0) + 10
+    assert max(sums.values()) <= 100
     reached = {r.child for r in found}
     assert all(r[1] in reached for r in rows)
 
