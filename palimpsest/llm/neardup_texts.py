@@ -31,6 +31,8 @@ BAND = 5
 MARGIN = 0.17
 #: Least similarity of a link, in hundredths.
 THRESHOLD = 85
+#: Documents compared in one block, and shingles counted at a time.
+BLOCK, COLUMNS = 512, 8192
 #: Ids that may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -154,12 +156,17 @@ def _hopeful(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     return joined.mapInPandas(estimate, "id long, th long, hid long, hth long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Edges (a, b) of the pairs whose full sets are similar enough."""
-    needed = materialize(pairs.select("id", "th").unionByName(pairs.select(F.col("hid").alias("id"), F.col("hth").alias("th"))).distinct(), "needed")
+def _texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, th, text) of the wanted documents, once each."""
+    needed = materialize(wanted, "needed")
     small = needed.count() <= MAX_BROADCAST_IDS
     found = _texts(docs).withColumnRenamed("doc_id", "id").join(F.broadcast(needed) if small else needed, ["id", "th"])
-    texts = materialize(found, "texts")
+    return materialize(found.dropDuplicates(["id", "th"]), "texts")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Edges (a, b) of the pairs whose full sets are similar enough."""
+    texts = _texts_of(pairs.select("id", "th").unionByName(pairs.select(F.col("hid").alias("id"), F.col("hth").alias("th"))).distinct(), docs)
     other = texts.select(F.col("id").alias("hid"), F.col("th").alias("hth"), F.col("text").alias("htext"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,6 +188,99 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return materialize(joined.mapInPandas(compare, "a long, b long").distinct(), "edges")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows sorted by block: a bucket, or two parts of one that is larger than a block."""
+    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK), "crowded")
+    parts = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(BLOCK)).cast("int")
+    part = F.pmod(F.xxhash64("id", "th"), F.col("_parts")).cast("int")
+    split = rows.join(sizes, "key", "left").withColumn("_parts", parts).withColumn("part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    blocks = split.withColumns({"lo": F.least("part", "_other"), "hi": F.greatest("part", "_other")}).drop("_n", "_parts", "_other")
+    return blocks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def _by_block(batches: Iterator[pd.DataFrame], work) -> Iterator[pd.DataFrame]:
+    """``work`` on each block of sorted batches; a block is held until the next begins."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        key = rows[["key", "lo", "hi"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        out = [found for a, b in zip(starts, starts[1:], strict=False) if b - a > 1 and len(found := work(rows.iloc[a:b]))]
+        if out:
+            yield pd.concat(out)
+        held = rows.iloc[starts[-1] :]
+    if held is not None and len(held) > 1 and len(found := work(held)):
+        yield found
+
+
+def _across(block: pd.DataFrame) -> np.ndarray:
+    """Which pairs of a block are its own: all of them, or those across its two parts."""
+    part = block["part"].to_numpy()
+    if block["lo"].iloc[0] == block["hi"].iloc[0]:
+        return np.triu(np.ones((len(part), len(part)), bool), 1)
+    return np.triu(part[:, None] != part[None, :], 1)
+
+
+def _hopeful_rows(block: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Rows with a partner of another group that the registers do not rule out, in the
+    first band that the two share."""
+    regs = np.frombuffer(b"".join(block["regs"]), "<u2").reshape(len(block), -1)
+    n, c, band = block["n"].to_numpy(), block["c"].to_numpy(), int(block["band"].iloc[0])
+    i, j = np.nonzero(_across(block) & (c[:, None] != c[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])))
+    active = np.zeros(len(block), bool)
+    for at in range(0, len(i), 4096):
+        a, b = i[at : at + 4096], j[at : at + 4096]
+        same = regs[a] == regs[b]
+        earlier = same[:, : BAND * band].reshape(len(a), band, BAND).all(2).any(1) if band else np.zeros(len(a), bool)
+        use = ~earlier & (same.mean(1) >= threshold / 100 - MARGIN - 0.1)
+        a, b = a[use], b[use]
+        if len(a):
+            near = likely_similarity(n[a], n[b], regs[a], regs[b]) >= threshold / 100 - MARGIN
+            active[a[near]] = active[b[near]] = True
+    return block.loc[active, ["key", "id", "th"]]
+
+
+def _linked_rows(block: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """A star of ids for each group of a block whose full sets are similar enough."""
+    text, found = shingles(hash_words(block["text"], lower=True))
+    n = np.bincount(text, minlength=len(block))
+    column, times = np.unique(found, return_inverse=True, return_counts=True)[1:]
+    # a shingle of one document is in no intersection
+    use = times[column] > 1
+    text, column = text[use], np.unique(column[use], return_inverse=True)[1]
+    both = np.zeros((len(block), len(block)), np.int64)
+    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        here = (column >= low) & (column < low + COLUMNS)
+        marks = np.zeros((len(block), COLUMNS), np.float32)
+        marks[text[here], column[here] - low] = 1
+        both += (marks @ marks.T).astype(np.int64)
+    near = _across(block) & (100 * both >= threshold * (n[:, None] + n[None, :] - both))
+    near |= near.T
+    ids, waiting, stars = block["id"].to_numpy(), near.any(1), []
+    for i in np.flatnonzero(waiting):
+        if waiting[i]:
+            members = frontier = np.asarray([i])
+            waiting[i] = False
+            while len(frontier):
+                frontier = np.flatnonzero(near[frontier].any(0) & waiting)
+                waiting[frontier] = False
+                members = np.concatenate([members, frontier])
+            root = ids[members].min()
+            stars += [(m, root) for m in ids[members] if m != root]
+    return pd.DataFrame(stars, columns=["a", "b"], dtype="int64")
+
+
+def _compared(rows: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Edges within buckets that hold several groups: registers pick rows, full sets link them."""
+    hopeful = _dealt(rows).mapInPandas(lambda it: _by_block(it, lambda b: _hopeful_rows(b, threshold)), "key long, id long, th long")
+    active = materialize(hopeful.distinct(), "active")
+    texts = _texts_of(active.select("id", "th").distinct(), docs)
+    blocks = _dealt(active.join(texts, ["id", "th"]))
+    return materialize(blocks.mapInPandas(lambda it: _by_block(it, lambda b: _linked_rows(b, threshold)), "a long, b long").distinct(), "edges")
+
+
 def group_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Set size and group of each document.
 
@@ -195,8 +295,9 @@ def group_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFr
 
     Equal word sequences are grouped first and only the smallest id of each goes on. In
     a band, each document is first held against the smallest of its bucket; after that
-    only pairs that are still in different groups are left, so a large group costs a
-    comparison for each member, not for each pair. Nothing is dropped for size.
+    only buckets that hold several groups are left, and these are compared in blocks
+    whose tasks return a tree of links for each group, so no pairs are written out.
+    Nothing is dropped for size.
     """
     sketched = materialize(sketch_documents(docs), "sketches")
     usable = sketched.filter("n > 0 AND doc_id IS NOT NULL")
@@ -204,20 +305,17 @@ def group_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFr
     copies = usable.join(reps.select("f1", "f2", F.col("id").alias("rep")), ["f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     sketches = reps.select("id", "th", "n", "regs")
     keys = [F.expr(f"xxhash64({i}, substring(regs, {2 * BAND * i + 1}, {2 * BAND}))") for i in range(REGISTERS // BAND)]
-    bands = reps.select("id", "th", F.explode(F.array(*keys)).alias("key"))
+    bands = reps.select("id", "th", F.posexplode(F.array(*keys)).alias("band", "key"))
     hubs = materialize(bands.groupBy("key").agg(F.min(F.struct("id", "th")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("hub.id").alias("hid"), F.col("hub.th").alias("hth")), "hubs")
     crowd = materialize(bands.join(hubs, "key"), "crowd")
     first = materialize(crowd.filter("id <> hid").groupBy("id", "th").agg(F.min(F.struct("hid", "hth")).alias("h")).select("id", "th", "h.hid", "h.hth"), "first")
     tried = materialize(_hopeful(first, sketches, threshold), "hopeful")
     edges = _confirmed(tried, docs, threshold)
     grouped = connected_components(edges)
-    placed = crowd.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "th", F.coalesce("component", "id").alias("c"))
+    placed = crowd.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "th", F.coalesce("component", "id").alias("c"))
     mixed = materialize(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "mixed")
-    left = materialize(placed.join(mixed, "key"), "left")
-    right = left.select("key", F.col("id").alias("hid"), F.col("th").alias("hth"), F.col("c").alias("hc"))
-    rest = left.join(right, "key").filter("c <> hc AND hid < id").select("id", "th", "hid", "hth").distinct()
-    untried = materialize(_hopeful(rest.join(first, ["id", "th", "hid", "hth"], "left_anti"), sketches, threshold), "hopeful")
-    links = edges.unionByName(_confirmed(untried, docs, threshold)).unionByName(copies)
+    left = materialize(placed.join(mixed, "key").join(sketches, ["id", "th"]), "left")
+    links = edges.unionByName(_compared(left, docs, threshold)).unionByName(copies)
     joined = connected_components(links)
     return sketched.join(joined, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id",

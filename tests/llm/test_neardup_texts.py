@@ -83,6 +83,14 @@ def test_large_group_and_bridge(spark):
     assert got(spark, table) == brute(table)
 
 
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(nt, "BLOCK", 7)
+    base = text(200)
+    # most pairs are near the threshold, on both sides of it
+    table = [(i, edited(base, RNG.randint(2, 6))) for i in range(70)]
+    assert got(spark, table) == brute(table)
+
+
 def test_registers_merge_and_estimate():
     a, b = text(900).split(), text(300).split()
     whole, left, right = (nt.shingles(hash_words([" ".join(x)])) for x in (a + b, a + b[:4], a[-4:] + b))
