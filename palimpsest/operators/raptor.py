@@ -104,7 +104,7 @@ def cluster_groups(vectors: DataFrame, group: str, components: int = 8, most: in
     sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / max_group).alias("parts"))
     split = vectors.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         x = reduce_dimensions(np.stack(rows["vector"].to_numpy()).astype(float), components)
         found = soft_clusters(best_mixture(x, most, f"{seed}:{key[0]}:{key[1]}")["shares"], threshold)
