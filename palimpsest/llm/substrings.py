@@ -1,10 +1,11 @@
 """Substring deduplication with repeated-phrase automata.
 
-A window is 13 consecutive words. Among the six-word grams of a window the smallest hash
-is its anchor, the same wherever the window occurs, and neighbouring windows mostly share
-one. Anchors that occur in one document only rule their windows out; a bitmap of the
-others picks the passages that may recur. These are dealt by anchor into shards; a shard
-confirms which windows recur across documents, compiles them into an Aho-Corasick
+A window is 13 consecutive words. Among the grams of a window the smallest hash is its
+anchor, the same wherever the window occurs, and neighbouring windows mostly share one.
+Anchors of six-word grams that occur in one document only rule their windows out, and of
+the windows left, those in one document only; a bitmap for each keeps what may recur.
+Runs of such windows are passages, dealt by anchors of three-word grams into shards; a
+shard confirms which windows recur across documents, compiles them into an Aho-Corasick
 automaton over words, and streams its passages through it to find every occurrence.
 """
 
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import bounded_slices, discard, materialize, release
 from palimpsest.llm.wordhash import Words, as_bytes, gram_hashes, hash_words, mix, sliding
 
-WINDOW, GRAM = 13, 6
+WINDOW, GRAM, ROUTE_GRAM = 13, 6, 3
 #: Windows of a passage at most; a longer run with one anchor is several passages.
 MAX_PASSAGE = 64
-#: Bits of the broadcast bitmap of anchors: 16 for each anchor, 64 MiB at most. Where it
-#: fills up, more passages are dealt; the result does not change.
+#: Bits of the two broadcast bitmaps: 16 for each anchor, 64 MiB at most. Where they
+#: fill up, more passages are dealt; the result does not change.
 MIN_BITS, MAX_BITS, PART_BITS = 20, 29, 20
 #: Passages that one automaton is compiled from, about; more of one anchor than
 #: HEAVY are dealt window by window instead.
@@ -39,27 +40,46 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 
 
-def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
+def anchors(words: Words, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(place, anchor) of each window; places count through the batch."""
     text = words.text_of_word()
     if len(text) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = sliding(gram_hashes(words.hashes, GRAM), WINDOW - GRAM + 1)
+    least = sliding(gram_hashes(words.hashes, gram), WINDOW - gram + 1)
     inside = np.flatnonzero(text[: len(least)] == text[WINDOW - 1 :])
     return inside, least[inside]
 
 
+def _candidates(words: Words, flags: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, window hash) of the windows whose anchors may recur."""
+    place, anchor = anchors(words)
+    place = place[_marked(flags, anchor, bits)]
+    return place, gram_hashes(words.hashes, WINDOW)[place] if len(place) else np.zeros(0, np.uint64)
+
+
+def _marked(flags: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    slot = _slot(hashes, bits)
+    return (flags[slot >> 3] & (np.uint8(128) >> (slot & 7).astype(np.uint8))) > 0
+
+
+def _unpacked(shared) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(shared.value), np.uint8)
+
+
 def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def recurring_anchors(docs: DataFrame, bits: int) -> bytes:
-    """A compressed bitmap of the slots whose anchors occur in two documents or more."""
-    one = np.uint64(1)
+def recurring(docs: DataFrame, bits: int, among: bytes | None = None) -> bytes:
+    """A compressed bitmap of the slots whose hashes occur in two documents or more.
+
+    The hashes are anchors, or, given the bitmap of anchors, windows that it lets pass.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(among) if among is not None else None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
-        size = 0
+        size, flags = 0, _unpacked(shared) if shared else None
 
         def flush() -> Iterator[pd.DataFrame]:
             if any(len(h) for h in held):
@@ -73,12 +93,11 @@ def recurring_anchors(docs: DataFrame, bits: int) -> bytes:
         for batch in batches:
             for part in bounded_slices(batch, rows=1024):
                 words = hash_words(part["text"])
-                place, anchor = anchors(words)
+                place, found = anchors(words) if flags is None else _candidates(words, flags, bits)
                 doc = np.searchsorted(words.first, place, "right") - 1
                 # equal ids are one document; an order of its own for each row would count them twice
                 name = pd.factorize(part["o"].to_numpy())[0][doc].astype(np.uint64)
-                slot = _slot(anchor, bits).astype(np.uint64)
-                pairs = np.unique((slot << np.uint64(24)) | (name * one))
+                pairs = np.unique((_slot(found, bits).astype(np.uint64) << np.uint64(24)) | name)
                 held.append((pairs >> np.uint64(24)).astype(np.int64))
                 size += len(pairs)
                 if size > 4_000_000:
@@ -109,22 +128,22 @@ def recurring_anchors(docs: DataFrame, bits: int) -> bytes:
 PASSAGE_SCHEMA = "kind int, route long, key long, o long, fp long, hi long, start int, text binary"
 
 
-def passages(docs: DataFrame, bitmap: bytes, bits: int) -> DataFrame:
-    """Passages whose anchors may recur (kind 0, once a slice, with smallest and largest
-    document) and their occurrences (kind 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def passages(docs: DataFrame, of_anchors: bytes, of_windows: bytes, bits: int) -> DataFrame:
+    """Runs of windows that may recur and share an anchor (kind 0, once a slice, with
+    smallest and largest document) and their occurrences (kind 1)."""
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in (of_anchors, of_windows)]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        flags, window_flags = map(_unpacked, shared)
         for batch in batches:
             for part in bounded_slices(batch, rows=1024):
                 words = hash_words(part["text"])
-                place, anchor = anchors(words)
-                slot = _slot(anchor, bits)
-                maybe = (flags[slot >> 3] & (np.uint8(128) >> (slot & 7).astype(np.uint8))) > 0
-                place, anchor = place[maybe], anchor[maybe]
+                place, window = _candidates(words, flags, bits)
+                maybe = _marked(window_flags, window, bits)
+                place, window = place[maybe], window[maybe]
                 if not len(place):
                     continue
+                anchor = sliding(gram_hashes(words.hashes, ROUTE_GRAM), WINDOW - ROUTE_GRAM + 1)[place]
                 doc = np.searchsorted(words.first, place, "right") - 1
                 fresh = np.ones(len(place), bool)
                 fresh[1:] = (place[1:] != place[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
@@ -133,7 +152,7 @@ def passages(docs: DataFrame, bitmap: bytes, bits: int) -> DataFrame:
                 fresh |= (np.arange(len(place)) - begin) % MAX_PASSAGE == 0
                 run = np.flatnonzero(fresh)
                 n = np.diff(np.append(run, len(place)))
-                key = _passage_keys(gram_hashes(words.hashes, WINDOW)[place], run, n)
+                key = _passage_keys(window, run, n)
                 order, fingerprint = part["o"].to_numpy(), part["fp"].to_numpy()
                 d = doc[run]
                 start = place[run] - words.first[d]
@@ -189,8 +208,14 @@ def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _shard(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    rows = rows.groupby(["key", "shift"], sort=False, as_index=False).agg(o=("o", "min"), hi=("hi", "max"), text=("text", "first"))
-    words = hash_words(t.decode("utf-8", "surrogatepass") for t in rows["text"])
+    # one row of each passage, with the smallest and the largest document of all its slices
+    name = rows["key"].to_numpy().view(np.uint64) + rows["shift"].to_numpy().astype(np.uint64) * _STEP
+    once, row, of = np.unique(name, return_index=True, return_inverse=True)
+    smallest, largest = np.full(len(once), NO_ID), np.full(len(once), -NO_ID)
+    np.minimum.at(smallest, of, rows["o"].to_numpy())
+    np.maximum.at(largest, of, rows["hi"].to_numpy())
+    rows = rows.iloc[row].assign(o=smallest, hi=largest)
+    words = hash_words(rows["text"])
     first, n = words.first, words.counts() - WINDOW + 1
     # words become characters, so that the automaton steps from word to word
     code = np.unique(words.hashes, return_inverse=True)[1] + 1
@@ -228,7 +253,7 @@ def _by_window(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, o, hi, text in batch[["key", "o", "hi", "text"]].itertuples(index=False):
             split = text.split()
-            windows = gram_hashes(hash_words([text.decode("utf-8", "surrogatepass")]).hashes, WINDOW).view(np.int64)
+            windows = gram_hashes(hash_words([text]).hashes, WINDOW).view(np.int64)
             rows += [(w, key, k, o, hi, b" ".join(split[k : k + WINDOW])) for k, w in enumerate(windows)]
         if rows:
             yield pd.DataFrame(rows, columns=["route", "key", "shift", "o", "hi", "text"])
@@ -252,7 +277,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     rows = _rows(docs).select("o", "fp", "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(16 * chars / 26 + 1)))))
-    found = materialize(passages(rows, recurring_anchors(rows, bits), bits), "passages")
+    of_anchors = recurring(rows, bits)
+    of_windows = recurring(rows, bits, of_anchors)
+    found = materialize(passages(rows, of_anchors, of_windows, bits), "passages")
     wide = ["route", "key", "shift", "o", "hi", "text"]
     schema = "route long, key long, shift int, o long, hi long, text binary"
     distinct = found.filter("kind = 0")

@@ -76,8 +76,8 @@ class Words:
 
 
 def as_bytes(text, lower: bool = False) -> bytes:
-    """UTF-8 bytes; a null is empty; ``lower`` folds A-Z only."""
-    data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+    """UTF-8 bytes of a string, or bytes as they are; a null is empty; ``lower`` folds A-Z only."""
+    data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text if isinstance(text, bytes) else b""
     return data.lower() if lower else data
 
 
@@ -93,7 +93,7 @@ def _slices(data: bytes) -> Iterator[bytes]:
 
 
 def hash_words(texts: Iterable, lower: bool = False) -> Words:
-    """Word hashes of texts (strings or nulls). Texts are joined into slices of bounded size."""
+    """Word hashes of texts (strings, bytes or nulls). Texts are joined into slices of bounded size."""
     hashes, counts, held, sizes, room = [], [], [], [], 0
 
     def flush() -> None:
