@@ -19,10 +19,10 @@ def s14_bootstrap(spark, sf_dir):
     return op.bootstrap(spark, owners).select("owner_host", "version", "state")
 
 
-@query("st11_transitions", "SELECT 'pi' AS owner_host, CAST(6 AS BIGINT) AS version, CAST(NULL AS VARCHAR) AS active_generation, CAST(2 AS BIGINT) AS policy_epoch, CAST(1 AS BIGINT) AS privacy_epoch, 'active' AS state, 'a,b' AS revoked")
+@query("st11_transitions", "SELECT 'alpha' AS owner_host, CAST(6 AS BIGINT) AS version, CAST(NULL AS VARCHAR) AS active_generation, CAST(2 AS BIGINT) AS policy_epoch, CAST(1 AS BIGINT) AS privacy_epoch, 'active' AS state, 'a,b' AS revoked")
 def st11_transitions(spark, sf_dir):
     """ST11, AD3, C7: publish, drain, activate, revoke twice (once too late) and forget."""
-    row = op.bootstrap(spark, ["pi"])
+    row = op.bootstrap(spark, ["alpha"])
     row = op.publish(row, 0, None, "g1")
     row = op.activate(op.drain(row, 1), 2, pending=0)
     row = op.revoke(op.revoke(row, 3, ["b", "a"]), 3, ["late"])

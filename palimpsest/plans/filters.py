@@ -15,24 +15,24 @@ from palimpsest.sources.records import BASE_MS, DAY_MS, EPISODES, NOW_MS, OBSERV
 @query("f1_episode_lane", with_(EPISODES) + f"SELECT id, event_at FROM episodes WHERE {GUARD} AND project_id = 'p2' AND event_at >= {BASE_MS} AND event_at <= {BASE_MS + 2 * DAY_MS}")
 def f1_episode_lane(spark, sf_dir):
     """the episode lane's mandatory filter with a time window."""
-    keep = op.lane_filter("episodes", "pi", "p2", 1, NOW_MS, SKEW_MS, after=BASE_MS, before=BASE_MS + 2 * DAY_MS)
+    keep = op.lane_filter("episodes", "alpha", "p2", 1, NOW_MS, SKEW_MS, after=BASE_MS, before=BASE_MS + 2 * DAY_MS)
     return rec.episodes(spark, sf_dir).filter(keep).select("id", "event_at")
 
 
 @query("f2_historical_lanes", with_(OBSERVATIONS) + "SELECT id, scope FROM observations WHERE policy_epoch = 1 AND (scope = 'global' OR (scope = 'project' AND project_id = 'p1'))")
 def f2_historical_lanes(spark, sf_dir):
     """The historical lane of one project, and the global one."""
-    obs = rec.observations(spark, sf_dir).withColumns({"owner_host": F.lit("pi"), "status": F.lit("active"), "secret_scan": F.lit("passed"), "privacy_epoch": F.lit(1), "expires_at": F.lit(None).cast("long")})
-    own = obs.filter(op.lane_filter("historical", "pi", "p1", 1, NOW_MS, SKEW_MS))
-    everywhere = obs.filter(op.lane_filter("historical", "pi", "p1", 1, NOW_MS, SKEW_MS, is_global=True))
+    obs = rec.observations(spark, sf_dir).withColumns({"owner_host": F.lit("alpha"), "status": F.lit("active"), "secret_scan": F.lit("passed"), "privacy_epoch": F.lit(1), "expires_at": F.lit(None).cast("long")})
+    own = obs.filter(op.lane_filter("historical", "alpha", "p1", 1, NOW_MS, SKEW_MS))
+    everywhere = obs.filter(op.lane_filter("historical", "alpha", "p1", 1, NOW_MS, SKEW_MS, is_global=True))
     return own.unionByName(everywhere).select("id", "scope")
 
 
 @query("f4_raptor_lane", "SELECT o_orderkey AS id FROM orders WHERE o_custkey % 4 IN (1, 2) AND o_orderkey % 3 = 1")
 def f4_raptor_lane(spark, sf_dir):
     """summaries of the active generation that cover the project."""
-    summaries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.concat(F.lit("p"), F.col("o_custkey") % 4), F.concat(F.lit("p"), (F.col("o_custkey") + 3) % 4)).alias("covered_projects"), F.concat(F.lit("g"), F.col("o_orderkey") % 3).alias("generation_id"), F.lit("pi").alias("owner_host"), F.lit("active").alias("status"), F.lit("passed").alias("secret_scan"), F.lit(1).alias("privacy_epoch"), F.lit(1).alias("policy_epoch"), F.lit(None).cast("long").alias("expires_at"))
-    return summaries.filter(op.lane_filter("raptor", "pi", "p1", 1, NOW_MS, SKEW_MS, generation="g1")).select("id")
+    summaries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.concat(F.lit("p"), F.col("o_custkey") % 4), F.concat(F.lit("p"), (F.col("o_custkey") + 3) % 4)).alias("covered_projects"), F.concat(F.lit("g"), F.col("o_orderkey") % 3).alias("generation_id"), F.lit("alpha").alias("owner_host"), F.lit("active").alias("status"), F.lit("passed").alias("secret_scan"), F.lit(1).alias("privacy_epoch"), F.lit(1).alias("policy_epoch"), F.lit(None).cast("long").alias("expires_at"))
+    return summaries.filter(op.lane_filter("raptor", "alpha", "p1", 1, NOW_MS, SKEW_MS, generation="g1")).select("id")
 
 
 @query("f7_predicate_tree", with_(EPISODES) + f"SELECT id FROM episodes WHERE event_kind IN ('user', 'assistant') AND event_at > {BASE_MS + 1000} AND coalesce(project_id, '') <> 'p3' AND (tool_name = 'tool1' OR expires_at IS NULL)")

@@ -11,7 +11,7 @@ from palimpsest.sources import records as rec
 from palimpsest.sources.records import EPISODES, NOW_MS, OBSERVATIONS, SKEW_MS, table, with_
 
 TERMS = ["the", "re"]
-GUARD = f"owner_host = 'pi' AND status = 'active' AND secret_scan = 'passed' AND privacy_epoch = 1 AND (expires_at IS NULL OR expires_at > {NOW_MS + SKEW_MS})"
+GUARD = f"owner_host = 'alpha' AND status = 'active' AND secret_scan = 'passed' AND privacy_epoch = 1 AND (expires_at IS NULL OR expires_at > {NOW_MS + SKEW_MS})"
 
 
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -108,7 +108,7 @@ def f11_min_score(spark, sf_dir):
 @query("s9_count", with_(EPISODES) + f"SELECT count(*) AS n FROM episodes WHERE {GUARD}")
 def s9_count(spark, sf_dir):
     """Exact count under the read guard."""
-    return rec.episodes(spark, sf_dir).filter(op.read_guard("pi", 1, NOW_MS, SKEW_MS)).agg(F.count(F.lit(1)).alias("n"))
+    return rec.episodes(spark, sf_dir).filter(op.read_guard("alpha", 1, NOW_MS, SKEW_MS)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s10_collection_info", "SELECT count(*) AS n, CAST(min(len(embedding)) AS BIGINT) AS least_dimension, CAST(max(len(embedding)) AS BIGINT) AS dimension FROM embeddings")

@@ -65,7 +65,7 @@ def load_config(text: str = "{}", env: Mapping[str, str] | None = None, host: st
     return nested(flat)
 
 
-def detect_host(marker: str | None, argv: list[str], known: tuple[str, ...] = ("pi", "prime")) -> str:
+def detect_host(marker: str | None, argv: list[str], known: tuple[str, ...] = ("alpha", "beta")) -> str:
     """The host by its marker, else by the program's name, else the first known."""
     if marker is not None:
         if marker not in known:

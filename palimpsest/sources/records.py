@@ -32,7 +32,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("turn") * 65_536).alias("session_sequence"),
         F.col("role").alias("event_kind"),
         "text",
-        F.when(F.col("conv_id") % 7 == 0, "prime").otherwise("pi").alias("owner_host"),
+        F.when(F.col("conv_id") % 7 == 0, "beta").otherwise("alpha").alias("owner_host"),
         F.when(F.col("conv_id") % 11 != 0, F.concat(F.lit("p"), F.col("conv_id") % 5)).alias("project_id"),
         F.when(F.col("turn") % 13 == 5, "deleted").otherwise("active").alias("status"),
         F.when(F.col("conv_id") % 17 == 3, "rejected").otherwise("passed").alias("secret_scan"),
@@ -48,7 +48,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 EPISODES = f"""
 episodes AS (
   SELECT 'ep-' || conv_id || '-' || turn AS id, 's' || conv_id AS session_id, conv_id, turn, turn * 65536 AS session_sequence,
-    role AS event_kind, text, CASE WHEN conv_id % 7 = 0 THEN 'prime' ELSE 'pi' END AS owner_host,
+    role AS event_kind, text, CASE WHEN conv_id % 7 = 0 THEN 'beta' ELSE 'alpha' END AS owner_host,
     CASE WHEN conv_id % 11 <> 0 THEN 'p' || (conv_id % 5) END AS project_id,
     CASE WHEN turn % 13 = 5 THEN 'deleted' ELSE 'active' END AS status,
     CASE WHEN conv_id % 17 = 3 THEN 'rejected' ELSE 'passed' END AS secret_scan,
@@ -100,7 +100,7 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     return s.select(
         F.concat(F.lit("pol"), F.col("s_suppkey") - 1).alias("policy_id"),
-        F.lit("pi").alias("owner_host"),
+        F.lit("alpha").alias("owner_host"),
         F.when(F.col("s_suppkey") % 5 == 0, "local").otherwise("eu").alias("residency"),
         F.lit("memory").alias("data_use"),
         F.concat(F.lit("store"), F.col("s_nationkey") % 2).alias("store_id"),
@@ -113,7 +113,7 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POLICIES = f"""
 policies AS (
-  SELECT 'pol' || (s_suppkey - 1) AS policy_id, 'pi' AS owner_host, CASE WHEN s_suppkey % 5 = 0 THEN 'local' ELSE 'eu' END AS residency,
+  SELECT 'pol' || (s_suppkey - 1) AS policy_id, 'alpha' AS owner_host, CASE WHEN s_suppkey % 5 = 0 THEN 'local' ELSE 'eu' END AS residency,
     'memory' AS data_use, 'store' || (s_nationkey % 2) AS store_id, 'embed' || (s_nationkey % 3) AS embedding_id,
     s_suppkey % 4 <> 0 AS allow_replay, CASE WHEN s_suppkey % 3 = 0 THEN {BASE_MS} + s_suppkey * {DAY_MS} END AS expires_at,
     'origin' || (s_nationkey % 2) AS origin

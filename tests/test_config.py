@@ -4,10 +4,10 @@ from palimpsest.sources import config as cfg
 
 
 def test_layers():
-    text = '{"retrieval": {"top_k": 7}, "hosts": {"prime": {"retrieval": {"top_k": 8}}}}'
+    text = '{"retrieval": {"top_k": 7}, "hosts": {"beta": {"retrieval": {"top_k": 8}}}}'
     assert cfg.load_config(text)["retrieval"]["top_k"] == 7
-    assert cfg.load_config(text, host="prime")["retrieval"]["top_k"] == 8
-    assert cfg.load_config(text, {"PALIMPSEST_RETRIEVAL_TOP_K": "9"}, "prime")["retrieval"]["top_k"] == 9
+    assert cfg.load_config(text, host="beta")["retrieval"]["top_k"] == 8
+    assert cfg.load_config(text, {"PALIMPSEST_RETRIEVAL_TOP_K": "9"}, "beta")["retrieval"]["top_k"] == 9
 
 
 @pytest.mark.parametrize("text", ['{"retrieval": {"top_k": 11}}', '{"retrieval": {"top_k": true}}', '{"retrieval": {"top_k": 1.5}}', '{"retrieval": {"other": 1}}'])
@@ -21,7 +21,7 @@ def test_merge():
 
 
 def test_host():
-    assert cfg.detect_host(None, ["/bin/prime-x"]) == "prime" and cfg.detect_host("pi", []) == "pi" and cfg.detect_host(None, []) == "pi"
+    assert cfg.detect_host(None, ["/bin/beta-x"]) == "beta" and cfg.detect_host("alpha", []) == "alpha" and cfg.detect_host(None, []) == "alpha"
     with pytest.raises(ValueError):
         cfg.detect_host("other", [])
 

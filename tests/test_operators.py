@@ -41,15 +41,15 @@ def test_intervals_golden(spark):
 
 def test_lane_filters_refuse():
     with pytest.raises(ValueError):
-        op.lane_filter("episodes", "pi", "p", 1, 0, 0, is_global=True)
+        op.lane_filter("episodes", "alpha", "p", 1, 0, 0, is_global=True)
     with pytest.raises(ValueError):
-        op.lane_filter("raptor", "pi", "p", 1, 0, 0)
+        op.lane_filter("raptor", "alpha", "p", 1, 0, 0)
     with pytest.raises(ValueError):
-        op.lane_filter("nothing", "pi", "p", 1, 0, 0)
+        op.lane_filter("nothing", "alpha", "p", 1, 0, 0)
 
 
 def test_guard_reaches_the_plan(spark):
-    plan = rec.episodes(spark, SF).filter(op.lane_filter("episodes", "pi", "p2", 1, rec.NOW_MS, rec.SKEW_MS))._jdf.queryExecution().optimizedPlan().toString()
+    plan = rec.episodes(spark, SF).filter(op.lane_filter("episodes", "alpha", "p2", 1, rec.NOW_MS, rec.SKEW_MS))._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan and "passed" in plan and "active" in plan
 
 
