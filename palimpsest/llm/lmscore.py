@@ -4,130 +4,146 @@ Two interpolated bigram models of the same form, one of target documents and one
 documents, share one vocabulary. A document's score is the mean difference of their
 losses by token: the lower, the more it reads like the target.
 
-Counts cover every document. They are kept in tables with a fixed number of hashed slots,
-so a model has the same size whatever the corpus; counts travel as blocks of a table and
-blocks are added where they meet, so no task holds the corpus's n-grams.
+Every word and every bigram is counted for itself, by its 64-bit hash, in tables that
+grow with the corpus and that no task holds whole. Documents are dealt into chunks. A
+chunk asks once for each of its distinct n-grams, so a common one is asked for once a
+chunk and not once a token; the questions are dealt by ranges of the hash into buckets,
+a bucket adds up its n-grams and answers, and the answers meet the chunk's documents again.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bounded_slices, materialize
-from palimpsest.llm.wordhash import gram_hashes, hash_words
+from palimpsest.llm.wordhash import Words, gram_hashes, hash_words
 
-#: Slots of the unigram and of the bigram table, as powers of two: 5 and 10 MB a model.
-UNIGRAM_BITS, BIGRAM_BITS, BLOCK_BITS = 18, 20, 13
+#: Characters of a chunk of documents, and of text whose n-grams make a bucket on average.
+CHUNK_CHARS, BUCKET_CHARS = 8_000_000, 16_000_000
+#: Buckets at least, so that a small corpus is spread as well.
+MIN_BUCKETS = 64
 #: Words that occur less often than this share one entry of the vocabulary.
 MIN_COUNT = 2
 #: Share of the bigram estimate; the rest is the smoothed unigram.
 BIGRAM_SHARE = 0.7
 #: Ids that may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
-KINDS = ((0, UNIGRAM_BITS), (1, BIGRAM_BITS))
+DOCUMENT, WORD, BIGRAM = -1, 0, 1
 
+CHUNK_SCHEMA = "chunk long, doc_id long, no_id boolean, text string, kind int, bucket int, keys binary, counts binary"
+ANSWER_SCHEMA = "chunk long, kind int, bucket int, counts binary, stats array<long>"
+SCORE_SCHEMA = "doc_id long, no_id boolean, n_tokens long, target_loss double, background_loss double, difference double"
 
-def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed; small ones take little room."""
+    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack(raw: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(bytes(raw)), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
-def _bigrams(words) -> np.ndarray:
-    """Slot of each word with the one before it in its text; -1 for the first word."""
-    out = np.full(len(words.hashes), -1, np.int64)
-    out[1:] = _slots(gram_hashes(words.hashes, 2), BIGRAM_BITS)
-    out[words.first[:-1][words.counts() > 0]] = -1
-    return out
 
+def _bigrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words that follow another in their text, and the bigrams that end there."""
+    follows = np.ones(len(words.hashes), bool)
+    follows[words.first[:-1][words.counts() > 0]] = False
+    at = np.flatnonzero(follows)
+    return at, gram_hashes(words.hashes, 2)[at - 1] if len(at) else np.zeros(0, np.uint64)
 
-@dataclass
-class Models:
-    """Log-losses by slot of both models, over one vocabulary; at most 4 * 4 * (2**18 + 2**20) bytes."""
-
-    unigram: np.ndarray  # model, slot: probability
-    bigram: np.ndarray  # model, slot: count
-    context: np.ndarray  # model, slot: count
-    known: np.ndarray  # slot: in the vocabulary
-    totals: np.ndarray
-
-    @classmethod
-    def of(cls, unigrams: np.ndarray, bigrams: np.ndarray) -> Models:
-        counts = unigrams.astype(np.float64)
-        known = counts[1] >= MIN_COUNT
-        rare = (counts * ~known).sum(1)
-        v = known.sum() + 1
-        totals = counts.sum(1)
-        unigram = (np.where(known, counts, rare[:, None]) + 1.0) / (totals + v)[:, None]
-        return cls(unigram.astype(np.float32), bigrams.astype(np.float32), unigrams.astype(np.float32), known, totals)
-
-    def losses(self, words) -> np.ndarray:
-        """Model, token: loss in nats."""
-        slot, pair = _slots(words.hashes, UNIGRAM_BITS), _bigrams(words)
-        before = np.concatenate([[0], slot[:-1]]) if len(slot) else slot
-        has = pair >= 0
-        out = np.empty((2, len(slot)))
-        for k in range(2):
-            context = np.where(has, self.context[k][before], 0.0)
-            seen = np.where(has, self.bigram[k][np.maximum(pair, 0)], 0.0)
-            # an unseen context leaves everything to the unigram
-            share = np.where(context > 0, BIGRAM_SHARE, 0.0)
-            pairs = np.minimum(seen / np.maximum(context, 1.0), 1.0)
-            out[k] = -np.log(share * pairs + (1 - share) * self.unigram[k][slot])
-        return out
-
-
-def count_tables(docs: DataFrame, target: DataFrame) -> Models:
-    """Count unigrams and bigrams of the target (a set of ``doc_id``) and of all documents."""
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each key; sorted keys have sorted buckets."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _chunks(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with their chunk; distinct n-grams of each chunk with their counts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    buckets = max(MIN_BUCKETS, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS))
     ids = materialize(target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("hit", F.lit(1)), "target")
     small = ids.count() <= MAX_BROADCAST_IDS
-    flagged = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left").select("text", F.col("hit").isNotNull().alias("hit"))
+    flagged = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left")
+    flagged = flagged.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text", F.col("hit").isNotNull().alias("hit"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {(kind, k): np.zeros(1 << bits, np.int64) for kind, bits in KINDS for k in range(2)}
-        for batch in batches:
-            for part in bounded_slices(batch, rows=1024):
-                words = hash_words(part["text"])
-                hit = np.repeat(part["hit"].to_numpy(), words.counts())
-                pair = _bigrams(words)
-                for kind, bits, slot, use in ((0, UNIGRAM_BITS, _slots(words.hashes, UNIGRAM_BITS), None), (1, BIGRAM_BITS, pair, pair >= 0)):
-                    s, h = (slot, hit) if use is None else (slot[use], hit[use])
-                    held[kind, 1] += np.bincount(s, minlength=1 << bits)
-                    held[kind, 0] += np.bincount(s[h], minlength=1 << bits)
-        for kind, bits in KINDS:
-            for block in range(1 << (bits - BLOCK_BITS)):
-                both = np.stack([held[kind, k][block << BLOCK_BITS : (block + 1) << BLOCK_BITS] for k in range(2)])
-                if both.any():
-                    yield pd.DataFrame({"kind": [kind], "block": [block], "counts": [zlib.compress(both.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for kind, block, raw in batch[["kind", "block", "counts"]].itertuples(index=False):
-                counts = _unpack(raw)
-                held[kind, block] = held[kind, block] + counts if (kind, block) in held else counts
-        for (kind, block), counts in held.items():
-            yield pd.DataFrame({"kind": [kind], "block": [block], "counts": [zlib.compress(counts.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)]})
-
-    schema = "kind int, block int, counts binary"
-    blocks = flagged.mapInPandas(count, schema)
-    # blocks of a table are added twice: within a few shares of the tasks, then together
-    shared = blocks.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("kind", "block", "share").drop("share").mapInPandas(add, schema)
-    tables = [np.zeros((2, 1 << bits), np.int64) for _, bits in KINDS]
-    for row in shared.repartition("kind", "block").mapInPandas(add, schema).toLocalIterator():
-        tables[row.kind][:, row.block << BLOCK_BITS : (row.block + 1) << BLOCK_BITS] = _unpack(row.counts)
-    return Models.of(*tables)
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(bytes(raw)), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").reshape(2, -1)
+            for part in bounded_slices(batch, rows=4096, chars=CHUNK_CHARS // 8):
+                held.append(part)
+                size += part["text"].str.len().sum() + 16 * len(part)
+                if size >= CHUNK_CHARS:
+                    yield from ask(chunk, held)
+                    chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield from ask(chunk, held)
+
+    def ask(chunk: int, parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(chunk=chunk, kind=DOCUMENT, bucket=0, keys=None, counts=None)[columns]
+        words = hash_words(t for part in parts for t in part["text"])
+        hit = np.repeat(np.concatenate([part["hit"].to_numpy(bool) for part in parts]), words.counts())
+        at, pairs = _bigrams(words)
+        for kind, grams, hits in ((WORD, words.hashes, hit), (BIGRAM, pairs, hit[at])):
+            keys, which = np.unique(grams, return_inverse=True)
+            counts = np.stack([np.bincount(which[hits], minlength=len(keys)), np.bincount(which, minlength=len(keys))])
+            cut = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
+            rows = [(b, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(counts[:, i:j])) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            if rows:
+                frame = pd.DataFrame(rows, columns=["bucket", "keys", "counts"])
+                yield frame.assign(chunk=chunk, doc_id=0, no_id=False, text=None, kind=kind)[columns]
+
+    columns = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
+    table = materialize(flagged.mapInPandas(deal, CHUNK_SCHEMA), "chunks")
+    texts = table.filter(F.col("kind") == DOCUMENT).select("chunk", "doc_id", "no_id", "text")
+    return texts, table.filter(F.col("kind") != DOCUMENT).select("chunk", "kind", "bucket", "keys", "counts")
+
+
+def _answer(questions: pd.DataFrame) -> pd.DataFrame:
+    """Counts over all chunks of the n-grams that each chunk asked a bucket for, in its order.
+
+    The first row of a bucket of words also holds what it adds to the vocabulary: known
+    words, tokens of unknown ones and all tokens, the last two by model.
+    """
+    asked = [np.cumsum(_unpack(raw, np.uint64), dtype=np.uint64) for raw in questions["keys"]]
+    counts = np.concatenate([_unpack(raw, np.int64).reshape(2, -1) for raw in questions["counts"]], axis=1)
+    keys, which = np.unique(np.concatenate(asked), return_inverse=True)
+    # sums of doubles are exact below 2 ** 53 tokens
+    total = np.stack([np.bincount(which, weights=c, minlength=len(keys)) for c in counts]).astype(np.int64)
+    ends = np.cumsum([len(a) for a in asked])
+    stats: list = [None] * len(asked)
+    if questions["kind"].iloc[0] == WORD:
+        rare = total[1] < MIN_COUNT
+        stats[0] = [int((~rare).sum()), *total[:, rare].sum(1).tolist(), *total.sum(1).tolist()]
+    answers = [_pack(total[:, which[end - len(a) : end]]) for a, end in zip(asked, ends, strict=True)]
+    return pd.DataFrame({"chunk": questions["chunk"], "kind": questions["kind"], "bucket": questions["bucket"], "counts": answers, "stats": stats})
+
+
+def _losses(words: Words, unigrams: np.ndarray, bigrams: np.ndarray, stats: list[int]) -> np.ndarray:
+    """Model, token: loss in nats. Counts are those of the sorted distinct n-grams of the words."""
+    known_words, *sums = stats
+    rare, totals = sums[:2], sums[2:]
+    at, pairs = _bigrams(words)
+    which, pair = np.unique(words.hashes, return_inverse=True)[1], np.unique(pairs, return_inverse=True)[1]
+    known = unigrams[1] >= MIN_COUNT
+    out = np.empty((2, len(words.hashes)))
+    for k in range(2):
+        unigram = ((np.where(known, unigrams[k], rare[k]) + 1.0) / (totals[k] + known_words + 1))[which]
+        context, seen = np.zeros(len(which)), np.zeros(len(which))
+        context[at] = unigrams[k][which[at - 1]]
+        seen[at] = bigrams[k][pair]
+        # an unseen context leaves everything to the unigram
+        share = np.where(context > 0, BIGRAM_SHARE, 0.0)
+        out[k] = -np.log(share * (seen / np.maximum(context, 1.0)) + (1 - share) * unigram)
+    return out
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -141,20 +157,24 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     and null ids, count for nothing. Other columns are ignored; an empty table gives an
     empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(count_tables(docs, target))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = shared.value
-        for batch in batches:
-            for part in bounded_slices(batch, rows=1024):
-                words = hash_words(part["text"])
-                n = words.counts()
-                total = np.concatenate([np.zeros((2, 1)), np.cumsum(models.losses(words), axis=1)], axis=1)
-                means = (total[:, words.first[1:]] - total[:, words.first[:-1]]) / np.maximum(n, 1)
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_tokens": n, "target_loss": means[0], "background_loss": means[1], "difference": means[0] - means[1]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(score, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+    texts, questions = _chunks(docs, target)
+    answers = materialize(questions.groupBy("kind", "bucket").applyInPandas(_answer, ANSWER_SCHEMA), "answers")
+    sums = answers.filter("stats IS NOT NULL").agg(*(F.sum(F.col("stats")[i]) for i in range(5))).first()
+    stats = [n or 0 for n in sums]
+
+    def score(part: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
+        words = hash_words(part["text"])
+        n = words.counts()
+        counts = []
+        for kind in (WORD, BIGRAM):
+            own = answered[answered["kind"] == kind].sort_values("bucket")["counts"]
+            counts.append(np.concatenate([np.zeros((2, 0), np.int64), *(_unpack(raw, np.int64).reshape(2, -1) for raw in own)], axis=1))
+        total = np.concatenate([np.zeros((2, 1)), np.cumsum(_losses(words, *counts, stats), axis=1)], axis=1)
+        means = (total[:, words.first[1:]] - total[:, words.first[:-1]]) / np.maximum(n, 1)
+        return pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "n_tokens": n, "target_loss": means[0], "background_loss": means[1], "difference": means[0] - means[1]})
+
+    scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, SCORE_SCHEMA)
+    return scored.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_tokens", "target_loss", "background_loss", "difference")
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -58,3 +59,17 @@ def test_target_like_documents_score_lower(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
     mean = lambda q: sum(x := [scores[r.doc_id] for r in labels if r.quality == q]) / len(x)
     assert mean(1) < mean(0)
+
+
+def test_more_ngrams_than_any_fixed_table(spark):
+    """About 400,000 distinct words and 1,400,000 distinct bigrams, each counted for itself."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(400_000)}" for _ in range(100_000)) for _ in range(14)] + ["once only", None]
+    target = set(range(0, 14, 3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ids = spark.createDataFrame([(i,) for i in target], "doc_id long")
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(docs, ids).collect()}
+    assert len(got) == len(texts)
+    for i, (n, a, b) in enumerate(brute(texts, target)):
+        assert got[i].n_tokens == n
+        assert got[i].target_loss == pytest.approx(a, rel=1e-6) and got[i].background_loss == pytest.approx(b, rel=1e-6)
