@@ -1,9 +1,9 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by seeds that no allowed overlap can avoid.
 
-A seed hashes the tokens at the places of a fixed mask, so a hit survives changes at
-the places that the mask leaves out. Document seeds that pass a bitmap of benchmark
-seeds travel with the tokens around them and are joined with the benchmark's seeds;
-each hit is then verified token by token along its diagonal.
+A seed hashes a short run of tokens. A stretch of which 80 % are equal has equal runs of
+some length wherever its changes fall, so every overlap has a hit. Seeds of documents
+that pass a bitmap of benchmark seeds are joined with the benchmark's; each diagonal that
+a hit names is then verified over its full length, token by token.
 """
 
 from __future__ import annotations
@@ -19,23 +19,25 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import bounded_slices, materialize
 from palimpsest.llm.wordhash import as_bytes, hash_words, mix
 
-#: Fixed masks over 13 tokens; nine count, four may differ. Any one or two changed
-#: tokens leave at least one mask untouched at some place of a passage of 20 tokens.
-MASKS = ("1101100111011", "1011011011011", "1110101001111")
-SPAN = len(MASKS[0])
+#: Mask of a seed. With a fifth of its tokens changed at most, a stretch of 13 tokens or
+#: more keeps four equal ones in a row, by counting: m changes leave m + 1 runs for the rest.
+#: The one length that may not is 15, whose three changes leave four runs of three.
+MASKS = ("1111",)
+TIGHT, TIGHT_LENGTH = "111", 15
+#: Items from this many tokens may differ in places; shorter ones must be equal throughout.
+SPAN = 13
 #: Tokens that a verified overlap spans at least, or the whole item where it is shorter,
 #: and the share of them that must be equal.
 MIN_SPAN, MIN_EQUAL = 20, 0.8
 #: Items below this many tokens are too short to tell from common phrases.
 MIN_ITEM = 5
-#: Tokens that travel on each side of a hit.
-REACH = 32
 #: Bits of the broadcast bitmap, 16 MiB whatever the size of the benchmark.
 FILTER_BITS = 27
 
 _BASE = np.uint64(0xA0761D6478BD642F)
 _PLAIN = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
-SEED_SCHEMA = "seed long, doc_id long, fingerprint long, at int, context string, offset int"
+SCAN_SCHEMA = "doc_id long, fingerprint long, text string, found array<struct<seed:long,at:int>>"
+ITEM_SCHEMA = "item_id long, item_fp long, item string, n int, seeds array<struct<seed:long,item_at:int>>"
 HIT_SCHEMA = "doc_id long, fingerprint long, item_id long, doc_start int, doc_end int, item_start int, equal int"
 
 
@@ -62,34 +64,30 @@ def seeds(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
-def masks_for(lengths: set[int]) -> list[str]:
-    """The fixed masks, and a full mask for each length of an item shorter than they are."""
-    return [*MASKS, *("1" * n for n in sorted(lengths) if MIN_ITEM <= n < SPAN)]
+def mask_for(length: int) -> str:
+    """The mask whose seeds every overlap with an item of this many tokens must hit; empty below MIN_ITEM."""
+    if length < MIN_ITEM:
+        return ""
+    if length < SPAN:
+        return "1" * length
+    return TIGHT if length == TIGHT_LENGTH else MASKS[0]
 
 
-def _salt(mask: str, k: int) -> int:
-    return k if len(mask) == SPAN else 100 + len(mask)
-
-
-def _benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(seed, item_id, item_at, item) for every seed of every item; the lengths of short items."""
+def _benchmark(benchmark: DataFrame) -> DataFrame:
+    """Every item with its tokens, their number and its seeds."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             plain = [tokens(t) for t in batch["text"]]
             hashes, first = _hash(plain)
-            for i, item in enumerate(batch["item_id"]):
+            for i, (item, fp) in enumerate(zip(batch["item_id"], batch["item_fp"], strict=True)):
                 own = hashes[first[i] : first[i + 1]]
-                if len(own) < MIN_ITEM:
-                    continue
-                masks = masks_for(set()) if len(own) >= SPAN else ["1" * len(own)]
-                for k, mask in enumerate(masks):
-                    found = seeds(own, mask, _salt(mask, k))
-                    yield pd.DataFrame({"seed": found.view(np.int64), "item_id": pd.array([None if pd.isna(item) else int(item)] * len(found), "Int64"), "item_at": np.arange(len(found)), "n": len(own), "item": plain[i].decode("utf-8", "surrogatepass")})
+                if mask := mask_for(len(own)):
+                    found = [{"seed": s, "item_at": k} for k, s in enumerate(seeds(own, mask, len(mask)).view(np.int64).tolist())]
+                    yield pd.DataFrame({"item_id": pd.array([None if pd.isna(item) else int(item)], "Int64"), "item_fp": [fp], "item": [plain[i].decode("utf-8", "surrogatepass")], "n": [len(own)], "seeds": [found]})
 
-    table = materialize(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInPandas(rows, "seed long, item_id long, item_at int, n int, item string"), "benchmark")
-    short = [r.n for r in table.filter(F.col("n") < SPAN).select("n").distinct().collect()]  # at most SPAN values
-    return table, short
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    return materialize(items.withColumn("item_fp", F.xxhash64("text")).mapInPandas(rows, ITEM_SCHEMA), "benchmark")
 
 
 def _bitmap(table: DataFrame, bits: int) -> bytes:
@@ -120,15 +118,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS) ->
     Returns doc_id, fingerprint (xxhash64 of the text, to tell repeated ids apart),
     item_id, doc_start and doc_end (tokens), item_start and equal (equal tokens). An
     overlap is a diagonal stretch of at least 20 tokens, or the whole of a shorter
-    item, of which 80 % are equal; items of fewer than 13 tokens must be equal
-    throughout and items of fewer than 5 match nothing. Null and empty texts match
+    item, of which 80 % are equal; the longest of a diagonal counts. Items of fewer than 13
+    tokens must be equal throughout and those of fewer than 5 match nothing. Null and empty texts match
     nothing; a null id is returned as null. Equal rows give one row. Either table may
     be empty.
     """
     spark = docs.sparkSession
-    table, short = _benchmark_seeds(benchmark)
+    items = _benchmark(benchmark)
+    table = items.select("item_id", "item_fp", F.inline("seeds"))
     shared = spark.sparkContext.broadcast(_bitmap(table, bits))
-    masks = masks_for(set(short))
+    # at most as many as there are lengths of items below SPAN
+    masks = sorted({mask_for(r.n) for r in items.select(F.least("n", F.lit(TIGHT_LENGTH + 1)).alias("n")).distinct().collect()})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags = np.frombuffer(zlib.decompress(shared.value), np.uint8)
@@ -137,61 +137,65 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS) ->
             for part in bounded_slices(batch, rows=1024):
                 plain = [tokens(t) for t in part["text"]]
                 hashes, first = _hash(plain)
-                out: list[tuple] = []
-                split: dict[int, list[bytes]] = {}
-                for k, mask in enumerate(masks):
-                    found = seeds(hashes, mask, _salt(mask, k))
+                found_in: dict[int, list[dict]] = {}
+                for mask in masks:
+                    found = seeds(hashes, mask, len(mask))
                     slot = (found & low).astype(np.int64)
                     at = np.flatnonzero(flags[slot >> 3] & (np.uint8(128) >> (slot & 7).astype(np.uint8)))
                     doc = np.searchsorted(first, at, "right") - 1
                     inside = at + len(mask) <= first[doc + 1]
-                    for p, d, seed in zip(at[inside], doc[inside], found[at[inside]].view(np.int64), strict=True):
-                        words = split.get(d)
-                        if words is None:
-                            words = split[d] = plain[d].split()
-                        here = int(p - first[d])
-                        left = max(0, here - REACH)
-                        out.append((seed, part["doc_id"].iloc[d], part["fingerprint"].iloc[d], here, b" ".join(words[left : here + len(mask) + REACH]).decode("utf-8", "surrogatepass"), here - left))
-                if out:
-                    frame = pd.DataFrame(out, columns=["seed", "doc_id", "fingerprint", "at", "context", "offset"])
+                    at, doc = at[inside], doc[inside]
+                    for d, seed, here in zip(doc.tolist(), found[at].view(np.int64).tolist(), (at - first[doc]).tolist(), strict=True):
+                        found_in.setdefault(d, []).append({"seed": seed, "at": here})
+                if found_in:
+                    frame = part.iloc[list(found_in)][["doc_id", "fingerprint", "text"]].assign(found=list(found_in.values()))
                     frame["doc_id"] = frame["doc_id"].astype("Int64")
                     yield frame
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(r.doc_id, r.fingerprint, r.item_id, *best) for r in batch.itertuples(index=False) if (best := verified(r.context.split(" "), r.offset, r.at, r.item.encode("utf-8", "surrogatepass").split(), r.item_at))]
+            rows = []
+            for r in batch.itertuples(index=False):
+                doc, item = tokens(r.text).split(), r.item.encode("utf-8", "surrogatepass").split()
+                rows.extend((r.doc_id, r.fingerprint, r.item_id, *best) for shift in r.shifts if (best := verified(doc, item, int(shift))))
             if rows:
                 frame = pd.DataFrame(rows, columns=["doc_id", "fingerprint", "item_id", "doc_start", "doc_end", "item_start", "equal"])
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").withColumn("fingerprint", F.xxhash64("text"))
-    hits = rows.mapInPandas(scan, SEED_SCHEMA).join(table.drop("n"), "seed").mapInPandas(verify, HIT_SCHEMA)
+    near = materialize(rows.mapInPandas(scan, SCAN_SCHEMA), "seeded").dropDuplicates(["doc_id", "fingerprint"])
+    diagonals = near.select("doc_id", "fingerprint", F.inline("found")).join(table, "seed")
+    diagonals = diagonals.groupBy("doc_id", "fingerprint", "item_id", "item_fp").agg(F.collect_set(F.col("item_at") - F.col("at")).alias("shifts")).alias("g")
+    texts, whole = near.select("doc_id", "fingerprint", "text").alias("t"), items.select("item_id", "item_fp", "item").alias("i")
+    pairs = diagonals.join(texts, F.expr("g.fingerprint = t.fingerprint AND g.doc_id <=> t.doc_id")).join(whole, F.expr("g.item_fp = i.item_fp AND g.item_id <=> i.item_id"))
+    hits = pairs.select("g.doc_id", "g.fingerprint", "g.item_id", "g.shifts", "t.text", "i.item").mapInPandas(verify, HIT_SCHEMA)
     best = F.max(F.struct("equal", (-F.col("doc_start")).alias("first"), "doc_end", "item_start")).alias("best")
     return hits.groupBy("doc_id", "fingerprint", "item_id").agg(best).select("doc_id", "fingerprint", "item_id", (-F.col("best.first")).alias("doc_start"), "best.doc_end", "best.item_start", "best.equal")
 
 
-def verified(context: list, offset: int, at: int, item: list, item_at: int) -> tuple[int, int, int, int] | None:
-    """(doc_start, doc_end, item_start, equal) of the longest overlap on the diagonal of a hit.
+def verified(doc: list, item: list, shift: int) -> tuple[int, int, int, int] | None:
+    """(doc_start, doc_end, item_start, equal) of the longest overlap on a diagonal.
 
-    ``context`` holds the document's tokens around the hit, which is at ``offset`` in
-    it and at ``at`` in the document.
+    Place ``i`` of the document meets place ``i + shift`` of the item.
     """
-    context = [c.encode("utf-8", "surrogatepass") if isinstance(c, str) else c for c in context]
-    shift = item_at - offset
-    low, high = max(0, -shift), min(len(context), len(item) - shift)
+    low, high = max(0, -shift), min(len(doc), len(item) - shift)
     need = min(MIN_SPAN, len(item))
     if high - low < need:
         return None
-    same = np.fromiter((context[i] == item[i + shift] for i in range(low, high)), bool, high - low)
+    same = np.fromiter((doc[i] == item[i + shift] for i in range(low, high)), bool, high - low)
     total = np.concatenate([[0], np.cumsum(same)])
-    share = MIN_EQUAL if len(item) >= SPAN else 1.0
-    for size in range(high - low, need - 1, -1):
-        score = total[size:] - total[:-size]
-        k = int(np.argmax(score))
-        if score[k] >= share * size:
-            start = low + k
-            return at - offset + start, at - offset + start + size, start + shift, int(score[k])
-    return None
+    share = round((MIN_EQUAL if len(item) >= SPAN else 1.0) * 100)
+    # a stretch has the share where this sum does not fall from its start to its end
+    over = 100 * total - share * np.arange(len(total))
+    start = np.searchsorted(-np.minimum.accumulate(over), -over, "left")
+    sizes = np.arange(len(total)) - start
+    size = int(sizes.max())
+    if size < need:
+        return None
+    ends = np.flatnonzero(sizes == size)
+    end = int(ends[np.argmax(total[ends] - total[ends - size])])
+    begin = low + end - size
+    return begin, begin + size, begin + shift, int(total[end] - total[end - size])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -95,3 +95,54 @@ def test_query(spark, sf):
     items = [" ".join(decontam.tokens(r.text).decode().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = {r.doc_id: " ".join(decontam.tokens(r.text).decode().split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {d for d, t in docs.items() if any(i in t for i in items)} <= found
+
+
+def longest(doc, item, share=80):
+    """Whether any stretch of any diagonal is an overlap, by trying all."""
+    need = min(20, len(item))
+    for shift in range(len(item) - need, need - len(doc) - 1, -1):
+        same = [doc[i] == item[i + shift] for i in range(max(0, -shift), min(len(doc), len(item) - shift))]
+        total = [0]
+        for x in same:
+            total.append(total[-1] + x)
+        if any(100 * (total[b] - total[a]) >= share * (b - a) for a in range(len(total)) for b in range(a + need, len(total))):
+            return True
+    return False
+
+
+def test_every_overlap_within_the_share_is_found(spark):
+    """Items of 13 to 40 tokens with as many changes as are allowed, and one more: nothing is lost."""
+    rng = random.Random(3)
+    items = [words(n) for n in range(13, 41)]
+    cases = [(i, rng.sample(range(len(item)), len(item) // 5 + more)) for i, item in enumerate(items) for more in (0, 0, 0, 0, 1)]
+    cases += [(2, (3, 7, 11)), (0, (0, 12)), (0, (4, 8)), (7, (3, 7, 11, 15)), (12, (4, 8, 12, 16, 20))]
+    texts = [" ".join(words(5) + [f"X{j}" if j in changed else w for j, w in enumerate(items[i])] + words(5)) for i, changed in cases]
+    low = [[w.lower() for w in item] for item in items]
+    want = sorted({(d, i) for d, t in enumerate(texts) for i in range(len(items)) if longest(t.lower().split(), low[i])})
+    assert len(want) >= 4 * len(items)
+    assert flagged(spark, texts, items) == want
+
+
+def test_a_long_overlap_is_reported_whole(spark):
+    item = words(300)
+    docs = spark.createDataFrame([(None, " ".join(words(50) + item + words(50)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    (r,) = decontam.overlaps(docs, bench, 20).collect()
+    assert r.doc_start <= 50 and r.doc_end >= 350 and r.equal >= 300 and r.doc_id is None
+
+
+def test_verified_is_the_longest_stretch():
+    rng = random.Random(9)
+    for n in (5, 13, 16, 20, 33, 60):
+        for _ in range(30):
+            item, shift = [str(i) for i in range(n)], rng.randint(-8, 8)
+            doc = [item[i + shift] if 0 <= i + shift < n and rng.random() < 0.82 else "x" for i in range(70)]
+            low, high, need = max(0, -shift), min(70, n - shift), min(20, n)
+            best = None
+            for size in range(high - low, need - 1, -1):
+                found = [(-sum(doc[i] == item[i + shift] for i in range(a, a + size)), a) for a in range(low, high - size + 1)]
+                equal, a = min(found)
+                if -100 * equal >= (80 if n >= 13 else 100) * size:
+                    best = (a, a + size, a + shift, -equal)
+                    break
+            assert decontam.verified(doc, item, shift) == best
