@@ -117,11 +117,14 @@ def greedy_pack(rows: DataFrame, group: str, order: str, size: str, budget: int)
 def descend(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Every node below the roots, with the best score and the least depth that reach it.
 
-    A driver loop over at most ``depth`` levels; each is one join and one aggregation.
+    A driver loop over at most ``depth`` levels, which ends at the first empty one; each
+    is one join and one aggregation.
     """
     level = roots.select("id", "score")
     found = level.withColumn("depth", F.lit(0))
     for n in range(1, depth + 1):
-        level = level.join(edges.select(F.col("parent").alias("id"), "child"), "id").groupBy(F.col("child").alias("id")).agg(F.max("score").alias("score"))
+        level = level.join(edges.select(F.col("parent").alias("id"), "child"), "id").groupBy(F.col("child").alias("id")).agg(F.max("score").alias("score")).persist()
+        if level.isEmpty():
+            break
         found = found.unionByName(level.withColumn("depth", F.lit(n)))
     return found.groupBy("id").agg(F.max("score").alias("score"), F.min("depth").alias("depth"))

@@ -86,10 +86,10 @@ _EDGES = "edges AS (SELECT l_orderkey // 8 AS parent, l_orderkey AS child FROM l
 @query("j10_descent", with_(_EDGES, """
 d(id, score, depth) AS (SELECT CAST(1 AS BIGINT), CAST(1.0 AS DOUBLE), 0 UNION ALL SELECT e.child, d.score, d.depth + 1 FROM d JOIN edges e ON e.parent = d.id WHERE d.depth < 4)""", recursive=True) + "SELECT id, max(score) AS score, min(depth) AS depth FROM d GROUP BY id")
 def j10_descent(spark, sf_dir):
-    """Everything below a root, level by level."""
+    """Everything down to ten levels below a root, level by level."""
     edges = table(spark, sf_dir, "lineitem").filter("l_orderkey > 0").select(F.floor(F.col("l_orderkey") / 8).cast("long").alias("parent"), F.col("l_orderkey").alias("child")).distinct()
     roots = spark.createDataFrame([(1, 1.0)], "id long, score double")
-    return co.descend(roots, edges, 4)
+    return co.descend(roots, edges, 10)
 
 
 @query("a6_policy_intersection", with_(POLICIES, """

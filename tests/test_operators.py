@@ -189,3 +189,11 @@ def test_capture_runs_twice_without_doubles(spark, tmp_path):
 def test_packing_cuts_the_last(spark):
     hits = spark.createDataFrame([(1, "aaaa", "!"), (2, "bbbbbbbbbb", "!"), (3, "c", "!")], "position long, text string, suffix string")
     assert [r.entry for r in op.pack(hits, 20).orderBy("position").collect()] == ["[1] aaaa!", "[2] bbbbb…!"]
+
+
+def test_descent_goes_ten_levels_down_and_no_further(spark, tmp_path):
+    from palimpsest.plans import registry
+
+    spark.createDataFrame([(8**k,) for k in range(13)], "l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.depth, r.id) for r in registry.QUERIES["j10_descent"](spark, str(tmp_path)).collect())
+    assert got == [(k, 8**k) for k in range(11)]
