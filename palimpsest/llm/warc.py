@@ -26,11 +26,13 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Payloads below this many bytes are always stored.
 MIN_REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 4096
-MAX_HEADER_BYTES = 1 << 16
+#: Where a header mostly ends; a longer one is searched up to the next version line.
+USUAL_HEADER_BYTES = 1 << 16
 
 _MAGIC = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_NEXT_LINE = re.compile(rb"\nWARC/1\.[01]\r\n")
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
 
@@ -131,7 +133,10 @@ def parse_record(data: bytes, at: int) -> tuple[Record | None, str]:
     """The record that starts at ``at``, or why there is none."""
     if not (line := _LINE.match(data, at)):
         return None, "no version line"
-    head_end = data.find(b"\r\n\r\n", line.end() - 2, line.end() + MAX_HEADER_BYTES)
+    head_end = data.find(b"\r\n\r\n", line.end() - 2, line.end() + USUAL_HEADER_BYTES)
+    if head_end < 0:
+        following = _NEXT_LINE.search(data, line.end())
+        head_end = data.find(b"\r\n\r\n", line.end() - 2, following.start() + 1 if following else len(data))
     if head_end < 0:
         return None, "header does not end"
     fields: dict[str, str] = {}

@@ -93,3 +93,16 @@ def test_query_matches_sql(spark):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(got, key=key) == sorted(con.execute(warc.ORACLE_SQL["op3_warc"]).fetchall(), key=key)
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    urls = ["data:," + "x" * 100_000, "data:," + "a b\n" * 30_000, "data:," + "y" * (1 << 20) + "/WARC/1.1", "u"]
+    records = [warc.record_bytes("response", f"urn:page:{i}", url, b"p", 1, hashlib.sha1(b"p").hexdigest()) for i, url in enumerate(urls)]
+    for pack in (warc.member, bytes):
+        found = list(warc.salvage(b"".join(map(pack, records))))
+        assert ids(found) == [f"<urn:page:{i}>" for i in range(4)] and not gaps(found)
+    cut = records[0][:90_000]
+    assert ids(list(warc.salvage(cut + b"\n" + records[1] + records[3]))) == ["<urn:page:1>", "<urn:page:3>"]
+    pages = spark.createDataFrame([(i, url, "p") for i, url in enumerate(urls)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in warc.op3_warc(spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
