@@ -2,31 +2,74 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of the Arrow batches that Python workers get at most.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
-    tests in one JVM, a folder of this process takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset and everything
+    runs in one JVM, as in tests, a folder of this process takes its place; on a cluster
+    that is an error, since no executor would see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/palimpsest/{uuid.uuid4().hex}/{name}"
+    """A new folder within the shared one; ``clear_scratch`` and the end of the driver remove it."""
+    path = f"{shared_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+    if not _made:
+        atexit.register(clear_scratch)
+    _made.append((spark, path))
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_scratch(since: int = 0, keep: str | None = None) -> None:
+    """Remove the scratch tables that this driver wrote, from the ``since``-th on; results that read them are lost."""
+    for spark, path in _made[since:]:
+        if path != keep:
+            with contextlib.suppress(Exception):  # a session that has ended removes nothing
+                _remove(spark, path)
+    _made[since:] = [made for made in _made[since:] if made[1] == keep]
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches within BATCH_ROWS and BATCH_BYTES.
+
+    Texts may be long: 10,000 rows, Spark's default, can outgrow a worker.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, str(most)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,12 +83,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what ``make`` returns, and remove all other scratch tables that it wrote on the way."""
+    since = len(_made)
+    out = materialize(make(), name)
+    clear_scratch(since, keep=_made[-1][1])
+    release(out.sparkSession)
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files that ``materialize`` wrote for ``df``, once nothing needs them."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(df.sparkSession, file)
+        folder = file.rpartition("/")[0].partition("palimpsest/")[2]
+        _made[:] = [made for made in _made if not made[1].endswith(folder)]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -65,8 +117,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "edges",
     )
     for _ in range(max_rounds):
-        large = materialize(_star(now, both=True), "large")
-        small = materialize(_star(large, both=False), "small")
+        large = _star(now, both=True)
+        small = _star(large, both=False)
         same = _signature(small) == _signature(now)
         discard(large)
         discard(now)
@@ -93,7 +145,9 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     else:
         # u itself and its smaller neighbours move to the smallest
         moved = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
-    return moved.filter("u <> v").distinct()
+    out = materialize(moved.filter("u <> v").distinct(), "large" if both else "small")
+    discard(least)
+    return out
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -107,7 +161,7 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def bounded_slices(frame: pd.DataFrame, rows: int = 512, chars: int = 4_000_000, column: str = "text") -> Iterator[pd.DataFrame]:
+def bounded_slices(frame: pd.DataFrame, rows: int = 512, chars: int = 1_000_000, column: str = "text") -> Iterator[pd.DataFrame]:
     """Consecutive parts of an Arrow batch with at most ``rows`` rows and about ``chars`` characters.
 
     A single longer text is a part of its own, so memory follows the longest text and

@@ -1,37 +1,40 @@
 """Substring deduplication with repeated-phrase automata.
 
-A window is 13 consecutive words. Among the grams of a window the smallest hash is its
-anchor, the same wherever the window occurs, and neighbouring windows mostly share one.
-Anchors of six-word grams that occur in one document only rule their windows out, and of
-the windows left, those in one document only; a bitmap for each keeps what may recur.
-Runs of such windows are passages, dealt by anchors of three-word grams into shards; a
-shard confirms which windows recur across documents, compiles them into an Aho-Corasick
-automaton over words, and streams its passages through it to find every occurrence.
+A window is 13 consecutive words. Among the nine-word grams of a window the smallest hash
+is its anchor, the same wherever the window occurs, and neighbouring windows mostly share
+one. Chunks of documents ask buckets which anchors occur in two documents or more; an
+anchor of one document rules its windows out. Runs of the windows left are passages, dealt
+by anchors of three-word grams into shards; a shard confirms which windows recur across
+documents, compiles them into an Aho-Corasick automaton over words, and streams its
+passages through it to find every occurrence.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_slices, discard, materialize, release
+from palimpsest.llm.chunks import answered, asked, bucket_count, characters, chunked, key_counts, met
+from palimpsest.llm.common import bounded_batches, discard, materialize, release
 from palimpsest.llm.wordhash import Words, as_bytes, gram_hashes, hash_words, mix, sliding
 
-WINDOW, GRAM, ROUTE_GRAM = 13, 6, 3
+WINDOW, GRAM, ROUTE_GRAM = 13, 9, 3
 #: Windows of a passage at most; a longer run with one anchor is several passages.
 MAX_PASSAGE = 64
-#: Bits of the two broadcast bitmaps: 16 for each anchor, 64 MiB at most. Where they
-#: fill up, more passages are dealt; the result does not change.
-MIN_BITS, MAX_BITS, PART_BITS = 20, 29, 20
+#: Bits by which the hash of an anchor is longer than the number of words: of the anchors
+#: of one document, one in 2 ** 8 is taken for a recurring one, whatever the corpus's size.
+#: Its windows are dealt for nothing; the result does not change.
+SPARE_BITS = 8
 #: Passages that one automaton is compiled from, about; more of one anchor than
-#: HEAVY are dealt window by window instead.
-SHARD_PASSAGES, HEAVY = 16_384, 32_768
+#: HEAVY are dealt window by window instead, each window once.
+SHARD_PASSAGES, HEAVY = 8_192, 2_048
 #: Heavy anchors that may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_HEAVY = 100_000
 NO_ID = (1 << 63) - 1
@@ -50,127 +53,88 @@ def anchors(words: Words, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     return inside, least[inside]
 
 
-def _candidates(words: Words, flags: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, window hash) of the windows whose anchors may recur."""
+def _keys(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, key) of each window, the key by its place among the sorted distinct keys; and those."""
     place, anchor = anchors(words)
-    place = place[_marked(flags, anchor, bits)]
-    return place, gram_hashes(words.hashes, WINDOW)[place] if len(place) else np.zeros(0, np.uint64)
+    # a minimum is a small number; mixed, its leading bits are even
+    keys, which = np.unique(mix(anchor) >> np.uint64(64 - width), return_inverse=True)
+    return place, which, keys
 
 
-def _marked(flags: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    slot = _slot(hashes, bits)
-    return (flags[slot >> 3] & (np.uint8(128) >> (slot & 7).astype(np.uint8))) > 0
+def _shared(words: Words, order: np.ndarray, place: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """Whether each key occurs in two documents of the chunk; equal ids are one document."""
+    name = pd.factorize(order)[0][np.searchsorted(words.first, place, "right") - 1]
+    lo, hi = np.full(n, len(order)), np.full(n, -1)
+    np.minimum.at(lo, which, name)
+    np.maximum.at(hi, which, name)
+    return lo < hi
 
 
-def _unpacked(shared) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(shared.value), np.uint8)
-
-
-def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def recurring(docs: DataFrame, bits: int, among: bytes | None = None) -> bytes:
-    """A compressed bitmap of the slots whose hashes occur in two documents or more.
-
-    The hashes are anchors, or, given the bitmap of anchors, windows that it lets pass.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(among) if among is not None else None
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        size, flags = 0, _unpacked(shared) if shared else None
-
-        def flush() -> Iterator[pd.DataFrame]:
-            if any(len(h) for h in held):
-                slots, times = np.unique(np.concatenate(held), return_counts=True)
-                first = np.flatnonzero(np.concatenate([[True], slots[1:] >> PART_BITS != slots[:-1] >> PART_BITS]))
-                ends = [*first[1:], len(slots)]
-                low = (slots & ((1 << PART_BITS) - 1)).astype("<u4")
-                parts = [(int(slots[a] >> PART_BITS), low[a:b][times[a:b] == 1].tobytes(), low[a:b][times[a:b] > 1].tobytes()) for a, b in zip(first, ends, strict=True)]
-                yield pd.DataFrame(parts, columns=["part", "once", "more"])
-
-        for batch in batches:
-            for part in bounded_slices(batch, rows=1024):
-                words = hash_words(part["text"])
-                place, found = anchors(words) if flags is None else _candidates(words, flags, bits)
-                doc = np.searchsorted(words.first, place, "right") - 1
-                # equal ids are one document; an order of its own for each row would count them twice
-                name = pd.factorize(part["o"].to_numpy())[0][doc].astype(np.uint64)
-                pairs = np.unique((_slot(found, bits).astype(np.uint64) << np.uint64(24)) | name)
-                held.append((pairs >> np.uint64(24)).astype(np.int64))
-                size += len(pairs)
-                if size > 4_000_000:
-                    yield from flush()
-                    held, size = [], 0
-        yield from flush()
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, once, more in batch.itertuples(index=False):
-                seen = state.setdefault(part, np.zeros(1 << PART_BITS, np.uint8))
-                slots = np.frombuffer(once, "<u4")
-                seen[slots] = np.minimum(seen[slots] + 1, 2)
-                seen[np.frombuffer(more, "<u4")] = 2
-        for part, seen in state.items():
-            yield pd.DataFrame({"part": [part], "flags": [zlib.compress(np.packbits(seen == 2).tobytes(), 1)]})
-
-    counted = docs.mapInPandas(count, "part int, once binary, more binary")
-    flags = bytearray(1 << (bits - 3))
-    size = 1 << (PART_BITS - 3)
-    # the bitmap's size is fixed by ``bits``, whatever the documents
-    for row in counted.repartition("part").mapInPandas(merge, "part int, flags binary").toLocalIterator():
-        flags[row.part * size : (row.part + 1) * size] = zlib.decompress(row.flags)
-    return zlib.compress(bytes(flags), 1)
+def _recurs(_kind: int, which: np.ndarray, ends: list[int], said: list[bytes]) -> Iterator[tuple[bytes, None]]:
+    """A bit for each asked key: whether several chunks ask, or one that holds it in two documents."""
+    starts = [0, *ends[:-1]]
+    shared = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=b - a) for a, b, s in zip(starts, ends, said, strict=True)])
+    recurring = np.bincount(which, weights=1 + shared) > 1
+    for a, b in zip(starts, ends, strict=True):
+        yield np.packbits(recurring[which[a:b]]).tobytes(), None
 
 
 PASSAGE_SCHEMA = "kind int, route long, key long, o long, fp long, hi long, start int, text binary"
 
 
-def passages(docs: DataFrame, of_anchors: bytes, of_windows: bytes, bits: int) -> DataFrame:
-    """Runs of windows that may recur and share an anchor (kind 0, once a slice, with
+def passages(chunks: DataFrame, width: int, buckets: int) -> DataFrame:
+    """Runs of windows that may recur and share an anchor (kind 0, once a chunk, with
     smallest and largest document) and their occurrences (kind 1)."""
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in (of_anchors, of_windows)]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags, window_flags = map(_unpacked, shared)
-        for batch in batches:
-            for part in bounded_slices(batch, rows=1024):
-                words = hash_words(part["text"])
-                place, window = _candidates(words, flags, bits)
-                maybe = _marked(window_flags, window, bits)
-                place, window = place[maybe], window[maybe]
-                if not len(place):
-                    continue
-                anchor = sliding(gram_hashes(words.hashes, ROUTE_GRAM), WINDOW - ROUTE_GRAM + 1)[place]
-                doc = np.searchsorted(words.first, place, "right") - 1
-                fresh = np.ones(len(place), bool)
-                fresh[1:] = (place[1:] != place[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                run = np.flatnonzero(fresh)
-                begin = run[np.cumsum(fresh) - 1]
-                fresh |= (np.arange(len(place)) - begin) % MAX_PASSAGE == 0
-                run = np.flatnonzero(fresh)
-                n = np.diff(np.append(run, len(place)))
-                key = _passage_keys(window, run, n)
-                order, fingerprint = part["o"].to_numpy(), part["fp"].to_numpy()
-                d = doc[run]
-                start = place[run] - words.first[d]
-                yield pd.DataFrame({"kind": 1, "route": np.int64(0), "key": key, "o": order[d], "fp": fingerprint[d], "hi": np.int64(0), "start": start, "text": None})
-                distinct, first, of = np.unique(key, return_index=True, return_inverse=True)
-                lo, hi = np.full(len(distinct), NO_ID), np.full(len(distinct), -NO_ID)
-                np.minimum.at(lo, of, order[d])
-                np.maximum.at(hi, of, order[d])
-                texts, split, at = [], None, -1
-                for i in np.argsort(d[first], kind="stable"):
-                    j = first[i]
-                    if d[j] != at:
-                        at, split = d[j], as_bytes(part["text"].iloc[d[j]]).split()
-                    texts.append((i, b" ".join(split[start[j] : start[j] + n[j] + WINDOW - 1])))
-                texts.sort()
-                yield pd.DataFrame({"kind": 0, "route": anchor[run][first].view(np.int64), "key": distinct, "o": lo, "fp": np.int64(0), "hi": hi, "start": 0, "text": [t for _, t in texts]})
-
-    return docs.mapInPandas(scan, PASSAGE_SCHEMA)
+
+    def ask(docs: pa.Table) -> Iterator[tuple]:
+        words = hash_words(docs.column("text").to_pylist())
+        place, which, keys = _keys(words, width)
+        shared = _shared(words, docs.column("o").to_numpy(), place, which, len(keys))
+        yield 0, keys, lambda i, j: np.packbits(shared[i:j]).tobytes()
+
+    def scan(docs: pa.Table, answers: dict[int, list[bytes]]) -> pd.DataFrame | None:
+        texts = docs.column("text").to_pylist()
+        words = hash_words(texts)
+        place, which, keys = _keys(words, width)
+        if not len(place):
+            return None
+        cut = key_counts(keys, width, buckets)
+        recurring = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=n) for a, n in zip(answers[0], cut, strict=True)]).astype(bool)
+        place = place[recurring[which]]
+        if not len(place):
+            return None
+        window = gram_hashes(words.hashes, WINDOW)[place]
+        anchor = sliding(gram_hashes(words.hashes, ROUTE_GRAM), WINDOW - ROUTE_GRAM + 1)[place]
+        doc = np.searchsorted(words.first, place, "right") - 1
+        fresh = np.ones(len(place), bool)
+        fresh[1:] = (place[1:] != place[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+        run = np.flatnonzero(fresh)
+        begin = run[np.cumsum(fresh) - 1]
+        fresh |= (np.arange(len(place)) - begin) % MAX_PASSAGE == 0
+        run = np.flatnonzero(fresh)
+        n = np.diff(np.append(run, len(place)))
+        key = _passage_keys(window, run, n)
+        order, fingerprint = docs.column("o").to_numpy(), docs.column("fp").to_numpy()
+        d = doc[run]
+        start = place[run] - words.first[d]
+        found = pd.DataFrame({"kind": 1, "route": np.int64(0), "key": key, "o": order[d], "fp": fingerprint[d], "hi": np.int64(0), "start": start, "text": None})
+        distinct, first, of = np.unique(key, return_index=True, return_inverse=True)
+        lo, hi = np.full(len(distinct), NO_ID), np.full(len(distinct), -NO_ID)
+        np.minimum.at(lo, of, order[d])
+        np.maximum.at(hi, of, order[d])
+        own, split, at = [b""] * len(distinct), None, -1
+        for i in np.argsort(d[first], kind="stable"):
+            j = first[i]
+            if d[j] != at:
+                at, split = d[j], as_bytes(texts[d[j]]).split()
+            own[i] = b" ".join(split[start[j] : start[j] + n[j] + WINDOW - 1])
+        once = pd.DataFrame({"kind": 0, "route": anchor[run][first].view(np.int64), "key": distinct, "o": lo, "fp": np.int64(0), "hi": hi, "start": 0, "text": own})
+        return pd.concat([found, once])
+
+    answers = answered(asked(chunks, ask, width, buckets), _recurs)
+    found = materialize(met(chunks, answers, scan, PASSAGE_SCHEMA), "passages")
+    discard(answers)
+    return found
 
 
 def _passage_keys(windows: np.ndarray, run: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -250,13 +214,14 @@ def _shard(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
 def _by_window(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Passages of heavy anchors as one row for each window, routed by the window's own hash."""
     for batch in batches:
-        rows = []
-        for key, o, hi, text in batch[["key", "o", "hi", "text"]].itertuples(index=False):
-            split = text.split()
-            windows = gram_hashes(hash_words([text]).hashes, WINDOW).view(np.int64)
-            rows += [(w, key, k, o, hi, b" ".join(split[k : k + WINDOW])) for k, w in enumerate(windows)]
-        if rows:
-            yield pd.DataFrame(rows, columns=["route", "key", "shift", "o", "hi", "text"])
+        for from_ in range(0, len(batch), 512):
+            rows = []
+            for key, o, hi, text in batch.iloc[from_ : from_ + 512][["key", "o", "hi", "text"]].itertuples(index=False):
+                split = text.split()
+                windows = gram_hashes(hash_words([text]).hashes, WINDOW).view(np.int64)
+                rows += [(w, key, k, o, hi, b" ".join(split[k : k + WINDOW])) for k, w in enumerate(windows)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["route", "key", "shift", "o", "hi", "text"])
 
 
 def _cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,31 +239,37 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """(o, fp, starts): for each document, by id and text hash, the first words of its
     windows that a document with a smaller id holds too."""
     spark = docs.sparkSession
-    rows = _rows(docs).select("o", "fp", "text")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(16 * chars / 26 + 1)))))
-    of_anchors = recurring(rows, bits)
-    of_windows = recurring(rows, bits, of_anchors)
-    found = materialize(passages(rows, of_anchors, of_windows, bits), "passages")
-    wide = ["route", "key", "shift", "o", "hi", "text"]
-    schema = "route long, key long, shift int, o long, hi long, text binary"
+    rows = _rows(docs).select("o", "fp", F.col("text").cast("binary").alias("text"))
+    chars = characters(rows)
+    width = min(64, max(32, math.ceil(math.log2(chars / 6 + 1)) + SPARE_BITS))
+    chunks = chunked(rows)
+    found = passages(chunks, width, bucket_count(chars))
+    discard(chunks)
+    release(spark)
     distinct = found.filter("kind = 0")
     heavy = materialize(distinct.groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("route"), "heavy")
     n_heavy = heavy.count()
-    light = distinct.withColumn("shift", F.lit(0)).select(*wide)
+    dealt = distinct.select("route", "key", F.lit(0).alias("shift"), "o", "hi", "text")
     if n_heavy:
         marked = F.broadcast(heavy) if n_heavy <= MAX_BROADCAST_HEAVY else heavy
-        light = light.join(marked, "route", "left_anti").unionByName(distinct.join(marked, "route", "left_semi").mapInPandas(_by_window, schema))
+        windows = materialize(distinct.join(marked, "route", "left_semi").mapInPandas(_by_window, "route long, key long, shift int, o long, hi long, text binary"), "windows")
+        # a window of many passages is one row, added up before it is dealt
+        once = windows.groupBy("route").agg(F.min("o").alias("o"), F.max("hi").alias("hi"), F.first("text").alias("text"))
+        dealt = dealt.join(marked, "route", "left_anti").unionByName(once.select("route", F.col("route").alias("key"), F.lit(-1).alias("shift"), "o", "hi", "text"))
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // 64_000_000)
-    dealt = light.repartition(n_parts, "route").sortWithinPartitions("route")
-    verdicts = materialize(dealt.mapInPandas(confirm, VERDICT_SCHEMA), "verdicts")
+    verdicts = materialize(dealt.repartition(n_parts, "route").sortWithinPartitions("route").mapInPandas(confirm, VERDICT_SCHEMA), "verdicts")
     release(spark)
+    told = verdicts
+    if n_heavy:
+        of_window = verdicts.filter("shift = -1").select(F.col("key").alias("route"), "smallest")
+        told = verdicts.filter("shift >= 0").unionByName(windows.select("route", "key", "shift").distinct().join(of_window, "route").select("key", "shift", "smallest"))
     places = found.filter("kind = 1").select("key", "o", "fp", "start")
-    covers = materialize(places.join(verdicts, "key").select("o", "fp", "start", "shift", "smallest").mapInPandas(_cover, "o long, fp long, starts binary"), "covers")
-    discard(found)
-    discard(verdicts)
+    covers = materialize(places.join(told, "key").select("o", "fp", "start", "shift", "smallest").mapInPandas(_cover, "o long, fp long, starts binary"), "covers")
+    for done in (found, verdicts, heavy, *([windows] if n_heavy else [])):
+        discard(done)
     release(spark)
-    return covers.groupBy("o", "fp").agg(F.collect_list("starts").alias("starts"))
+    # a set: rows that repeat a document add nothing
+    return covers.groupBy("o", "fp").agg(F.collect_set("starts").alias("starts"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -317,6 +288,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     counts as larger than any other; rows with equal ids are one document, which never
     repeats itself, and each keeps its row. An empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     starts = repeated_windows(docs.select("doc_id", "text")).select(F.col("o").alias("_o"), F.col("fp").alias("_fp"), F.col("starts").alias("_starts"))
     keyed = docs.withColumns({"_key_o": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key_fp": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 

@@ -15,7 +15,7 @@ import numpy as np
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes hashed at a time; bounds the memory of the kernels whatever the text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = 0xD1342543DE82EF95
 _GRAM_BASE = np.uint64(0xA0761D6478BD642F)
