@@ -1,57 +1,46 @@
 """Language-model scoring by cross-entropy difference.
 
-Two interpolated bigram models of the same form, one of target documents and one of all
-documents, share one vocabulary. A document's score is the mean difference of their
-losses by token: the lower, the more it reads like the target.
-
-Every word and every bigram is counted for itself, by its 64-bit hash, in tables that
-grow with the corpus and that no task holds whole. Documents are dealt into chunks. A
-chunk asks once for each of its distinct n-grams, so a common one is asked for once a
-chunk and not once a token; the questions are dealt by ranges of the hash into buckets,
-a bucket adds up its n-grams and answers, and the answers meet the chunk's documents again.
+Two interpolated bigram models, one of target documents and one of all documents, match
+in all but what they count: one vocabulary, one order, one smoothing. A document's score
+is the mean difference of their losses by token: the lower, the more it reads like the
+target. What a document itself adds to a model is taken out before it is scored, or
+every document of the target, and every rare phrase, would vouch for itself.
+
+Every word and every bigram is counted for itself, over all documents, in buckets that
+grow in number with the corpus and that no task holds whole.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_slices, materialize
+from palimpsest.llm.chunks import answered, asked, bucket_count, characters, chunked, met, pack, unpack
+from palimpsest.llm.common import discard, materialize
 from palimpsest.llm.wordhash import Words, gram_hashes, hash_words
 
-#: Characters of a chunk of documents, and of text whose n-grams make a bucket on average.
-CHUNK_CHARS, BUCKET_CHARS = 8_000_000, 16_000_000
-#: Buckets at least, so that a small corpus is spread as well.
-MIN_BUCKETS = 64
+#: Bytes of text of a chunk; a larger one asks less often for a common n-gram.
+CHUNK_CHARS = 8_000_000
+#: Bits by which the hash of an n-gram is longer than the number of words: any n-gram
+#: shares its hash with another one with a chance below 2 ** -23, whatever the corpus's size.
+SPARE_BITS = 24
 #: Words that occur less often than this share one entry of the vocabulary.
 MIN_COUNT = 2
 #: Share of the bigram estimate; the rest is the smoothed unigram.
 BIGRAM_SHARE = 0.7
 #: Ids that may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
-DOCUMENT, WORD, BIGRAM = -1, 0, 1
+WORD, BIGRAM = 0, 1
 
-CHUNK_SCHEMA = "chunk long, doc_id long, no_id boolean, text string, kind int, bucket int, keys binary, counts binary"
-ANSWER_SCHEMA = "chunk long, kind int, bucket int, counts binary, stats array<long>"
 SCORE_SCHEMA = "doc_id long, no_id boolean, n_tokens long, target_loss double, background_loss double, difference double"
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """64-bit numbers by byte planes, compressed; small ones take little room."""
-    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def _unpack(raw: bytes, dtype) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(bytes(raw)), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
-
-
 def _bigrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Places of the words that follow another in their text, and the bigrams that end there."""
     follows = np.ones(len(words.hashes), bool)
@@ -60,86 +49,48 @@ def _bigrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, gram_hashes(words.hashes, 2)[at - 1] if len(at) else np.zeros(0, np.uint64)
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each key; sorted keys have sorted buckets."""
-    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-
-
-def _chunks(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with their chunk; distinct n-grams of each chunk with their counts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = max(MIN_BUCKETS, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS))
-    ids = materialize(target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("hit", F.lit(1)), "target")
-    small = ids.count() <= MAX_BROADCAST_IDS
-    flagged = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left")
-    flagged = flagged.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text", F.col("hit").isNotNull().alias("hit"))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            for part in bounded_slices(batch, rows=4096, chars=CHUNK_CHARS // 8):
-                held.append(part)
-                size += part["text"].str.len().sum() + 16 * len(part)
-                if size >= CHUNK_CHARS:
-                    yield from ask(chunk, held)
-                    chunk, held, size = chunk + 1, [], 0
-        if held:
-            yield from ask(chunk, held)
-
-    def ask(chunk: int, parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.assign(chunk=chunk, kind=DOCUMENT, bucket=0, keys=None, counts=None)[columns]
-        words = hash_words(t for part in parts for t in part["text"])
-        hit = np.repeat(np.concatenate([part["hit"].to_numpy(bool) for part in parts]), words.counts())
-        at, pairs = _bigrams(words)
-        for kind, grams, hits in ((WORD, words.hashes, hit), (BIGRAM, pairs, hit[at])):
-            keys, which = np.unique(grams, return_inverse=True)
-            counts = np.stack([np.bincount(which[hits], minlength=len(keys)), np.bincount(which, minlength=len(keys))])
-            cut = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-            rows = [(b, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(counts[:, i:j])) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
-            if rows:
-                frame = pd.DataFrame(rows, columns=["bucket", "keys", "counts"])
-                yield frame.assign(chunk=chunk, doc_id=0, no_id=False, text=None, kind=kind)[columns]
-
-    columns = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-    table = materialize(flagged.mapInPandas(deal, CHUNK_SCHEMA), "chunks")
-    texts = table.filter(F.col("kind") == DOCUMENT).select("chunk", "doc_id", "no_id", "text")
-    return texts, table.filter(F.col("kind") != DOCUMENT).select("chunk", "kind", "bucket", "keys", "counts")
+def _add_up(kind: int, which: np.ndarray, ends: list[int], said: list[bytes]) -> Iterator[tuple[bytes, list[int] | None]]:
+    """Counts over all chunks, by model, of the n-grams that each chunk asked for.
 
-
-def _answer(questions: pd.DataFrame) -> pd.DataFrame:
-    """Counts over all chunks of the n-grams that each chunk asked a bucket for, in its order.
-
-    The first row of a bucket of words also holds what it adds to the vocabulary: known
+    With the first answer of a bucket of words comes what it adds to the vocabulary: known
     words, tokens of unknown ones and all tokens, the last two by model.
     """
-    asked = [np.cumsum(_unpack(raw, np.uint64), dtype=np.uint64) for raw in questions["keys"]]
-    counts = np.concatenate([_unpack(raw, np.int64).reshape(2, -1) for raw in questions["counts"]], axis=1)
-    keys, which = np.unique(np.concatenate(asked), return_inverse=True)
+    counts = np.concatenate([unpack(raw, np.int64).reshape(2, -1) for raw in said], axis=1)
     # sums of doubles are exact below 2 ** 53 tokens
-    total = np.stack([np.bincount(which, weights=c, minlength=len(keys)) for c in counts]).astype(np.int64)
-    ends = np.cumsum([len(a) for a in asked])
-    stats: list = [None] * len(asked)
-    if questions["kind"].iloc[0] == WORD:
-        rare = total[1] < MIN_COUNT
-        stats[0] = [int((~rare).sum()), *total[:, rare].sum(1).tolist(), *total.sum(1).tolist()]
-    answers = [_pack(total[:, which[end - len(a) : end]]) for a, end in zip(asked, ends, strict=True)]
-    return pd.DataFrame({"chunk": questions["chunk"], "kind": questions["kind"], "bucket": questions["bucket"], "counts": answers, "stats": stats})
+    total = np.stack([np.bincount(which, weights=c) for c in counts]).astype(np.int64)
+    rare = total[1] < MIN_COUNT
+    stats = [int((~rare).sum()), *total[:, rare].sum(1).tolist(), *total.sum(1).tolist()]
+    for n, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        yield pack(total[:, which[start:end]]), stats if kind == WORD and n == 0 else None
+
 
+def _own(doc: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """How often the n-gram at each place occurs in the document of that place."""
+    if not len(which):
+        return np.zeros(0)
+    same, n = np.unique(doc * (int(which.max()) + 1) + which, return_inverse=True, return_counts=True)[1:]
+    return n[same].astype(float)
 
-def _losses(words: Words, unigrams: np.ndarray, bigrams: np.ndarray, stats: list[int]) -> np.ndarray:
+
+def _losses(words: Words, width: int, hit: np.ndarray, unigrams: np.ndarray, bigrams: np.ndarray, stats: list[int]) -> np.ndarray:
     """Model, token: loss in nats. Counts are those of the sorted distinct n-grams of the words."""
     known_words, *sums = stats
     rare, totals = sums[:2], sums[2:]
     at, pairs = _bigrams(words)
-    which, pair = np.unique(words.hashes, return_inverse=True)[1], np.unique(pairs, return_inverse=True)[1]
-    known = unigrams[1] >= MIN_COUNT
-    out = np.empty((2, len(words.hashes)))
+    shift = np.uint64(64 - width)
+    which, pair = (np.unique(grams >> shift, return_inverse=True)[1] for grams in (words.hashes, pairs))
+    doc, n = words.text_of_word(), words.counts().astype(float)
+    known = (unigrams[1] >= MIN_COUNT)[which]
+    own, own_pair = _own(doc, which), _own(doc[at], pair)
+    own_entry = np.where(known, own, np.bincount(doc, weights=~known, minlength=len(n))[doc])
+    out = np.empty((2, len(which)))
     for k in range(2):
-        unigram = ((np.where(known, unigrams[k], rare[k]) + 1.0) / (totals[k] + known_words + 1))[which]
+        mine = np.ones(len(which)) if k else hit[doc].astype(float)
+        entry = np.where(known, unigrams[k][which], rare[k]) - mine * own_entry
+        unigram = (entry + 1.0) / (totals[k] - mine * n[doc] + known_words + 1)
         context, seen = np.zeros(len(which)), np.zeros(len(which))
-        context[at] = unigrams[k][which[at - 1]]
-        seen[at] = bigrams[k][pair]
+        context[at] = unigrams[k][which[at - 1]] - mine[at] * own[at - 1]
+        seen[at] = bigrams[k][pair] - mine[at] * own_pair
         # an unseen context leaves everything to the unigram
         share = np.where(context > 0, BIGRAM_SHARE, 0.0)
         out[k] = -np.log(share * (seen / np.maximum(context, 1.0)) + (1 - share) * unigram)
@@ -150,30 +101,44 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) of every document.
 
     ``target`` names the target documents by ``doc_id``; the background is all of
-    ``docs``. Losses are means by token, in nats. Words are runs of characters between
-    white space. A text without words, or null, has no tokens and losses and difference
-    0. Without target documents the target model is uniform over the vocabulary.
-    Repeated rows count and are scored each; ids of ``target`` that no document has,
-    and null ids, count for nothing. Other columns are ignored; an empty table gives an
-    empty one.
+    ``docs``. Either model leaves out the scored row's own words. Losses are means by
+    token, in nats. Words are runs of characters between white space. A text without
+    words, or null, has no tokens and losses and difference 0. Without target documents
+    the target model is uniform over the vocabulary. Repeated rows count and are scored
+    each; ids of ``target`` that no document has, and null ids, count for nothing.
+    Other columns are ignored; an empty table gives an empty one.
     """
-    texts, questions = _chunks(docs, target)
-    answers = materialize(questions.groupBy("kind", "bucket").applyInPandas(_answer, ANSWER_SCHEMA), "answers")
-    sums = answers.filter("stats IS NOT NULL").agg(*(F.sum(F.col("stats")[i]) for i in range(5))).first()
-    stats = [n or 0 for n in sums]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    chars = characters(rows)
+    buckets, width = bucket_count(chars), min(64, max(32, math.ceil(math.log2(chars / 2 + 1)) + SPARE_BITS))
+    ids = materialize(target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("hit", F.lit(1)), "target")
+    small = ids.count() <= MAX_BROADCAST_IDS
+    flagged = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left")
+    chunks = chunked(flagged.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("hit").isNotNull().alias("hit"), "text"), CHUNK_CHARS)
+    discard(ids)
+
+    def ask(part: pa.Table) -> Iterator[tuple]:
+        words = hash_words(part.column("text").to_pylist())
+        hit = np.repeat(part.column("hit").to_numpy(), words.counts())
+        at, pairs = _bigrams(words)
+        for kind, grams, hits in ((WORD, words.hashes, hit), (BIGRAM, pairs, hit[at])):
+            keys, which = np.unique(grams >> np.uint64(64 - width), return_inverse=True)
+            counts = np.stack([np.bincount(which[hits], minlength=len(keys)), np.bincount(which, minlength=len(keys))])
+            yield kind, keys, lambda i, j, counts=counts: pack(counts[:, i:j])
+
+    answers = answered(asked(chunks, ask, width, buckets), _add_up)
+    stats = [n or 0 for n in answers.filter("stats IS NOT NULL").agg(*(F.sum(F.col("stats")[i]) for i in range(5))).first()]
 
-    def score(part: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
-        words = hash_words(part["text"])
+    def score(part: pa.Table, told: dict[int, list[bytes]]) -> pd.DataFrame:
+        words = hash_words(part.column("text").to_pylist())
         n = words.counts()
-        counts = []
-        for kind in (WORD, BIGRAM):
-            own = answered[answered["kind"] == kind].sort_values("bucket")["counts"]
-            counts.append(np.concatenate([np.zeros((2, 0), np.int64), *(_unpack(raw, np.int64).reshape(2, -1) for raw in own)], axis=1))
-        total = np.concatenate([np.zeros((2, 1)), np.cumsum(_losses(words, *counts, stats), axis=1)], axis=1)
+        counts = [np.concatenate([np.zeros((2, 0), np.int64), *(unpack(raw, np.int64).reshape(2, -1) for raw in told.get(kind, []))], axis=1) for kind in (WORD, BIGRAM)]
+        losses = _losses(words, width, part.column("hit").to_numpy(), *counts, stats)
+        total = np.concatenate([np.zeros((2, 1)), np.cumsum(losses, axis=1)], axis=1)
         means = (total[:, words.first[1:]] - total[:, words.first[:-1]]) / np.maximum(n, 1)
-        return pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "n_tokens": n, "target_loss": means[0], "background_loss": means[1], "difference": means[0] - means[1]})
+        return pd.DataFrame({"doc_id": part.column("doc_id").to_numpy(), "no_id": part.column("no_id").to_numpy(), "n_tokens": n, "target_loss": means[0], "background_loss": means[1], "difference": means[0] - means[1]})
 
-    scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, SCORE_SCHEMA)
+    scored = met(chunks, answers, score, SCORE_SCHEMA)
     return scored.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_tokens", "target_loss", "background_loss", "difference")
 
 

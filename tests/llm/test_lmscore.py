@@ -18,17 +18,23 @@ def brute(texts, target):
                 uni[k].update(d)
                 bi[k].update(zip(d, d[1:], strict=False))
     known = {w for w, n in uni[1].items() if n >= 2}
-    v = 2 ** 0 * len(known) + 1
-    for d in docs:
+    v = len(known) + 1
+    totals = [sum(u.values()) for u in uni]
+    rares = [sum(n for w, n in u.items() if w not in known) for u in uni]
+    for i, d in enumerate(docs):
         losses = []
+        own, own_pairs = Counter(d), Counter(zip(d, d[1:], strict=False))
         for k in range(2):
-            total, rare = sum(uni[k].values()), sum(n for w, n in uni[k].items() if w not in known)
+            mine = 1 if k or i in target else 0
+            total = totals[k] - mine * len(d)
+            rare = rares[k] - mine * sum(w not in known for w in d)
             loss = 0.0
             for j, w in enumerate(d):
-                p1 = ((uni[k][w] if w in known else rare) + 1) / (total + v)
-                context = uni[k][d[j - 1]] if j else 0
+                p1 = ((uni[k][w] - mine * own[w] if w in known else rare) + 1) / (total + v)
+                context = uni[k][d[j - 1]] - mine * own[d[j - 1]] if j else 0
                 share = lmscore.BIGRAM_SHARE if context else 0.0
-                loss -= math.log(share * (bi[k][d[j - 1], w] / context if context else 0) + (1 - share) * p1)
+                seen = bi[k][d[j - 1], w] - mine * own_pairs[d[j - 1], w] if j else 0
+                loss -= math.log(share * (seen / context if context else 0) + (1 - share) * p1)
             losses.append(loss / max(len(d), 1))
         out.append((len(d), *losses))
     return out
@@ -73,3 +79,23 @@ def test_more_ngrams_than_any_fixed_table(spark):
     for i, (n, a, b) in enumerate(brute(texts, target)):
         assert got[i].n_tokens == n
         assert got[i].target_loss == pytest.approx(a, rel=1e-6) and got[i].background_loss == pytest.approx(b, rel=1e-6)
+
+
+def test_a_document_does_not_vouch_for_itself(spark):
+    """Of two kinds of made-up text, that which occurs twice is told from that which occurs once."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common = [word(3) for _ in range(300)]
+    texts = [" ".join(rng.choice(common) for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:5]])), "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(10, 20)], "doc_id long")
+    got = {r.doc_id: r.difference for r in lmscore.cross_entropy_difference(docs, ids).collect()}
+    assert min(got[i] for i in (*range(5), *range(40, 45))) > max(got[i] for i in range(5, 40))
+
+
+def test_small_chunks_and_many_buckets(spark, monkeypatch):
+    from palimpsest.llm import chunks
+
+    monkeypatch.setattr(lmscore, "CHUNK_CHARS", 10)
+    monkeypatch.setattr(chunks, "MIN_BUCKETS", 500)
+    test_brute_force(spark, {0, 1})
