@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_slices, connected_components, materialize
+from palimpsest.llm.common import bounded_batches, bounded_slices, connected_components, discard, materialize, materialize_alone
 from palimpsest.llm.wordhash import gram_hashes, hash_words, mix
 
 #: Words of a shingle.
@@ -31,8 +31,8 @@ BAND = 5
 MARGIN = 0.17
 #: Least similarity of a link, in hundredths.
 THRESHOLD = 85
-#: Documents compared in one block, and shingles counted at a time.
-BLOCK, COLUMNS = 512, 8192
+#: Documents compared in one block, and shingles (distinct, and in all) counted at a time.
+BLOCK, COLUMNS, ROOM = 512, 8192, 500_000
 #: Ids that may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -185,16 +185,32 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
                 yield pd.DataFrame({"a": part["id"][keep], "b": part["hid"][keep]})
 
     joined = pairs.join(texts, ["id", "th"]).join(other, ["hid", "hth"]).select("id", "text", "hid", "hth", "htext")
-    return materialize(joined.mapInPandas(compare, "a long, b long").distinct(), "edges")
+    return joined.mapInPandas(compare, "a long, b long").distinct()
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows sorted by block: a bucket, or two parts of one that is larger than a block."""
-    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK), "crowded")
-    parts = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(BLOCK)).cast("int")
-    part = F.pmod(F.xxhash64("id", "th"), F.col("_parts")).cast("int")
-    split = rows.join(sizes, "key", "left").withColumn("_parts", parts).withColumn("part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    blocks = split.withColumns({"lo": F.least("part", "_other"), "hi": F.greatest("part", "_other")}).drop("_n", "_parts", "_other")
+    """Rows sorted by block: a bucket, or two parts of one that is larger than a block.
+
+    A group ``c`` that fills a block of its bucket has parts of its own, which meet the
+    other parts and not each other; smaller groups share parts. So a stray beside a
+    group of n rows costs n rows and not their square.
+    """
+    sizes = materialize(rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    n_parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    rest = F.coalesce(F.sum(F.when(F.col("n") <= BLOCK, F.col("n"))), F.lit(0))
+    crowded = sizes.groupBy("key").agg(F.sum("n").alias("all"), n_parts(rest).alias("_rest")).filter(F.col("all") > BLOCK).drop("all")
+    in_key = Window.partitionBy("key")
+    before = F.coalesce(F.sum("_own").over(in_key.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    large = sizes.filter(F.col("n") > BLOCK).select("key", "c", n_parts(F.col("n")).alias("_own")).withColumn("_before", before).withColumn("_sum", F.sum("_own").over(in_key))
+    in_all = materialize(crowded.join(large.groupBy("key").agg(F.max("_sum").alias("_sum")), "key", "left").select("key", "_rest", (F.col("_rest") + F.coalesce("_sum", F.lit(0))).cast("int").alias("_parts")), "crowded")
+    own = materialize(large.join(in_all, "key").select("key", "c", "_own", (F.col("_rest") + F.col("_before")).cast("int").alias("_from")), "large")
+    discard(sizes)
+    placed = rows.join(in_all, "key", "left").join(own, ["key", "c"], "left")
+    spread = F.xxhash64("id", "th")
+    part = F.when(F.col("_own").isNotNull(), F.col("_from") + F.pmod(spread, F.col("_own"))).otherwise(F.pmod(spread, F.greatest(F.coalesce("_rest", F.lit(1)), F.lit(1))))
+    others = F.filter(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1), lambda x: F.col("_own").isNull() | (x < F.col("_from")) | (x >= F.col("_from") + F.col("_own")))
+    split = placed.withColumn("part", part.cast("int")).withColumn("_other", F.explode(others))
+    blocks = split.withColumns({"lo": F.least("part", "_other"), "hi": F.greatest("part", "_other")}).drop("_own", "_from", "_rest", "_parts", "_other")
     return blocks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 
@@ -239,23 +255,39 @@ def _hopeful_rows(block: pd.DataFrame, threshold: int) -> pd.DataFrame:
         if len(a):
             near = likely_similarity(n[a], n[b], regs[a], regs[b]) >= threshold / 100 - MARGIN
             active[a[near]] = active[b[near]] = True
-    return block.loc[active, ["key", "id", "th"]]
+    return block.loc[active, ["key", "c", "id", "th"]]
 
 
-def _linked_rows(block: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """A star of ids for each group of a block whose full sets are similar enough."""
-    text, found = shingles(hash_words(block["text"], lower=True))
-    n = np.bincount(text, minlength=len(block))
+def _in_both(text: np.ndarray, found: np.ndarray, n_texts: int) -> np.ndarray:
+    """For each two texts, how many of the shingles are in both."""
     column, times = np.unique(found, return_inverse=True, return_counts=True)[1:]
     # a shingle of one document is in no intersection
     use = times[column] > 1
     text, column = text[use], np.unique(column[use], return_inverse=True)[1]
-    both = np.zeros((len(block), len(block)), np.int64)
+    both = np.zeros((n_texts, n_texts), np.int64)
     for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
         here = (column >= low) & (column < low + COLUMNS)
-        marks = np.zeros((len(block), COLUMNS), np.float32)
+        marks = np.zeros((n_texts, COLUMNS), np.float32)
         marks[text[here], column[here] - low] = 1
         both += (marks @ marks.T).astype(np.int64)
+    return both
+
+
+def _linked_rows(block: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """A star of ids for each group of a block whose full sets are similar enough."""
+    parts, at = [], 0
+    for part in bounded_slices(block[["text"]]):
+        owner, found = shingles(hash_words(part["text"], lower=True))
+        parts.append(((owner + at).astype(np.int32), found))
+        at += len(part)
+    text, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+    n = np.bincount(text, minlength=len(block))
+    both = np.zeros((len(block), len(block)), np.int64)
+    # the shingles of long texts are counted in ranges of their hashes
+    ranges = -(-len(found) // ROOM)
+    for r in range(ranges):
+        here = (found >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32) == r
+        both += _in_both(text[here], found[here], len(block))
     near = _across(block) & (100 * both >= threshold * (n[:, None] + n[None, :] - both))
     near |= near.T
     ids, waiting, stars = block["id"].to_numpy(), near.any(1), []
@@ -274,11 +306,31 @@ def _linked_rows(block: pd.DataFrame, threshold: int) -> pd.DataFrame:
 
 def _compared(rows: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Edges within buckets that hold several groups: registers pick rows, full sets link them."""
-    hopeful = _dealt(rows).mapInPandas(lambda it: _by_block(it, lambda b: _hopeful_rows(b, threshold)), "key long, id long, th long")
+    hopeful = _dealt(rows).mapInPandas(lambda it: _by_block(it, lambda b: _hopeful_rows(b, threshold)), "key long, c long, id long, th long")
     active = materialize(hopeful.distinct(), "active")
     texts = _texts_of(active.select("id", "th").distinct(), docs)
     blocks = _dealt(active.join(texts, ["id", "th"]))
-    return materialize(blocks.mapInPandas(lambda it: _by_block(it, lambda b: _linked_rows(b, threshold)), "a long, b long").distinct(), "edges")
+    return blocks.mapInPandas(lambda it: _by_block(it, lambda b: _linked_rows(b, threshold)), "a long, b long").distinct()
+
+
+def _links(sketched: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Edges (a, b) that connect every two documents that are linked, directly or not."""
+    usable = sketched.filter("n > 0 AND doc_id IS NOT NULL")
+    reps = materialize(usable.groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "th", "n", "regs")).alias("r")).select("f1", "f2", "r.*"), "reps")
+    copies = usable.join(reps.select("f1", "f2", F.col("id").alias("rep")), ["f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    sketches = reps.select("id", "th", "n", "regs")
+    keys = [F.expr(f"xxhash64({i}, substring(regs, {2 * BAND * i + 1}, {2 * BAND}))") for i in range(REGISTERS // BAND)]
+    bands = reps.select("id", "th", F.posexplode(F.array(*keys)).alias("band", "key"))
+    hubs = materialize(bands.groupBy("key").agg(F.min(F.struct("id", "th")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("hub.id").alias("hid"), F.col("hub.th").alias("hth")), "hubs")
+    crowd = materialize(bands.join(hubs, "key"), "crowd")
+    first = materialize(crowd.filter("id <> hid").groupBy("id", "th").agg(F.min(F.struct("hid", "hth")).alias("h")).select("id", "th", "h.hid", "h.hth"), "first")
+    tried = materialize(_hopeful(first, sketches, threshold), "hopeful")
+    edges = materialize_alone(lambda: _confirmed(tried, docs, threshold), "edges")
+    grouped = materialize_alone(lambda: connected_components(edges), "groups")
+    placed = crowd.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "th", F.coalesce("component", "id").alias("c"))
+    mixed = materialize(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "mixed")
+    left = materialize(placed.join(mixed, "key").join(sketches, ["id", "th"]), "left")
+    return edges.unionByName(materialize_alone(lambda: _compared(left, docs, threshold), "edges")).unionByName(copies)
 
 
 def group_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -299,24 +351,9 @@ def group_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFr
     whose tasks return a tree of links for each group, so no pairs are written out.
     Nothing is dropped for size.
     """
+    bounded_batches(docs.sparkSession)
     sketched = materialize(sketch_documents(docs), "sketches")
-    usable = sketched.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = materialize(usable.groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "th", "n", "regs")).alias("r")).select("f1", "f2", "r.*"), "reps")
-    copies = usable.join(reps.select("f1", "f2", F.col("id").alias("rep")), ["f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    sketches = reps.select("id", "th", "n", "regs")
-    keys = [F.expr(f"xxhash64({i}, substring(regs, {2 * BAND * i + 1}, {2 * BAND}))") for i in range(REGISTERS // BAND)]
-    bands = reps.select("id", "th", F.posexplode(F.array(*keys)).alias("band", "key"))
-    hubs = materialize(bands.groupBy("key").agg(F.min(F.struct("id", "th")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("hub.id").alias("hid"), F.col("hub.th").alias("hth")), "hubs")
-    crowd = materialize(bands.join(hubs, "key"), "crowd")
-    first = materialize(crowd.filter("id <> hid").groupBy("id", "th").agg(F.min(F.struct("hid", "hth")).alias("h")).select("id", "th", "h.hid", "h.hth"), "first")
-    tried = materialize(_hopeful(first, sketches, threshold), "hopeful")
-    edges = _confirmed(tried, docs, threshold)
-    grouped = connected_components(edges)
-    placed = crowd.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "th", F.coalesce("component", "id").alias("c"))
-    mixed = materialize(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "mixed")
-    left = materialize(placed.join(mixed, "key").join(sketches, ["id", "th"]), "left")
-    links = edges.unionByName(_compared(left, docs, threshold)).unionByName(copies)
-    joined = connected_components(links)
+    joined = materialize_alone(lambda: connected_components(_links(sketched, docs, threshold)), "components")
     return sketched.join(joined, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -327,7 +364,7 @@ def group_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFr
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that a smaller id of their group stands for; all columns stay."""
-    gone = materialize(group_near_duplicates(docs, threshold).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = materialize_alone(lambda: group_near_duplicates(docs, threshold).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     small = gone.count() <= MAX_BROADCAST_IDS
     return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
 
