@@ -8,6 +8,7 @@ the writer's line separator is that zero byte, so no stray byte enters the archi
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -19,13 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, scratch_path
+from palimpsest.llm.common import bounded_batches, materialize, scratch_path
 
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this many bytes are always stored.
 MIN_REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 4096
+#: Records of an archive, and about how many bytes of it, at most. A reader holds a whole archive.
+RECORDS_PER_FILE, BYTES_PER_FILE = 4096, 64 << 20
 #: Where a header mostly ends; a longer one is searched up to the next version line.
 USUAL_HEADER_BYTES = 1 << 16
 
@@ -34,6 +36,9 @@ _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT_LINE = re.compile(rb"\nWARC/1\.[01]\r\n")
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+#: Compressed bytes that are inflated at a time: of a member's start, of the rest, and where damage is sought.
+_FIRST_WINDOW, _WINDOW, _PIECE = 1 << 13, 1 << 16, 256
+_HASHES = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}
 
 
 # --- writing ---
@@ -102,16 +107,31 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
 
 
 def write_archives(planned: DataFrame, path: str) -> None:
-    """Write the records of ``plan_records`` to WARC files in ``path``."""
+    """Write the records of ``plan_records`` to WARC files in ``path``.
+
+    An archive has at most RECORDS_PER_FILE members and about BYTES_PER_FILE bytes, or
+    one larger record; one that is full before its time is filled up with empty members.
+    """
+    bounded_batches(planned.sparkSession)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = 0, 0
         for batch in batches:
-            for start in range(0, len(batch), 512):
-                out = []
-                for r in batch.iloc[start : start + 512].itertuples(index=False):
-                    first = pd.isna(r.refers_to)
-                    record = record_bytes("response" if first else "revisit", page_urn(r.page_id), r.url, bytes(r.payload) if first else None, int(r.payload_bytes), r.payload_digest, None if first else page_urn(r.refers_to))
-                    out.append(member(record)[:-1])
+            out = []
+            for r in batch.itertuples(index=False):
+                first = pd.isna(r.refers_to)
+                record = record_bytes("response" if first else "revisit", page_urn(r.page_id), r.url, bytes(r.payload) if first else None, int(r.payload_bytes), r.payload_digest, None if first else page_urn(r.refers_to))
+                packed = member(record)
+                if rows and size + len(packed) > BYTES_PER_FILE:
+                    # the writer counts rows: empty members take up the rest of the archive
+                    out += [_EMPTY_MEMBER[:-1]] * (RECORDS_PER_FILE - rows)
+                    rows, size = 0, 0
+                out.append(packed[:-1])
+                rows, size = (rows + 1) % RECORDS_PER_FILE, size + len(packed) if rows + 1 < RECORDS_PER_FILE else 0
+                if len(out) >= 512 or size > BYTES_PER_FILE // 8:
+                    yield pd.DataFrame({"member": out})
+                    out = []
+            if out:
                 yield pd.DataFrame({"member": out})
 
     packed = planned.mapInPandas(pack, "member binary").select(F.col("member").cast("string").alias("value"))
@@ -123,10 +143,35 @@ def write_archives(planned: DataFrame, path: str) -> None:
 
 @dataclass
 class Record:
+    """A whole record; ``checked`` if a digest of its block was there and right."""
+
     start: int
     end: int
     fields: dict[str, str]
     block: bytes
+    checked: bool = False
+
+
+def digest_bytes(label: str) -> tuple[str, bytes | None]:
+    """Algorithm and digest of a labelled digest, in hex or base32; None where the form is unknown."""
+    kind, _, text = label.partition(":")
+    kind, text = kind.strip().lower(), text.strip()
+    if kind not in _HASHES:
+        return kind, None
+    size = _HASHES[kind]().digest_size
+    try:
+        if len(text) == 2 * size:
+            return kind, bytes.fromhex(text)
+        found = base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        return kind, None
+    return kind, found if len(found) == size else None
+
+
+def _matches(label: str, data: bytes) -> bool | None:
+    """Whether data has a labelled digest; None where there is none that can be told."""
+    kind, digest = digest_bytes(label)
+    return None if digest is None else _HASHES[kind](data).digest() == digest
 
 
 def parse_record(data: bytes, at: int) -> tuple[Record | None, str]:
@@ -154,39 +199,105 @@ def parse_record(data: bytes, at: int) -> tuple[Record | None, str]:
     if data[end : end + 4] != b"\r\n\r\n":
         return None, "record end is missing"
     block = data[begin:end]
-    kind, _, digest = fields.get("warc-block-digest", "").partition(":")
-    if kind.lower() == "sha1" and digest.lower() != hashlib.sha1(block).hexdigest():
+    right = _matches(fields.get("warc-block-digest", ""), block)
+    if right is False:
         return None, "block digest differs"
-    return Record(at, end + 4, fields, block), ""
+    return Record(at, end + 4, fields, block, right is True), ""
 
 
-def parse_member(data: bytes, at: int) -> tuple[list[Record], int, str]:
-    """The records of the gzip member at ``at`` and its end, or why there are none."""
-    engine = zlib.decompressobj(31)
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The content of the gzip member at ``at``, its end, and what is wrong, if anything.
+
+    Only the member is read, window by window, however long the archive is.
+    """
+    engine, view, out, place = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        body = engine.decompress(memoryview(data)[at:])
+        while not engine.eof and place < len(data):
+            window = view[place : place + (_WINDOW if out else _FIRST_WINDOW)]
+            out.append(engine.decompress(window))
+            place += len(window)
     except zlib.error:
-        return [], at, "member does not decompress"
+        return b"", at, "member does not decompress"
     if not engine.eof:
-        return [], at, "member is cut short"
-    end, found, inside = len(data) - len(engine.unused_data), [], 0
+        return b"", at, "member is cut short"
+    return b"".join(out), place - len(engine.unused_data), ""
+
+
+def inflate_damaged(data: bytes, at: int) -> bytes:
+    """What a member holds before its fault or cut."""
+    engine, view, out, place, step = zlib.decompressobj(31), memoryview(data), [], at, _PIECE
+    while place < len(data) and not engine.eof:
+        before = engine.copy()
+        try:
+            out.append(engine.decompress(view[place : place + step]))
+        except zlib.error:
+            if step == 1:
+                break
+            engine, step = before, 1  # byte by byte up to the fault
+            continue
+        place += step
+    return b"".join(out)
+
+
+def place_of(data: bytes, at: int, length: int) -> int:
+    """Where the member at ``at`` has given ``length`` bytes of content."""
+    engine, view, size, place, step = zlib.decompressobj(31), memoryview(data), 0, at, _PIECE
+    while size < length:
+        before = engine.copy()
+        try:
+            more = len(engine.decompress(view[place : place + step]))
+        except zlib.error:
+            more = length  # the content is complete before the fault
+        if step > 1 and size + more >= length:
+            engine, step = before, 1
+            continue
+        size, place = size + more, place + step
+    return place
+
+
+def records_in(body: bytes, checked_only: bool = False) -> tuple[list[Record], str]:
+    """The whole records of a member's content, and why the first that isn't whole isn't."""
+    found, inside, reason = [], 0, ""
     while inside < len(body):
         record, why = parse_record(body, inside)
-        if record is None:
-            return found, end, why
-        inside = record.end
-        found.append(Record(at, end, record.fields, record.block))
-    return found, end, ""
+        if record and (record.checked or not checked_only):
+            found.append(record)
+            inside = record.end
+            continue
+        reason = reason or why or "member does not decompress"
+        following = _NEXT_LINE.search(body, inside + 1)
+        inside = following.start() + 1 if following else len(body)
+    return found, reason
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, Record | str]]:
-    """Records of an archive, and the byte gaps that hold none.
+def parse_member(data: bytes, at: int) -> tuple[list[Record], int, str]:
+    """The records of the gzip member at ``at``, where they end, and what is wrong.
+
+    Of a member that is cut short, the records before the cut are good. Of one that does
+    not decompress, only those are whose own digest says so: what comes out before a
+    fault is noticed may be wrong already.
+    """
+    body, end, fault = inflate(data, at)
+    if not fault:
+        found, why = records_in(body)
+        return [Record(at, end, r.fields, r.block, r.checked) for r in found], end, why
+    found, _ = records_in(inflate_damaged(data, at), checked_only=fault != "member is cut short")
+    if not found:
+        return [], at, fault
+    end = place_of(data, at, found[-1].end)
+    return [Record(at, end, r.fields, r.block, r.checked) for r in found], end, fault
 
-    Yields ("record", start, end, record) and ("gap", start, end, reason), in order;
-    together they cover every byte. Members and plain records may be mixed. After a
-    failed check the reader looks for the next member or version line that leads to a
-    whole record and goes on there, so damage costs the records that it touches and no
-    others. An empty archive yields nothing.
+
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, Record | str]]:
+    """Records of an archive, and the byte ranges that hold none.
+
+    Yields ("record", start, end, record), ("gap", start, end, reason) and ("padding",
+    start, end, reason) for an empty member, in order; together they cover every byte.
+    Members and plain records may be mixed. After a failed check the reader looks for the
+    next member or version line that leads to a whole record and goes on there, so damage
+    costs the records that it touches and no others; a member of several records keeps
+    those before a cut or fault. Block digests may be hex or base32, and one of unknown
+    form is not checked. An empty archive yields nothing.
     """
     at, bad, reason = 0, None, ""
     while at < len(data):
@@ -203,7 +314,11 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, Record | str]]:
                 bad = None
             for record in records:
                 yield "record", at, end, record
-            if why:
+            if not records:
+                yield "padding", at, end, "empty member"
+            if why in ("member does not decompress", "member is cut short"):
+                bad, reason = end, why
+            elif why:
                 yield "gap", at, end, why
             at = end
             continue
@@ -211,7 +326,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, Record | str]]:
             bad, reason = at, why
         following = _START.search(data, at + 1)
         at = following.start() if following else len(data)
-    if bad is not None:
+    if bad is not None and bad < len(data):
         yield "gap", bad, len(data), reason
 
 
@@ -221,10 +336,13 @@ RECORD_SCHEMA = "kind string, archive string, start long, `end` long, reason str
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Every record and every quarantined byte gap of the archives in ``path``.
 
-    ``kind`` is record or gap; a gap has its archive, byte range and reason, and nulls
-    elsewhere. payload_bytes is the length that the HTTP head declares, which for a
-    revisit is that of the page. A record whose payload does not match its payload
-    digest is a gap too. A folder without files gives no rows.
+    ``kind`` is record, gap or padding; the last two have archive, byte range and reason,
+    and nulls elsewhere. payload_bytes is the length that the HTTP head declares, which
+    for a revisit is that of the page. payload_digest is bare lower-case hex whatever the
+    archive's form; one of unknown form stays as it is and is not checked. A record whose
+    payload does not match its payload digest is a gap too. A folder without files gives
+    no rows. An archive is read whole by one task, so it must fit a worker, and stay
+    below 2 GiB, Spark's limit for a binary file; ``write_archives`` keeps far below.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,14 +363,16 @@ _COLUMNS = ["kind", "archive", "start", "end", "reason", "record_type", "record_
 
 
 def _row(kind: str, archive: str, start: int, end: int, found: Record | str, with_payload: bool) -> tuple:
-    if kind == "gap":
+    if kind != "record":
         return (kind, archive, start, end, found, None, None, None, None, None, None, None)
     fields = found.fields
     head, _, payload = found.block.partition(b"\r\n\r\n")
     declared = re.search(rb"(?im)^content-length:\s*(\d{1,15})\s*$", head)
     n_bytes = int(declared[1]) if declared else len(payload)
-    digest = fields.get("warc-payload-digest", "").partition(":")[2].lower() or None
-    if fields.get("warc-type") != "revisit" and digest and hashlib.sha1(payload).hexdigest() != digest:
+    label = fields.get("warc-payload-digest", "")
+    known = digest_bytes(label)[1]
+    digest = known.hex() if known else label.partition(":")[2] or None
+    if fields.get("warc-type") != "revisit" and _matches(label, payload) is False:
         return ("gap", archive, start, end, "payload digest differs", None, None, None, None, None, None, None)
     bare = lambda name: fields[name].strip("<>") if name in fields else None
     return (kind, archive, start, end, None, fields.get("warc-type"), bare("warc-record-id"), bare("warc-refers-to"), fields.get("warc-target-uri"), digest, n_bytes, payload if with_payload else None)

@@ -53,7 +53,7 @@ def test_damage_costs_only_what_it_touches():
 
 def test_cut_short_and_junk_between():
     parts = [warc.member(record(i)) for i in range(3)]
-    data = b"junk" + parts[0] + b"\x1f\x8b\x08junk WARC/1.0\r\n" + parts[1] + parts[2][:-9]
+    data = b"junk" + parts[0] + b"\x1f\x8b\x08junk WARC/1.0\r\n" + parts[1] + parts[2][:-40]
     found = list(warc.salvage(data))
     assert ids(found) == ["<urn:page:0>", "<urn:page:1>"] and len(gaps(found)) == 3
 
@@ -106,3 +106,62 @@ def test_headers_of_any_length(spark, tmp_path):
     pages = spark.createDataFrame([(i, url, "p") for i, url in enumerate(urls)], "page_id long, url string, html string")
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(r.page_id for r in warc.op3_warc(spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
+
+
+def test_members_of_several_records_keep_what_precedes_the_damage():
+    records = [record(i, random.Random(i).randbytes(3000).hex().encode()) for i in range(3)]
+    packed = gzip.compress(b"".join(records), mtime=0)
+    after = warc.member(record(9))
+    for damaged in (packed[:-2500], packed[:-2500] + after, packed[:-2000] + b"\xff" + packed[-1999:] + after, packed[:-3] + b"abc" + after):
+        found = list(warc.salvage(damaged))
+        want = {"<urn:page:0>", "<urn:page:1>"} | ({"<urn:page:9>"} if damaged.endswith(after) else set())
+        assert want <= set(ids(found)) and gaps(found)
+        assert all(r.block == warc.parse_record(records[int(r.fields["warc-record-id"][10])], 0)[0].block for k, _, _, r in found if k == "record" and r.fields["warc-record-id"] != "<urn:page:9>")
+        spans = sorted({(a, b) for _, a, b, _ in found})
+        assert spans[0][0] == 0 and spans[-1][1] == len(damaged) and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+    bad = records[1][:-10] + b"zz" + records[1][-8:]
+    assert ids(list(warc.salvage(gzip.compress(records[0] + bad + records[2])))) == ["<urn:page:0>", "<urn:page:2>"]
+
+
+def test_digests_in_base32_and_of_unknown_form(spark, tmp_path):
+    import base64
+
+    plain = record(1)
+    sha = hashlib.sha1(warc.parse_record(plain, 0)[0].block)
+    payload = plain.partition(b"WARC-Payload-Digest: sha1:")[2][:40]
+    spelled = {
+        "base32": plain.replace(sha.hexdigest().encode(), base64.b32encode(sha.digest())).replace(payload, base64.b32encode(bytes.fromhex(payload.decode()))),
+        "upper": plain.replace(sha.hexdigest().encode(), sha.hexdigest().upper().encode()),
+        "unknown": plain.replace(b"WARC-Block-Digest: sha1:", b"WARC-Block-Digest: blake3:").replace(payload, b"???"),
+    }
+    for data in spelled.values():
+        assert len(ids(list(warc.salvage(warc.member(data))))) == 1
+    wrong = spelled["base32"].replace(b"page 1", b"page 2", 1)
+    assert [r for k, _, _, r in warc.salvage(wrong) if k == "gap"] == ["block digest differs"]
+    (tmp_path / "a.warc.gz").write_bytes(warc.member(spelled["base32"]) + warc.member(spelled["unknown"]))
+    rows = warc.read_archives(spark, str(tmp_path)).orderBy("start").collect()
+    assert [r.kind for r in rows] == ["record", "record"] and [r.payload_digest for r in rows] == [payload.decode(), "???"]
+
+
+def test_time_grows_with_the_members_and_not_their_square():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        data = warc.member(record(1)) * n
+        began = time.process_time()
+        assert sum(1 for _ in warc.salvage(data)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 20_000)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 50)
+    pages = spark.createDataFrame([(i, "u", random.Random(i).randbytes(1500).hex()) for i in range(120)] + [(999, "u", random.Random(3).randbytes(40_000).hex())], "page_id long, url string, html string")
+    warc.write_archives(warc.plan_records(pages.coalesce(1)), f"file://{tmp_path}/w")
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 8 and sorted(sizes)[-2] < 25_000
+    got = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert sorted(r.record_id for r in got if r.kind == "record") == sorted(f"urn:page:{i}" for i in (*range(120), 999))
+    assert {r.kind for r in got} == {"record", "padding"}
