@@ -1,7 +1,8 @@
-"""Benchmark decontamination by seeds that no allowed overlap can avoid.
+"""Benchmark decontamination by spaced seeds that no allowed overlap can avoid.
 
-A seed hashes a short run of tokens. A stretch of which 80 % are equal has equal runs of
-some length wherever its changes fall, so every overlap has a hit. Seeds of documents
+A seed hashes the tokens that a mask selects and ignores those between. The masks are
+chosen so that a stretch of which 80 % are equal has a hit of one of them wherever its
+changes fall; so no overlap goes unseen. Seeds of documents
 that pass a bitmap of benchmark seeds are joined with the benchmark's; each diagonal that
 a hit names is then verified over its full length, token by token.
 """
@@ -16,14 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_slices, materialize
+from palimpsest.llm.common import bounded_batches, bounded_slices, materialize, materialize_alone
 from palimpsest.llm.wordhash import as_bytes, hash_words, mix
 
-#: Mask of a seed. With a fifth of its tokens changed at most, a stretch of 13 tokens or
-#: more keeps four equal ones in a row, by counting: m changes leave m + 1 runs for the rest.
-#: The one length that may not is 15, whose three changes leave four runs of three.
-MASKS = ("1111",)
-TIGHT, TIGHT_LENGTH = "111", 15
+#: Masks of the seeds. Least changes that leave neither a hit, by the number of tokens:
+#: 13 to 14: 3, 15 to 19: 4, 20 to 24: 5, ...; always more than a fifth (a test counts them).
+MASKS = ("111011", "1101101")
 #: Items from this many tokens may differ in places; shorter ones must be equal throughout.
 SPAN = 13
 #: Tokens that a verified overlap spans at least, or the whole item where it is shorter,
@@ -64,13 +63,11 @@ def seeds(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
-def mask_for(length: int) -> str:
-    """The mask whose seeds every overlap with an item of this many tokens must hit; empty below MIN_ITEM."""
+def masks_for(length: int) -> tuple[str, ...]:
+    """Masks of which every overlap with an item of this many tokens must hit one; none below MIN_ITEM."""
     if length < MIN_ITEM:
-        return ""
-    if length < SPAN:
-        return "1" * length
-    return TIGHT if length == TIGHT_LENGTH else MASKS[0]
+        return ()
+    return MASKS if length >= SPAN else ("1" * length,)
 
 
 def _benchmark(benchmark: DataFrame) -> DataFrame:
@@ -82,8 +79,8 @@ def _benchmark(benchmark: DataFrame) -> DataFrame:
             hashes, first = _hash(plain)
             for i, (item, fp) in enumerate(zip(batch["item_id"], batch["item_fp"], strict=True)):
                 own = hashes[first[i] : first[i + 1]]
-                if mask := mask_for(len(own)):
-                    found = [{"seed": s, "item_at": k} for k, s in enumerate(seeds(own, mask, len(mask)).view(np.int64).tolist())]
+                if masks := masks_for(len(own)):
+                    found = [{"seed": s, "item_at": k} for mask in masks for k, s in enumerate(seeds(own, mask, int(mask, 2)).view(np.int64).tolist())]
                     yield pd.DataFrame({"item_id": pd.array([None if pd.isna(item) else int(item)], "Int64"), "item_fp": [fp], "item": [plain[i].decode("utf-8", "surrogatepass")], "n": [len(own)], "seeds": [found]})
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
@@ -124,11 +121,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS) ->
     be empty.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = _benchmark(benchmark)
     table = items.select("item_id", "item_fp", F.inline("seeds"))
     shared = spark.sparkContext.broadcast(_bitmap(table, bits))
     # at most as many as there are lengths of items below SPAN
-    masks = sorted({mask_for(r.n) for r in items.select(F.least("n", F.lit(TIGHT_LENGTH + 1)).alias("n")).distinct().collect()})
+    masks = sorted({mask for r in items.select(F.least("n", F.lit(SPAN)).alias("n")).distinct().collect() for mask in masks_for(r.n)})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags = np.frombuffer(zlib.decompress(shared.value), np.uint8)
@@ -139,7 +137,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS) ->
                 hashes, first = _hash(plain)
                 found_in: dict[int, list[dict]] = {}
                 for mask in masks:
-                    found = seeds(hashes, mask, len(mask))
+                    found = seeds(hashes, mask, int(mask, 2))
                     slot = (found & low).astype(np.int64)
                     at = np.flatnonzero(flags[slot >> 3] & (np.uint8(128) >> (slot & 7).astype(np.uint8)))
                     doc = np.searchsorted(first, at, "right") - 1
@@ -200,7 +198,7 @@ def verified(doc: list, item: list, shift: int) -> tuple[int, int, int, int] | N
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text overlaps a benchmark item; all columns stay."""
-    found = materialize(overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp")).distinct(), "contaminated")
+    found = materialize_alone(lambda: overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp")).distinct(), "contaminated")
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["_fp"]), "left_anti")
 
 

@@ -80,7 +80,7 @@ def test_brute_force(spark):
                 if any(sum(same[a : a + n]) >= 0.8 * n for a in range(len(toks) - n + 1)):
                     want.add((d, i))
     got = set(flagged(spark, texts, ITEMS[:3]))
-    assert got <= want and len(want - got) <= 0.1 * len(want)  # a seed may miss what is changed at four places
+    assert got == want
 
 
 def test_rows_are_dropped_one_by_one(spark):
@@ -146,3 +146,22 @@ def test_verified_is_the_longest_stretch():
                     best = (a, a + size, a + shift, -equal)
                     break
             assert decontam.verified(doc, item, shift) == best
+
+
+def test_no_allowed_changes_leave_the_masks_without_a_hit():
+    """Least changes that avoid every hit, by dynamic programming over the last places."""
+    span = max(map(len, decontam.MASKS))
+    selected = [int(m, 2) for m in decontam.MASKS]
+    assert all("0" in m and m[0] == m[-1] == "1" for m in decontam.MASKS)
+    for n in range(13, 40):  # a longer stretch has a part of 20 to 39 with the share
+        least = {0: 0}
+        for _ in range(n):
+            after = {}
+            for last, changes in least.items():
+                for equal in (0, 1):
+                    places = last << 1 | equal
+                    if not any(places & m == m for m in selected):
+                        key = places & ((1 << (span - 1)) - 1)
+                        after[key] = min(after.get(key, 99), changes + 1 - equal)
+            least = after
+        assert min(least.values()) > n // 5, n
