@@ -2,7 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on what the one before it kept; all but
 the last return the columns of ``documents``. Between stages the rows are written as
-Parquet to the folder that the cluster shares and read again.
+Parquet to the folder that the cluster shares and read again; what a stage wrote on the
+way goes when it ends.
+
+A null or empty text is scored, and goes or stays, by its statistics like any other; it
+has no near-duplicates, repeats or leaks, and encodes to no tokens. A null doc_id has no
+near-duplicates and counts as the largest one among repeats. Rows that repeat a doc_id go
+through every stage as rows of their own, except that a document which a smaller id stands
+for goes with all its rows. Equal texts with the smallest id count once: the first row
+stays whole. Further columns of the table stay until the last stage; the operators'
+own columns all begin with an underscore. Empty tables give empty ones; without labels
+every document scores 0.5 and stays, and without benchmark none is contaminated.
 """
 
 from __future__ import annotations
@@ -12,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import encode_documents
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import discard, materialize, materialize_alone
 from palimpsest.llm.decontam import decontaminate
 from palimpsest.llm.neardup_texts import drop_near_duplicates
 from palimpsest.llm.quality import THRESHOLD, score_quality
@@ -65,5 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, over the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        before, docs = docs, materialize_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage_{name}")
+        if name != STAGES[0][0]:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
