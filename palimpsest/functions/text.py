@@ -1,117 +1,58 @@
-"""Text functions: normalising, redaction, scanning, escaping and truncation.
+"""Text functions: normalising, JSON, escaping and truncation.
 
 What built-in expressions can say is a Column function; the rest is an Arrow UDF.
+Redaction and scanning are in ``secrets``.
 """
 
 from __future__ import annotations
 
 import json
-import math
-import re
 import unicodedata
-from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Token shapes that are always redacted, with the marker's name.
-KNOWN_TOKENS = (
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
-    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("github_token", r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})"),
-    ("aws_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
-    ("api_key", r"\bsk-[A-Za-z0-9_-]{16,}"),
-    ("bearer", r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{12,}"),
-)
-#: Names of fields that hold secrets.
-SECRET_NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "credential", "authorization", "cookie")
-_ASSIGNED = r"(?i)\b((?:[a-z0-9]+_)*(?:" + "|".join(SECRET_NAMES) + r"))(\s*[=:]\s*)([^\s,;\[\]]+)"
-_PLACEHOLDER = re.compile(r"^(?:\[redacted:[a-z_]+\]|\*+|<[^>]*>|\$\{?[A-Z_]+\}?)$", re.I)
-MAX_TEXT = 16_000
+from palimpsest.functions.secrets import MAX_TEXT, SECRET_ID, checked, entropy, is_secret_name, kind_of, marker, redact, redact_and_scan, redact_text, scan, scan_text, secret_name
+
+__all__ = ["MAX_TEXT", "SECRET_ID", "checked", "entropy", "redact", "redact_and_scan", "redact_text", "scan", "scan_text", "secret_name"]
+
+#: Characters that no normal form changes on their own: the rest goes to Python.
+_STABLE_NFKC = "[^\\x00-\\x7F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u00FF\\u2012-\\u2015\\u2018-\\u201E]"
+_STABLE_NFC = "[^\\x00-\\u02FF\\u2010-\\u2027\\u2030-\\u205E\\u20A0-\\u20BF]"
 
 
 def strip_controls(text: Column) -> Column:
-    """Line ends become newlines; other control characters, zero-width ones and marks of order go."""
+    """Line ends become newlines, other control characters spaces; zero-width ones and byte order marks go."""
     lines = F.regexp_replace(text, r"\r\n?", "\n")
-    return F.regexp_replace(lines, "[\\p{Cc}&&[^\\n\\t]]|[​-‍﻿]", "")
+    return F.regexp_replace(F.regexp_replace(lines, r"[\p{Cc}&&[^\n]]", " "), "[\\u200B-\\u200D\\uFEFF]", "")
 
 
 def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def redact_home(text: Column) -> Column:
-    """Home folders become $HOME, at path boundaries."""
-    return F.regexp_replace(text, r"(^|[\s\"'=(:])/(?:home|Users)/[A-Za-z0-9._-]+(?=/|$|[\s\"'),;:])", "$1\\$HOME")
-
-
-def redact_url_credentials(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"(?i)\b([a-z][a-z0-9+.-]*://)[^\s/@:]+(?::[^\s/@]*)?@", "$1[redacted:url]@")
-    return F.regexp_replace(bare, r"(?i)([?&](?:token|key|secret|password|sig|signature|access_token)=)[^&#\s]+", "$1[redacted:query]")
-
-
-def redact_tokens(text: Column) -> Column:
-    for kind, pattern in KNOWN_TOKENS:
-        text = F.regexp_replace(text, pattern, f"[redacted:{kind}]")
-    return text
-
-
-def redact_assignments(text: Column) -> Column:
-    return F.regexp_replace(text, _ASSIGNED, "$1$2[redacted:field]")
-
-
-def redact(text: Column) -> Column:
-    """All redactions in order; applying it again changes nothing."""
-    return redact_assignments(redact_tokens(redact_url_credentials(redact_home(strip_controls(text)))))
-
-
 @F.udf(T.StringType(), useArrow=True)
-def normalize_nfkc(text):
+def _nfkc(text):
     return None if text is None else unicodedata.normalize("NFKC", text)
 
 
 @F.udf(T.StringType(), useArrow=True)
-def normalize_nfc(text):
+def _nfc(text):
     return None if text is None else unicodedata.normalize("NFC", text)
 
 
-def entropy(token: str) -> float:
-    """Shannon entropy of a token's characters, in bits."""
-    n = len(token)
-    return -sum(k / n * math.log2(k / n) for k in Counter(token).values()) if n else 0.0
-
-
-_TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{24,}")
-_EXEMPT = re.compile(r"^(?:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|[0-9a-f]{40}|[0-9A-HJKMNP-TV-Z]{26})$", re.I)
+def normalize_nfkc(text: Column) -> Column:
+    """Compatibility form; texts without a character that it may change stay in the JVM."""
+    odd = text.rlike(_STABLE_NFKC)
+    return F.when(odd, _nfkc(F.when(odd, text))).otherwise(text)
 
 
-def scan_text(text: str | None) -> str:
-    """passed, rejected or error: whether a text may be stored after redaction."""
-    if not isinstance(text, str):
-        return "error"
-    for _, pattern in KNOWN_TOKENS:
-        if re.search(pattern, text):
-            return "rejected"
-    for m in re.finditer(_ASSIGNED, text):
-        if not _PLACEHOLDER.match(m[3]):
-            return "rejected"
-    for m in _TOKEN.finditer(text):
-        token = m[0]
-        if _EXEMPT.match(token) or (re.fullmatch(r"[0-9a-f]{64}", token) and re.search(r"(?:sha256|digest|hash)[\s:=]*$", text[max(0, m.start() - 16) : m.start()], re.I)):
-            continue
-        mixed = re.search(r"[A-Za-z]", token) and re.search(r"[0-9]", token)
-        cased = re.search(r"[a-z]", token) and re.search(r"[A-Z]", token)
-        h = entropy(token)
-        if (mixed and h >= 3.0) or (cased and h >= 4.6):
-            return "rejected"
-    return "passed"
-
-
-@F.pandas_udf(T.StringType())
-def scan(texts: pd.Series) -> pd.Series:
-    return texts.map(scan_text)
+def normalize_nfc(text: Column) -> Column:
+    """Composed form, likewise."""
+    odd = text.rlike(_STABLE_NFC)
+    return F.when(odd, _nfc(F.when(odd, text))).otherwise(text)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -119,14 +60,8 @@ def token_entropy(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: entropy(t) if isinstance(t, str) else None)
 
 
-def sensitive_name(name: Column) -> Column:
-    """Whether a field's name marks a secret, in any case style."""
-    plain = F.lower(F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"), r"[^A-Za-z0-9]+", "_"))
-    return plain.rlike(r"(^|_)(" + "|".join(SECRET_NAMES) + r")s?($|_)")
-
-
 def redact_json_text(text: str | None, limit: int = 10_000, depth: int = 256) -> str | None:
-    """A JSON text with the values of secret-named keys replaced; None if it is no JSON or too large."""
+    """A strict JSON text with the values of secret-named keys replaced; None if it is no such JSON or too large."""
     nodes = 0
 
     def walk(value, level):
@@ -135,13 +70,9 @@ def redact_json_text(text: str | None, limit: int = 10_000, depth: int = 256) ->
         if nodes > limit or level > depth:
             raise ValueError("too large")
         if isinstance(value, dict):
-            return {k: "[redacted:field]" if secret(k) else walk(v, level + 1) for k, v in value.items()}
+            return {k: marker(kind_of(k)) if is_secret_name(k) else walk(v, level + 1) for k, v in value.items()}
         return [walk(v, level + 1) for v in value] if isinstance(value, list) else value
 
-    def secret(name: str) -> bool:
-        plain = re.sub(r"[^A-Za-z0-9]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)).lower()
-        return bool(re.search(r"(^|_)(" + "|".join(SECRET_NAMES) + r")s?($|_)", plain))
-
     try:
         return json.dumps(walk(strict_json(text), 0), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
     except (ValueError, TypeError, RecursionError):
@@ -169,8 +100,10 @@ def redact_json(texts: pd.Series) -> pd.Series:
 
 
 def escape_field(text: Column) -> Column:
-    """Text in which the delimiters of the memory block cannot be closed."""
-    return F.regexp_replace(text, r"(?i)<(/?)memory-context", "&lt;$1memory-context")
+    """Text in which the delimiters of the memory block cannot be closed, nor what looks like them."""
+    for pattern, shown in ((r"(?i)</memory-context", r"<\\/memory-context"), (r"(?i)<memory-context", r"<\\memory-context"), (r"(?i)<\s*/\s*memory-context\b", "&lt;/memory-context"), (r"(?i)<\s*memory-context\b", "&lt;memory-context")):
+        text = F.regexp_replace(text, pattern, shown)
+    return text
 
 
 def truncate(text: Column, limit: int) -> Column:
@@ -179,9 +112,42 @@ def truncate(text: Column, limit: int) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    return F.substring(F.sha2(text.cast("binary"), 256), 1, 32)
+    """The start of a hash of the composed text."""
+    return F.substring(F.sha2(normalize_nfc(text).cast("binary"), 256), 1, 32)
 
 
 def is_prompt(text: Column) -> Column:
     """Natural-language prompts: not blank and no command."""
     return F.coalesce((F.trim(text) != "") & ~F.ltrim(text).startswith("/"), F.lit(False))
+
+
+def provenance(project: Column, kind: Column, system: Column, scope: Column, valid_from: Column, policy_epoch: Column, evidence: Column, score: Column, most: int = 512) -> Column:
+    """The label of a hit: its fields in fixed order, escaped and bounded; null fields are unknown or left out."""
+    field = lambda c: truncate(F.coalesce(F.when(c != "", escape_field(c)), F.lit("unknown")), most)
+    given = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(f"{label}="), field(c.cast("string"))))
+    always = lambda label, c: F.concat(F.lit(f"{label}="), field(c.cast("string")))
+    return F.concat_ws(", ", always("project", project), always("type", kind), always("system", system), given("scope", scope), given("valid_from", valid_from), given("policy_epoch", policy_epoch), F.concat(F.lit("evidence_count="), F.least(F.lit(1024), evidence).cast("string")), always("score", score))
+
+
+def escape_line(text: Column) -> Column:
+    """A field that cannot end its line or its fence."""
+    fence = F.regexp_replace(F.regexp_replace(text, r"(?i)<\s*/\s*untrusted-data\b", r"<\\\\/untrusted-data"), r"(?i)<(\s*untrusted-data\b[^>]*)>", "&lt;$1&gt;")
+    plain = F.regexp_replace(fence, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
+    return F.replace(F.replace(plain, F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
+
+
+def prompts(episodes: DataFrame, group: str, head: str, budget: int, most_members: int = 1024, most_text: int = 4000) -> DataFrame:
+    """(group, n, prompt, error): the fenced prompt of each group's episodes in id order.
+
+    Lines hold escaped, bounded fields. A group of more members than a job may have, or
+    whose prompt has more bytes than the budget, is refused: nothing is cut to fit.
+    """
+    line = F.concat_ws("\n", F.concat(F.lit("id:"), escape_line(F.col("id"))), F.concat(F.lit("event:"), escape_line(F.col("event_kind"))), F.concat(F.lit("at:"), F.col("event_at").cast("string")), F.concat(F.lit("text:"), escape_line(F.left("text", F.lit(most_text)))))
+    sized = episodes.select(group, "id", line.alias("_line"))
+    sizes = sized.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_line") + 1).alias("_bytes"))
+    fits = sizes.filter((F.col("n") <= most_members) & (F.col("_bytes") <= budget))
+    lines = sized.join(fits.select(group), group, "left_semi").groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(F.struct("id", "_line")))["_line"], "\n").alias("_body"))
+    whole = F.concat(F.lit(f"{head}\n<untrusted-data>\n"), "_body", F.lit("\n</untrusted-data>"))
+    out = sizes.join(lines, group, "left").withColumn("_whole", whole)
+    good = F.octet_length("_whole") <= budget
+    return out.select(group, "n", F.when(good, F.col("_whole")).alias("prompt"), F.when(~F.coalesce(good, F.lit(False)), "over budget").alias("error"))

@@ -66,16 +66,46 @@ def local_project(path: Column, salt: str) -> Column:
     return F.concat(F.lit("local:"), F.substring(F.sha2(F.concat(F.lit(salt), F.lit("|"), path), 256), 1, 32))
 
 
-def destination_id(url: Column) -> Column:
-    """A destination's id; loopback endpoints are local."""
-    host = F.lower(F.parse_url(url, F.lit("HOST")))
-    local = host.isin("localhost", "127.0.0.1", "[::1]") | host.rlike(r"^127\.")
-    return F.concat(F.when(local, "local:").otherwise("remote:"), F.substring(F.sha2(F.lower(url), 256), 1, 32))
+def identify(rows: DataFrame, registry: DataFrame, salt: str) -> DataFrame:
+    """Rows with the fingerprint of their ``url``, whether it is registered, and their project's id.
+
+    ``registry`` has fingerprint and project; of several projects of a fingerprint the smallest counts.
+    """
+    known = registry.groupBy("fingerprint").agg(F.min("project").alias("_project"))
+    named = rows.withColumn("fingerprint", origin_fingerprint(F.col("url"))).join(known, "fingerprint", "left")
+    return named.withColumns({"identity_kind": F.when(F.col("_project").isNotNull(), "registered").otherwise("local_only"), "project_id": F.coalesce("_project", local_project(F.col("url"), salt))}).drop("_project")
+
+
+def canonical_endpoint(url: Column) -> Column:
+    """An endpoint without slashes at its end; null for other schemes, credentials, queries and fragments."""
+    plain = F.when(url.rlike(r"^https?://[^/?#@]+(/[^?#]*)?$"), F.regexp_replace(url, r"/+$", ""))
+    return F.when(url.startswith("unix:"), url).otherwise(plain)
+
+
+def local_destination(url: Column, node: str, residency: str, data_use: str) -> Column:
+    """The id of a destination on this machine: a hash of endpoint, node and labels; null for any other."""
+    endpoint = canonical_endpoint(url)
+    loopback = endpoint.startswith("unix:") | endpoint.rlike(r"^https?://(127\.0\.0\.1|localhost|\[::1\])(:[0-9]+)?(/|$)")
+    body = F.concat(F.lit(f'{{"dataUse":"{data_use}","endpoint":"'), endpoint, F.lit(f'","nodeId":"{node}","residency":"{residency}"}}'))
+    return F.when(loopback, F.concat(F.lit("local:"), F.substring(F.sha2(body, 256), 1, 32)))
+
+
+ENVELOPE = "host string, policy_id string, policy_epoch long, prompt_revision string, items array<string>"
 
 
 def envelope(payload: Column) -> Column:
-    """A proposal's envelope; malformed ones are null."""
-    return F.from_json(payload, "job_id string, manifest_hash string, items array<string>", {"mode": "PERMISSIVE"})
+    """A proposal's envelope as a struct; one that is malformed or lacks a field is null throughout."""
+    read = F.from_json(payload, ENVELOPE, {"mode": "PERMISSIVE"})
+    whole = read["items"].isNotNull() & read["host"].isNotNull() & read["policy_id"].isNotNull() & read["policy_epoch"].isNotNull() & read["prompt_revision"].isNotNull()
+    return F.when(whole, read)
+
+
+def provenance_matches(envelope: Column, expected: Column) -> Column:
+    """Whether an envelope was made for exactly this host, policy, epoch and prompt."""
+    out = F.lit(True)
+    for name in ("host", "policy_id", "policy_epoch", "prompt_revision"):
+        out &= envelope[name] == expected[name]
+    return F.coalesce(out, F.lit(False))
 
 
 def to_payload(records: DataFrame) -> DataFrame:
@@ -89,6 +119,16 @@ def to_payload(records: DataFrame) -> DataFrame:
     return named.select("id", F.to_json(F.struct(*[c for c in sorted(named.columns) if c != "id"])).alias("payload"))
 
 
+def from_payload(wire: DataFrame, fields: str) -> DataFrame:
+    """Records from wire form: (id, payload) to the named fields, given as camelCase columns of a schema."""
+    import re
+
+    snake = re.sub(r"(?<=[a-z0-9])([A-Z])", lambda m: "_" + m[1].lower(), fields)
+    names = [f.split()[0] for f in fields.split(", ")]
+    read = wire.select("id", F.from_json("payload", snake).alias("p"))
+    return read.select("id", *[F.col("p." + re.sub(r"(?<=[a-z0-9])([A-Z])", lambda m: "_" + m[1].lower(), n)).alias(n) for n in names])
+
+
 def hash_embedding(text: Column, dimensions: int = 4) -> Column:
     """A unit vector that the text's hash fixes: a stand-in for an embedding service."""
     digest = F.sha2(text, 256)
@@ -97,7 +137,17 @@ def hash_embedding(text: Column, dimensions: int = 4) -> Column:
     return F.transform(raw, lambda x: x / norm)
 
 
-def deliver(jobs: DataFrame, now: int, skew: int, most_attempts: int) -> DataFrame:
-    """What one delivery pass makes of each job: expired and worn-out ones are quarantined."""
-    outcome = F.when(F.col("deadline") <= now + skew, "quarantined").when(F.col("attempts") >= most_attempts, "quarantined").when(F.col("next_at") > now, "pending").otherwise("delivered")
-    return jobs.withColumn("outcome", outcome)
+def deliver(jobs: DataFrame, now: int, skew: int, base: int, most: int) -> DataFrame:
+    """What one delivery pass makes of each job, with its retry state after it.
+
+    Needs job_id, attempts, deadline, next_at and result (done, failed or refused by the
+    processor). An expired job is quarantined before it is tried; one whose time has not
+    come is pending; a failure waits, longer each time and by a jitter that its id fixes.
+    """
+    from palimpsest.operators.coordination import retry_delay
+
+    outcome = F.when(F.col("deadline") <= now + skew, "quarantined").when(F.col("next_at") > now, "pending").when(F.col("result") == "failed", "retry").when(F.col("result") == "refused", "quarantined").otherwise("delivered")
+    judged = jobs.withColumn("outcome", outcome)
+    again = F.col("outcome") == "retry"
+    tried = judged.withColumn("attempts", F.when(again, F.col("attempts") + 1).otherwise(F.col("attempts")))
+    return tried.withColumn("next_at", F.when(again, F.lit(now) + retry_delay(F.col("job_id").cast("string"), F.col("attempts"), base, most)).otherwise(F.col("next_at")))

@@ -6,9 +6,11 @@ over levels is on the driver and ends after at most ten.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.identity import Xoshiro, canonical_json, sha256_hex
@@ -16,16 +18,74 @@ from palimpsest.functions.identity import Xoshiro, canonical_json, sha256_hex
 MAX_CLUSTERS, MAX_ROUNDS, TOLERANCE, FLOOR = 50, 100, 1e-4, 1e-6
 
 
-def reduce_dimensions(x: np.ndarray, components: int) -> np.ndarray:
-    """Principal components of the columns that vary; signs are fixed, so runs agree."""
+#: Shape of the low-dimensional affinity for a least distance of 0.1 and a spread of 1.
+CURVE_A, CURVE_B = 1.5769434602, 0.8950608779
+EPOCHS, NEGATIVES = 200, 5
+
+
+def reduce_dimensions(x: np.ndarray, components: int, neighbours: int = 15, seed: str = "tree", scope: str = "global") -> np.ndarray:
+    """A neighbour embedding: nearby rows stay near, in few dimensions; the seed fixes every bit.
+
+    Columns that do not vary go. No rows give none, one gives 0, two give their ends of a
+    line, and equal rows zeros. Each row's nearest neighbours get affinities that fall with
+    distance at a width of its own; they are joined by fuzzy union, and rows attract along
+    them and repel rows at random, starting from the principal components.
+    """
+    n = len(x)
+    if n <= 1:
+        return np.zeros((n, 1))
     x = x[:, x.var(0) > 1e-12]
-    n = min(components, max(len(x) - 2, 1), x.shape[1])
-    if len(x) <= 2 or x.shape[1] == 0:
-        return np.zeros((len(x), max(n, 1)))
+    size = max(1, min(components, n - 2, x.shape[1])) if n > 2 else 1
+    if x.shape[1] == 0:
+        return np.zeros((n, size))
+    if n == 2:
+        return np.asarray([[-0.5], [0.5]])
+    k = max(2, min(neighbours, n - 1))
+    gap = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0)) if n <= 256 else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
+    np.fill_diagonal(gap, 0)
+    near = np.argsort(gap, axis=1, kind="stable")[:, :k]
+    reach = np.take_along_axis(gap, near, 1)
+    closest = np.where(reach > 0, reach, np.inf).min(1)
+    closest = np.where(np.isfinite(closest), closest, 0)[:, None]
+    low, high, width = np.zeros(n), np.full(n, np.inf), np.ones(n)
+    for _ in range(64):  # the width at which a row's affinities sum to log2 of their number
+        total = np.exp(-np.maximum(reach[:, 1:] - closest, 0) / width[:, None]).sum(1)
+        wide = total > np.log2(k)
+        high, low = np.where(wide, width, high), np.where(wide, low, width)
+        width = np.where(np.isinf(high), width * 2, (low + high) / 2)
+    width = np.maximum(width, 1e-3 * np.maximum(reach.mean(1), 1e-12))
+    affinity = np.zeros((n, n))
+    np.put_along_axis(affinity, near, np.exp(-np.maximum(reach - closest, 0) / width[:, None]), 1)
+    np.fill_diagonal(affinity, 0)
+    affinity = affinity + affinity.T - affinity * affinity.T
+    a, b = np.nonzero(affinity > affinity.max() / EPOCHS)
+    weight = affinity[a, b] / affinity.max()
     centred = x - x.mean(0)
-    _, _, v = np.linalg.svd(centred, full_matrices=False)
-    v = v[:n] * np.sign(v[:n][np.arange(n), np.abs(v[:n]).argmax(1)])[:, None]
-    return centred @ v.T
+    v = np.linalg.svd(centred, full_matrices=False)[2][:size]
+    v = v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
+    y = centred @ v.T
+    y = 10 * y / max(np.abs(y).max(), 1e-12)
+    rng = np.random.default_rng(int(sha256_hex(f"{seed}:{scope}")[:16], 16))
+    due = np.zeros(len(a))
+    for epoch in range(EPOCHS):
+        step = 1 - epoch / EPOCHS
+        due += weight
+        use = np.flatnonzero(due >= 1)
+        due[use] -= 1
+        i, j = a[use], b[use]
+        apart = y[i] - y[j]
+        square = (apart**2).sum(1, keepdims=True)
+        pull = -2 * CURVE_A * CURVE_B * square ** (CURVE_B - 1) / (1 + CURVE_A * square**CURVE_B) if len(i) else square
+        move = np.clip(np.where(square > 0, pull, 0) * apart, -4, 4) * step
+        np.add.at(y, i, move)
+        np.add.at(y, j, -move)
+        i = np.repeat(i, NEGATIVES)
+        j = rng.integers(0, n, len(i))
+        apart = y[i] - y[j]
+        square = (apart**2).sum(1, keepdims=True)
+        push = 2 * CURVE_B / ((0.001 + square) * (1 + CURVE_A * square**CURVE_B))
+        np.add.at(y, i, np.clip(push * apart, -4, 4) * step * (i != j)[:, None])
+    return y
 
 
 def fit_mixture(x: np.ndarray, k: int, seed: str) -> dict:
@@ -34,8 +94,9 @@ def fit_mixture(x: np.ndarray, k: int, seed: str) -> dict:
     scale = x.std(0)
     x = (x - x.mean(0)) / np.where(scale > 0, scale, 1)
     centres = [x[rng.below(n)]]
+    gap = np.full(n, np.inf)
     while len(centres) < k:
-        gap = np.min([((x - c) ** 2).sum(1) for c in centres], 0)
+        gap = np.minimum(gap, ((x - centres[-1]) ** 2).sum(1))
         at = rng.uniform() * gap.sum()
         centres.append(x[min(int(np.searchsorted(np.cumsum(gap), at)), n - 1)])
     means, variances, weights = np.asarray(centres), np.ones((k, d)), np.full(k, 1 / k)
@@ -93,63 +154,114 @@ def token_partition(items: list[tuple[str, int]], budget: int) -> list[list[str]
     return groups + [now] if now else groups
 
 
-def cluster_groups(vectors: DataFrame, group: str, components: int = 8, most: int = 6, seed: str = "tree", threshold: float = 0.1, max_group: int = 2048, budget: int | None = None) -> DataFrame:
-    """Soft clusters within each group: (group, cluster, member, tokens).
+def learned_groups(ids: list[str], x: np.ndarray, components: int, neighbours: int, most: int, threshold: float, seed: str) -> list[list[int]] | None:
+    """Soft groups in two steps: clusters of all, then clusters within each; None where one group is all.
 
-    A cluster over the token budget is split into runs of ids that keep it.
+    A cluster of fewer than three, or one whose own mixture fails, stays whole. Rows that no
+    group holds are groups of their own.
+    """
+    n = len(ids)
+    if n < 3:
+        return None
+    every = soft_clusters(best_mixture(reduce_dimensions(x, components, max(2, min(n - 1, math.ceil(math.sqrt(n)))), seed, "global"), most, f"{seed}:global")["shares"], threshold)
+    found: set[tuple[int, ...]] = set()
+    for members in every:
+        if len(members) < 3:
+            found.add(members)
+            continue
+        rows = np.asarray(members)
+        own = f"{seed}:local:{','.join(ids[i] for i in members)}"
+        shares = best_mixture(reduce_dimensions(x[rows], components, neighbours, own, "local"), most, own)["shares"]
+        found |= {tuple(rows[list(part)].tolist()) for part in soft_clusters(shares, threshold)}
+    if any(len(g) == n for g in found):
+        return None
+    covered = {i for g in found for i in g}
+    groups = [list(g) for g in sorted(found)] + [[i] for i in range(n) if i not in covered]
+    return groups if len(groups) > 1 else None
 
-    A group larger than ``max_group`` is split by a hash of the id first, so a task holds
-    a bounded number of vectors.
+
+def level_groups(ids: list[str], x: np.ndarray, tokens: list[int], budget: int | None, seed: str, components: int, neighbours: int, most: int, threshold: float) -> list[list[int]]:
+    """Groups of one level, within the token budget: learned, or by the greedy partition where that can't be."""
+    place = {name: i for i, name in enumerate(ids)}
+    packed = lambda members: [[place[m] for m in part] for part in token_partition([(ids[i], tokens[i]) for i in members], budget)]
+    everything = list(range(len(ids)))
+    if budget is not None and len(ids) > 1 and sum(sorted(tokens)[:2]) > budget:
+        return [[i] for i in everything]
+    groups = [everything] if len(ids) == 2 else learned_groups(ids, x, components, neighbours, most, threshold, seed)
+    if groups is None:
+        groups = [everything]
+    if budget is None:
+        return groups
+    return [part for g in groups for part in ([g] if sum(tokens[i] for i in g) <= budget else packed(g))]
+
+
+def cluster_groups(vectors: DataFrame, group: str, components: int = 10, neighbours: int = 10, most: int = MAX_CLUSTERS, seed: str = "tree", threshold: float = 0.1, max_group: int = 2048, budget: int | None = None) -> DataFrame:
+    """Soft clusters within each group: (grp, cluster, member, tokens).
+
+    Clusters are learned for all of a group and again within each; one over the token
+    budget is split into runs of ids that keep it, and a member alone is a cluster of its
+    own, under its own id. A group larger than ``max_group`` is split by a hash of the id
+    first, so that a task holds a bounded number of vectors and their distances: members
+    of different parts then meet a level higher only.
     """
     sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / max_group).alias("parts"))
     split = vectors.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        x = reduce_dimensions(np.stack(rows["vector"].to_numpy()).astype(float), components)
-        found = soft_clusters(best_mixture(x, most, f"{seed}:{key[0]}:{key[1]}")["shares"], threshold)
-        size = dict(zip(rows["id"], rows["tokens"].astype(int), strict=True))
-        ids = rows["id"].tolist()
-        groups = [[ids[i] for i in c] for c in found]
-        if budget is not None:
-            groups = [part for g in groups for part in ([g] if sum(size[m] for m in g) <= budget else token_partition([(m, size[m]) for m in g], budget))]
-        groups = sorted({tuple(sorted(g)) for g in groups})
-        out = [(key[0], sha256_hex(canonical_json({"leafIds": list(g), "seed": seed})), m, size[m]) for g in groups for m in g]
+        ids, tokens = rows["id"].tolist(), rows["tokens"].astype(int).tolist()
+        found = level_groups(ids, np.stack(rows["vector"].to_numpy()).astype(float), tokens, budget, f"{seed}:{key[0]}:{key[1]}", components, neighbours, most, threshold)
+        groups = sorted({tuple(sorted(ids[i] for i in g)) for g in found})
+        size = dict(zip(ids, tokens, strict=True))
+        out = [(key[0], g[0] if len(g) == 1 else sha256_hex(canonical_json({"leafIds": list(g), "seed": seed})), m, size[m]) for g in groups for m in g]
         return pd.DataFrame(out, columns=["grp", "cluster", "member", "tokens"])
 
     return split.groupBy(group, "part").applyInPandas(run, "grp long, cluster string, member string, tokens long")
 
 
-def build_tree(vectors: DataFrame, budget: int, max_levels: int = 10, seed: str = "tree", **options) -> tuple[DataFrame, DataFrame]:
+def build_tree(vectors: DataFrame, budget: int, max_levels: int = 5, seed: str = "tree", **options) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, level, tokens) and edges (parent, child, level), each edge one level up.
 
-    Ends when each group has at most two nodes, when a level no longer shrinks, or when
-    the two smallest nodes of every group exceed the budget together.
+    A member alone is carried, without a parent. A group ends when at most one node is
+    left, when no cluster has two, or when it carries a node, since a later parent would
+    then skip a level; the tree ends with its last group or at ``max_levels``.
     """
-    last = None
     spark = vectors.sparkSession
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     nodes = vectors.select("id", F.lit(0).alias("level"), "tokens")
     edges = spark.createDataFrame([], "parent string, child string, level int")
     now = vectors.select(F.col("grp"), "id", "vector", "tokens")
     for level in range(1, max_levels + 1):
-        clustered = cluster_groups(now, "grp", seed=f"{seed}:{level}", budget=budget, **options)
-        linked = clustered.checkpoint() if spark.sparkContext.getCheckpointDir() else clustered.cache()
-        joined = linked.join(now.select(F.col("id").alias("member"), "vector"), "member")
-        means = joined.select("grp", "cluster", "member", "tokens", F.posexplode("vector").alias("place", "x")).groupBy("grp", "cluster", "place").agg(F.avg("x").alias("x"))
+        linked = keep(cluster_groups(now, "grp", seed=f"{seed}:{level}", budget=budget, **options))
+        joined = linked.filter("cluster <> member")
+        if joined.isEmpty():
+            break
+        means = joined.join(now.select(F.col("id").alias("member"), "vector"), "member").select("grp", "cluster", F.posexplode("vector").alias("place", "x")).groupBy("grp", "cluster", "place").agg(F.avg("x").alias("x"))
         up = means.groupBy("grp", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("vector"))
-        sums = linked.groupBy("grp", "cluster").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-        nxt = up.join(sums, ["grp", "cluster"]).select("grp", F.col("cluster").alias("id"), "vector", "tokens", "n")
-        edges = edges.unionByName(linked.select(F.col("cluster").alias("parent"), F.col("member").alias("child"), F.lit(level).alias("level")))
-        nodes = nodes.unionByName(nxt.select("id", F.lit(level).alias("level"), "tokens"))
-        smallest = F.slice(F.array_sort(F.collect_list("tokens")), 1, 2)
-        most, total, pair = nxt.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.aggregate(smallest, F.lit(0).cast("long"), lambda s, x: s + x).alias("pair")).agg(F.max("n"), F.sum("n"), F.min("pair")).first()
-        if not most or most <= 2 or pair > budget or (last is not None and total >= last):
+        sums = joined.groupBy("grp", "cluster").agg(F.sum("tokens").alias("tokens"))
+        parents = keep(up.join(sums, ["grp", "cluster"]).select("grp", F.col("cluster").alias("id"), "vector", "tokens"))
+        edges = edges.unionByName(joined.select(F.col("cluster").alias("parent"), F.col("member").alias("child"), F.lit(level).alias("level")))
+        nodes = nodes.unionByName(parents.select("id", F.lit(level).alias("level"), "tokens"))
+        carried = linked.filter("cluster = member").select("grp").distinct()
+        several = parents.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp")
+        now = parents.join(several, "grp", "left_semi").join(carried, "grp", "left_anti")
+        if now.isEmpty():
             break
-        last = total
-        now = nxt.select("grp", "id", "vector", "tokens")
     return nodes, edges
 
 
+def evidence_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, leaf): every leaf below each root, level by level, each pair once."""
+    level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"))
+    leaves = None
+    parents = edges.select(F.col("parent").alias("node")).distinct()
+    for _ in range(10):
+        ends = level.join(parents, "node", "left_anti").select("root", F.col("node").alias("leaf"))
+        leaves = ends if leaves is None else leaves.unionByName(ends)
+        level = level.join(edges.select(F.col("parent").alias("node"), "child"), "node").select("root", F.col("child").alias("node")).distinct()
+    return leaves.distinct()
+
+
 def merkle_root(hashes: list[str]) -> str:
     """Pairwise root of chunk hashes; an odd one out is paired with itself."""
     level = hashes or [sha256_hex("empty")]
@@ -158,6 +270,43 @@ def merkle_root(hashes: list[str]) -> str:
     return level[0]
 
 
+def merkle_column(hashes: Column, most: int = 64) -> Column:
+    """``merkle_root`` of an array of at most ``most`` hashes, in built-in expressions."""
+
+    def up(level: Column) -> Column:
+        pair = lambda i: F.sha2(F.concat(F.lit('{"left":"'), F.element_at(level, i), F.lit('","right":"'), F.element_at(level, F.least(i + 1, F.size(level))), F.lit('"}')), 256)
+        return F.transform(F.filter(F.sequence(F.lit(1), F.size(level)), lambda i: i % 2 == 1), pair)
+
+    first = F.when(F.size(hashes) == 0, F.array(F.lit(sha256_hex("empty")))).otherwise(hashes)
+    rounds = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(max(most, 2))))))
+    # a fold, so that each level is named once in the plan
+    return F.element_at(F.aggregate(rounds, first, lambda level, _: F.when(F.size(level) > 1, up(level)).otherwise(level)), 1)
+
+
 def manifest_chunks(members: DataFrame, chunk: int = 1024) -> DataFrame:
     """Sorted members in chunks of ``chunk``, each with its content hash, by group."""
     return members.groupBy("grp", (F.floor((F.col("n") - 1) / chunk)).alias("chunk")).agg(F.count(F.lit(1)).alias("size"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256).alias("content_hash"))
+
+
+def manifests(members: DataFrame, chunk: int = 1024) -> DataFrame:
+    """A manifest for each group (grp, id): members counted and hashed by chunk, and the root over the chunks.
+
+    Members are placed by a window on ids alone; a group has at most 65,536 of them.
+    """
+    placed = members.select("grp", "id").withColumn("n", F.row_number().over(Window.partitionBy("grp").orderBy("id")))
+    chunks = manifest_chunks(placed, chunk)
+    roots = chunks.groupBy("grp").agg(F.sum("size").alias("leaf_count"), F.array_sort(F.collect_list(F.struct("chunk", "content_hash"))).alias("c"))
+    return roots.select("grp", "leaf_count", F.size("c").cast("long").alias("n_chunks"), merkle_column(F.col("c.content_hash")).alias("merkle_root"))
+
+
+def verify_manifests(stored: DataFrame, members: DataFrame, chunk: int = 1024) -> DataFrame:
+    """(grp, valid): whether each stored manifest is that of the members as they are; a missing side is invalid."""
+    found = manifests(members, chunk).select("grp", F.struct("leaf_count", "n_chunks", "merkle_root").alias("now"))
+    held = stored.select("grp", F.struct("leaf_count", "n_chunks", "merkle_root").alias("then"))
+    return held.join(found, "grp", "full").select("grp", F.coalesce(F.col("now") == F.col("then"), F.lit(False)).alias("valid"))
+
+
+def generation_ids(manifest: DataFrame, base: Column, epochs: Column, algorithm: str, model: str, job: Column, fence: Column) -> DataFrame:
+    """The logical id of a generation, and that of this attempt at it: every fenced attempt has a namespace of its own."""
+    core = F.sha2(F.concat_ws("|", F.lit("generation"), "merkle_root", F.col("leaf_count").cast("string"), F.coalesce(base, F.lit("-")), epochs, F.lit(algorithm), F.lit(model)), 256)
+    return manifest.withColumn("generation_id", core).withColumn("attempt_id", F.sha2(F.concat_ws("|", F.lit("attempt"), "generation_id", job, fence.cast("string")), 256))

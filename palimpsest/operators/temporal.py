@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.identity import logical_id
+
 STREAM = ["policy_epoch", "state_key", "scope", "project_id"]
 
 
@@ -18,13 +20,20 @@ def history_intervals(observations: DataFrame) -> DataFrame:
     return changed.withColumn("valid_to", F.lead("effective_at").over(stream)).select(*STREAM, "id", "content_id", F.col("effective_at").alias("valid_from"), "valid_to")
 
 
-def fold_segments(observations: DataFrame) -> DataFrame:
-    """Runs of equal content in a state, with their observations counted and bounded."""
-    stream = Window.partitionBy("state_key").orderBy("effective_at", "id")
-    marked = observations.withColumn("new", F.when(F.lag("content_id").over(stream) == F.col("content_id"), 0).otherwise(1))
-    numbered = marked.withColumn("segment", F.sum("new").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
-    segments = numbered.groupBy("state_key", "segment").agg(F.min("content_id").alias("content_id"), F.min("effective_at").alias("valid_from"), F.count(F.lit(1)).alias("n_observations"), F.max_by("evidence_id", F.struct("effective_at", "id")).alias("primary_evidence"))
-    return segments.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("state_key").orderBy("segment")))
+def fold_segments(observations: DataFrame, stream: Sequence[str] = ("state_key",)) -> DataFrame:
+    """Runs of equal content of a state within a stream, with their observations counted and bounded.
+
+    The next segment closes one. A stream of several states is folded as one sequence, so
+    there the next segment of any state closes one; by state, its own next.
+    """
+    keys = list(stream)
+    order = Window.partitionBy(*keys).orderBy("effective_at", "id")
+    same = (F.lag("content_id").over(order) == F.col("content_id")) & (F.lag("state_key").over(order) == F.col("state_key"))
+    marked = observations.withColumn("new", F.when(same, 0).otherwise(1))
+    numbered = marked.withColumn("segment", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    more = [F.min("state_key").alias("state_key")] if "state_key" not in keys else []
+    segments = numbered.groupBy(*keys, "segment").agg(*more, F.min("content_id").alias("content_id"), F.min("effective_at").alias("valid_from"), F.count(F.lit(1)).alias("n_observations"), F.max_by("evidence_id", F.struct("effective_at", "id")).alias("primary_evidence"))
+    return segments.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("segment")))
 
 
 def as_of(intervals: DataFrame, at: int) -> DataFrame:
@@ -32,11 +41,18 @@ def as_of(intervals: DataFrame, at: int) -> DataFrame:
     return intervals.filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
 
 
-def compare_orders(a_time: Column, b_time: Column, a_content: Column, b_content: Column, skew: int) -> Column:
-    """before, after, equal or within_skew for two orders of different sessions."""
-    return (
-        F.when(F.abs(a_time - b_time) <= skew, F.when(a_content == b_content, "equal").otherwise("within_skew")).when(a_time < b_time, "before").otherwise("after")
-    )
+def compare_orders(a_time: Column, b_time: Column, a_content: Column, b_content: Column, skew: int, a_session: tuple[Column, Column] | None = None, b_session: tuple[Column, Column] | None = None) -> Column:
+    """before, after, equal or within_skew for two orders.
+
+    Within one session (id and sequence of each) the sequence decides, whatever the clocks
+    say; across sessions the time does, and in the skew window equal content is equal.
+    """
+    across = F.when(F.abs(a_time - b_time) <= skew, F.when(a_content == b_content, "equal").otherwise("within_skew")).when(a_time < b_time, "before").otherwise("after")
+    if a_session is None or b_session is None:
+        return across
+    (a_id, a_at), (b_id, b_at) = a_session, b_session
+    within = F.when(a_at < b_at, "before").when(a_at > b_at, "after").when(a_content == b_content, "equal").otherwise("within_skew")
+    return F.when(a_id == b_id, within).otherwise(across)
 
 
 def decide(current_kind: Column, same_content: Column, comparison: Column) -> Column:
@@ -98,8 +114,41 @@ def effective_order(evidence: DataFrame) -> DataFrame:
     )
 
 
-def conflicts(observations: DataFrame, window: int) -> DataFrame:
-    """States with two contents or more in one window of time."""
-    bucket = F.floor(F.col("effective_at") / window)
-    by_content = observations.groupBy("state_key", bucket.alias("bucket"), "content_id").agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("created_at"))
-    return by_content.groupBy("state_key", "bucket").agg(F.array_join(F.array_sort(F.collect_set("content_id")), ",").alias("members"), F.sum("n").alias("n"), F.min("created_at").alias("created_at"), F.count(F.lit(1)).alias("n_contents")).filter("n_contents >= 2")
+def project_items(items: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Curated items (item, scope, evidence_ids) on their evidence: error, project_id, primary_id and event_at.
+
+    All evidence must resolve; that of a project's item must be of one project, that of a
+    session's of one session. The primary evidence is the latest, then that with the
+    largest id.
+    """
+    known = episodes.select(F.col("id").alias("evidence_id"), "project_id", "session_id", "event_at")
+    links = items.select("item", "scope", F.explode("evidence_ids").alias("evidence_id")).join(known, "evidence_id", "left")
+    sums = links.groupBy("item", "scope").agg(
+        F.bool_or(F.col("session_id").isNull()).alias("_lost"),
+        F.countDistinct(F.coalesce("project_id", F.lit(""))).alias("_projects"),
+        F.countDistinct("session_id").alias("_sessions"),
+        F.min("project_id").alias("_project"),
+        F.max(F.when(F.col("session_id").isNotNull(), F.struct("event_at", "evidence_id"))).alias("_primary"),
+    )
+    error = F.when(F.col("_lost"), "evidence is missing").when((F.col("scope") == "project") & (F.col("_projects") != 1), "several projects").when((F.col("scope") == "session") & (F.col("_sessions") != 1), "several sessions")
+    good = F.col("error").isNull()
+    return sums.withColumn("error", error).select("item", "scope", "error", F.when(good & (F.col("scope") == "project"), F.col("_project")).alias("project_id"), F.when(good, F.col("_primary.evidence_id")).alias("primary_id"), F.when(good, F.col("_primary.event_at")).alias("event_at"))
+
+
+def conflicts(observations: DataFrame, conflict: Sequence[str]) -> DataFrame:
+    """Manifests of conflicts, one for each value of the ``conflict`` columns with two contents or more.
+
+    A content is represented by its latest observation, then that with the largest id;
+    everything else, as members, sources, times and the id, comes of the representatives
+    alone, so the order of arrival does not show.
+    """
+    keys = list(conflict)
+    each = observations.groupBy(*keys, "content_id").agg(F.max(F.struct("effective_at", "id", "evidence_id")).alias("r"))
+    found = each.groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_list("r.id")), ",").alias("members"),
+        F.array_join(F.array_sort(F.collect_set("r.evidence_id")), ",").alias("sources"),
+        F.max("r.effective_at").alias("latest_at"),
+        F.min("r.effective_at").alias("created_at"),
+        F.count(F.lit(1)).alias("n_contents"),
+    )
+    return found.filter("n_contents >= 2").withColumn("manifest_id", logical_id("conflict", F.col("state_key"), F.replace("members", F.lit(","), F.lit("|"))))

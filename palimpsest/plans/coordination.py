@@ -24,16 +24,30 @@ def s11_insert_classification(spark, sf_dir):
 
 @query("s12_latest_version", "SELECT c_custkey % 100 AS k, max(c_custkey) AS version, arg_max(c_mktsegment, c_custkey) AS state FROM customer GROUP BY 1")
 def s12_latest_version(spark, sf_dir):
-    """The state that compare-and-set leaves."""
+    """The state that versioned appends leave."""
     rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).alias("k"), F.col("c_custkey").alias("version"), F.col("c_mktsegment").alias("state"))
     return co.latest_version(rows, "k")
 
 
-@query("s13_outbox_jobs", with_(EPISODES) + "SELECT 'job:' || sha256('[\"' || session_id || '\",\"' || string_agg(id, '|' ORDER BY id) || '\"]') AS job_id, session_id, count(*) AS size, max(created_at) AS created_at FROM episodes GROUP BY session_id")
+@query("s12_compare_and_set", """
+WITH s AS (SELECT c_custkey AS k, c_custkey % 4 AS version, c_mktsegment AS state FROM customer), p AS (SELECT c_custkey AS k, c_custkey % 3 AS expected, 'NEW' || (c_custkey % 7) AS state FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, c_custkey % 4, 'ZZZ' FROM customer WHERE c_custkey % 6 = 1),
+b AS (SELECT k, expected, min(state) AS state FROM p GROUP BY k, expected)
+SELECT s.k, CASE WHEN b.k IS NOT NULL THEN s.version + 1 ELSE s.version END AS version, coalesce(b.state, s.state) AS state, CASE WHEN b.k IS NOT NULL THEN 'applied' WHEN s.k IN (SELECT k FROM p) THEN 'stale' ELSE 'untouched' END AS outcome
+FROM s LEFT JOIN b ON b.k = s.k AND b.expected = s.version""")
+def s12_compare_and_set(spark, sf_dir):
+    """Rows after conditional writes; of those that expect the stored version one applies."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    stored = c.select(k.alias("k"), (k % 4).alias("version"), F.col("c_mktsegment").alias("state"))
+    first = c.filter("c_custkey % 5 <> 0").select(k.alias("k"), (k % 3).alias("expected"), F.concat(F.lit("NEW"), k % 7).alias("state"))
+    second = c.filter("c_custkey % 6 = 1").select(k.alias("k"), (k % 4).alias("expected"), F.lit("ZZZ").alias("state"))
+    return co.compare_and_set(stored, first.unionByName(second), "k")
+
+
+@query("s13_outbox_jobs", with_(EPISODES, "n AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY id) - 1) // 4 AS chunk FROM episodes)", "j AS (SELECT session_id, CAST(chunk AS BIGINT) AS chunk, count(*) AS size, max(created_at) AS created_at, CAST(sum(strlen(text)) AS BIGINT) AS bytes, 'job:' || sha256('[\"' || session_id || '\",\"' || string_agg(id, '|' ORDER BY id) || '\"]') AS job_id FROM n GROUP BY 1, 2)") + "SELECT *, sha256(concat_ws('|', job_id, session_id, chunk, size, created_at, bytes)) AS audit_hash FROM j")
 def s13_outbox_jobs(spark, sf_dir):
-    """Deterministic jobs from sorted members, dated by the latest."""
-    members = rec.episodes(spark, sf_dir).groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list("id")), "|").alias("members"), F.count(F.lit(1)).alias("size"), F.max("created_at").alias("created_at"))
-    return members.select(ident.logical_id("job", F.col("session_id"), F.col("members")).alias("job_id"), "session_id", "size", "created_at")
+    """Deterministic jobs of bounded size from sorted members, dated by the latest, each with an audit hash."""
+    return co.outbox_jobs(rec.episodes(spark, sf_dir), 4)
 
 
 @query("x12_fingerprints", "SELECT doc_id, left(sha256(text), 32) AS fingerprint FROM documents")
@@ -57,25 +71,19 @@ def x20_retry_delay(spark, sf_dir):
     return rec.jobs(spark, sf_dir).select("job_id", co.retry_delay(F.col("job_id").cast("string"), F.col("attempts"), 1000, 600_000).alias("delay"))
 
 
-@query("st8_claims", with_(JOBS) + f"SELECT job_id, {_CLAIM} AS claimed, CASE WHEN {_CLAIM} THEN fencing_token + 1 ELSE fencing_token END AS fencing_token, CASE WHEN {_CLAIM} THEN version + 1 ELSE version END AS version, CASE WHEN {_CLAIM} THEN {NOW + DAY_MS} ELSE lease_expires_at END AS lease_expires_at FROM jobs")
-def st8_claims(spark, sf_dir):
-    """ST8: leases after a claim of all that may be claimed."""
-    return co.claim(rec.jobs(spark, sf_dir), NOW, SKEW_MS, DAY_MS).select("job_id", "claimed", "fencing_token", "version", "lease_expires_at")
+_RESUMED = f"""
+p AS (SELECT *, job_id % 7 = 3 AS tombstoned, CASE WHEN job_id % 10 = 4 THEN NULL ELSE state END AS now FROM jobs),
+r AS (SELECT *, CASE WHEN now = 'accepted' AND NOT tombstoned THEN 1 WHEN now IN ('leased', 'released') AND NOT tombstoned THEN 2 WHEN now IS NULL AND NOT tombstoned THEN 3 WHEN now = 'accepted' THEN 4 END AS rank FROM p),
+b AS (SELECT producer_id, job_id, rank, row_number() OVER (PARTITION BY producer_id ORDER BY rank, created_at, job_id) AS k FROM r WHERE rank IS NOT NULL),
+e AS (SELECT producer_id, CASE WHEN bool_or(now IN ('leased', 'released')) THEN 'tombstoned-durable-job' WHEN bool_and(tombstoned) THEN 'all-tombstoned' ELSE 'already-covered' END AS terminal FROM r GROUP BY producer_id)"""
 
 
-@query("c8_resume", with_(JOBS, f"r AS (SELECT *, CASE WHEN state = 'accepted' THEN 1 WHEN {_CLAIM} THEN 2 WHEN state <> 'completed' THEN 3 END AS rank FROM jobs)") + "SELECT producer_id, job_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY producer_id ORDER BY rank, created_at, job_id) AS n FROM r WHERE rank IS NOT NULL) WHERE n = 1")
+@query("c8_resume", with_(JOBS, _RESUMED) + "SELECT e.producer_id, b.job_id, b.rank, CASE WHEN b.job_id IS NULL THEN terminal END AS terminal FROM e LEFT JOIN b ON b.producer_id = e.producer_id AND k = 1")
 def c8_resume(spark, sf_dir):
-    """The job that each producer takes up next after a crash."""
-    return co.resume_job(rec.jobs(spark, sf_dir), NOW, SKEW_MS).select("producer_id", "job_id", "rank")
-
-
-@query("c4_completeness", "SELECT o_orderkey AS job_id, count(l.l_orderkey) AS found, o_orderkey % 7 + 1 AS expected, count(l.l_orderkey) >= o_orderkey % 7 + 1 AS complete FROM orders LEFT JOIN lineitem l ON l.l_orderkey = o_orderkey GROUP BY o_orderkey")
-def c4_completeness(spark, sf_dir):
-    """Whether all that a job had to write is there."""
-    found = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.count(F.lit(1)).alias("n"))
-    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 7 + 1).alias("expected"))
-    n = F.coalesce("n", F.lit(0))
-    return jobs.join(found, "job_id", "left").select("job_id", n.alias("found"), "expected", (n >= F.col("expected")).alias("complete"))
+    """What each producer takes up after a crash: accepted, then durable, then planned, then blocked work, or why there is none."""
+    k = F.col("job_id")
+    jobs = rec.jobs(spark, sf_dir).withColumns({"tombstoned": k % 7 == 3, "state": F.when(k % 10 != 4, F.col("state"))})
+    return co.resume_job(jobs)
 
 
 @query("a12_outbox_status", with_(JOBS) + "SELECT producer_id, count(*) AS jobs, round(sum(bytes), 2) AS bytes, min(created_at) AS oldest, CAST(sum(attempts) AS BIGINT) AS attempts FROM jobs WHERE state <> 'completed' GROUP BY producer_id")
@@ -91,13 +99,21 @@ def c10_recovery(spark, sf_dir):
     return sums.filter("pending > 0").withColumn("stale", F.col("heartbeat") + DAY_MS + SKEW_MS <= NOW)
 
 
-@query("w7_fair_order", with_(JOBS) + "SELECT producer_id, job_id, row_number() OVER (PARTITION BY producer_id ORDER BY created_at, job_id) AS turn FROM jobs WHERE state = 'leased' QUALIFY turn <= 3")
+@query("w7_fair_order", with_(JOBS, "n AS (SELECT producer_id, job_id, row_number() OVER (ORDER BY producer_id, job_id) - 1 AS k, count(*) OVER () AS t FROM jobs WHERE state = 'leased')") + "SELECT producer_id, job_id, (k - 1037 % t + t) % t AS turn FROM n WHERE (k - 1037 % t + t) % t < 200")
 def w7_fair_order(spark, sf_dir):
-    """W7, ST2: each producer's next jobs; a cycle takes one of each in turn."""
-    from pyspark.sql import Window
+    """W7, ST2: the next jobs of a cycle through all producers, from a cursor that turns."""
+    return co.fair_order(rec.jobs(spark, sf_dir).filter("state = 'leased'"), "producer_id", "job_id", 1037, 200)[0]
+
 
-    turn = F.row_number().over(Window.partitionBy("producer_id").orderBy("created_at", "job_id"))
-    return rec.jobs(spark, sf_dir).filter("state = 'leased'").withColumn("turn", turn).filter("turn <= 3").select("producer_id", "job_id", F.col("turn").cast("long").alias("turn"))
+@query("w10_admission", with_(JOBS, "i AS (SELECT producer_id, job_id, CAST(floor(bytes) AS BIGINT) AS size, row_number() OVER (PARTITION BY producer_id ORDER BY job_id) AS k FROM jobs)", """
+g(producer_id, job_id, k, jobs, used, admitted) AS (
+  SELECT producer_id, job_id, k, CAST(CASE WHEN size <= 600000 THEN 1 ELSE 0 END AS BIGINT), CAST(CASE WHEN size <= 600000 THEN size ELSE 0 END AS BIGINT), size <= 600000 FROM i WHERE k = 1
+  UNION ALL SELECT i.producer_id, i.job_id, i.k, CASE WHEN jobs + 1 <= 6 AND used + size <= 600000 THEN jobs + 1 ELSE jobs END, CASE WHEN jobs + 1 <= 6 AND used + size <= 600000 THEN used + size ELSE used END, jobs + 1 <= 6 AND used + size <= 600000
+  FROM g JOIN i ON i.producer_id = g.producer_id AND i.k = g.k + 1)""", recursive=True) + "SELECT producer_id, job_id, admitted FROM g")
+def w10_admission(spark, sf_dir):
+    """Reservations admitted in id order under caps of jobs and bytes; one that does not fit is passed over."""
+    rows = rec.jobs(spark, sf_dir).select("producer_id", "job_id", F.floor("bytes").cast("long").alias("size"))
+    return co.admit(rows, "producer_id", "job_id", "size", 6, 600_000)
 
 
 @query("w8_token_partition", with_(EPISODES, "i AS (SELECT session_id, id, greatest(1, length(text) // 4) AS size, row_number() OVER (PARTITION BY session_id ORDER BY id) AS k FROM episodes)", """
@@ -109,23 +125,24 @@ g(session_id, id, k, part, used) AS (
     CASE WHEN size >= 100 THEN -1 WHEN g.used = -1 OR g.used + size > 100 THEN size ELSE g.used + size END
   FROM g JOIN i ON i.session_id = g.session_id AND i.k = g.k + 1)""", recursive=True) + "SELECT session_id, id, part FROM g")
 def w8_token_partition(spark, sf_dir):
-    """Consecutive members packed into token budgets."""
+    """Consecutive members packed into token budgets."""
     items = rec.episodes(spark, sf_dir).select("session_id", "id", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long").alias("size"))
     return co.greedy_pack(items, "session_id", "id", "size", 100)
 
 
-@query("s2_tail_scan", with_(EPISODES) + "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS k FROM episodes) WHERE k > 2")
-def s2_tail_scan(spark, sf_dir):
-    """Entries behind the cursor of each session."""
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("session_id").orderBy("turn"))
-    return rec.episodes(spark, sf_dir).withColumn("k", k).filter("k > 2").select("id")
-
-
 @query("st1_capture_stream", with_(EPISODES) + "SELECT id FROM episodes WHERE event_kind IN ('user', 'assistant')")
 def st1_capture_stream(spark, sf_dir):
-    """ST1, ST5: episodes captured by a stream that may see entries twice."""
+    """ST1: episodes captured by a stream that may see entries twice; the ids seen are the stream's state."""
     from palimpsest.streaming.capture import capture
 
     return capture(spark, sf_dir)
+
+
+@query("st5_sweep", with_(EPISODES) + "SELECT id FROM episodes WHERE event_kind IN ('user', 'assistant') AND NOT (turn % 2 = 0 AND conv_id % 3 <> 1)")
+def st5_sweep(spark, sf_dir):
+    """ST5: what a sweep over all entries finds that the sink lacks, however late or far behind the cursor it came."""
+    from palimpsest.streaming.capture import captured, sweep
+
+    entries = table(spark, sf_dir, "conversations")
+    sink = captured(entries.filter("turn % 2 = 0 AND conv_id % 3 <> 1"))
+    return sweep(captured(entries), sink).select("id")

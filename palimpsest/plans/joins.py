@@ -29,18 +29,19 @@ def j1_evidence_join(spark, sf_dir):
     return op.with_all_evidence(_keyed_items(spark, sf_dir), rec.episodes(spark, sf_dir)).select("id")
 
 
-@query("j2_strict_barrier", with_(EPISODES) + f"SELECT id FROM episodes WHERE conv_id % 5 = 1 AND NOT EXISTS (SELECT 1 FROM episodes WHERE conv_id % 5 = 1 AND expires_at <= {BASE_MS})")
+@query("j2_strict_barrier", with_(EPISODES) + f"SELECT id FROM episodes e WHERE NOT EXISTS (SELECT 1 FROM episodes b WHERE b.session_id = e.session_id AND (b.expires_at <= {BASE_MS + 10 * DAY_MS + SKEW_MS} OR b.status <> 'active' OR b.secret_scan <> 'passed' OR b.privacy_epoch <> 1))")
 def j2_strict_barrier(spark, sf_dir):
-    """All rows, or none where one piece of evidence fails."""
-    rows = rec.episodes(spark, sf_dir).filter("conv_id % 5 = 1")
-    return op.strict_barrier(rows, rows.filter(~op.not_expired(BASE_MS, 0))).select("id")
+    """All rows of an answer (here a session), or none where one piece of its evidence fails the guard."""
+    rows = rec.episodes(spark, sf_dir)
+    good = op.not_expired(BASE_MS + 10 * DAY_MS, SKEW_MS) & (F.col("status") == "active") & (F.col("secret_scan") == "passed") & (F.col("privacy_epoch") == 1)
+    return op.strict_barrier(rows, rows.filter(~good), "session_id").select("id")
 
 
-@query("j4_tombstone_barrier", with_(EPISODES, OBSERVATIONS, TOMBSTONES, _ITEMS) + "SELECT id || '/' || content_id AS id FROM items i WHERE id = 'state:7' AND NOT EXISTS (SELECT 1 FROM tombstones t WHERE t.target_id IN (SELECT unnest(evidence_ids) FROM items WHERE id = 'state:7' UNION ALL SELECT 'state:7'))")
+@query("j4_tombstone_barrier", with_(EPISODES, OBSERVATIONS, TOMBSTONES, _ITEMS) + "SELECT id || '/' || content_id AS id FROM items i WHERE NOT EXISTS (SELECT 1 FROM items x WHERE x.id = i.id AND (x.id IN (SELECT target_id FROM tombstones) OR EXISTS (SELECT 1 FROM (SELECT unnest(x.evidence_ids) AS e) y JOIN tombstones t ON t.target_id = y.e)))")
 def j4_tombstone_barrier(spark, sf_dir):
-    """All candidates of an answer, or none where a target of any is forgotten."""
-    rows = _keyed_items(spark, sf_dir).filter("state_key = 'state:7'")
-    return op.strict_barrier(rows, co.forgotten(rows, rec.tombstones(spark, sf_dir))).select("id")
+    """All candidates of an answer (here a state), or none where a target of any is forgotten."""
+    rows = _keyed_items(spark, sf_dir)
+    return op.strict_barrier(rows, co.forgotten(rows, rec.tombstones(spark, sf_dir)), "state_key").select("id")
 
 
 @query("j5_visible", with_(EPISODES, OBSERVATIONS, TOMBSTONES, _ITEMS) + "SELECT id || '/' || content_id AS id FROM items i WHERE id NOT IN (SELECT target_id FROM tombstones) AND content_id NOT IN (SELECT target_id FROM tombstones) AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(i.evidence_ids) AS e) x JOIN tombstones t ON t.target_id = x.e)")
@@ -64,27 +65,33 @@ def j7_delta(spark, sf_dir):
     return delta.groupBy("label").agg(F.count(F.lit(1)).alias("n_new")).withColumn("rebuild", F.col("n_new") >= 5)
 
 
-@query("j8_acceptance", "SELECT o.o_orderkey AS job_id FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey WHERE l.l_linenumber = 1 AND o.o_orderstatus = 'P' AND p.p_size % 2 = o.o_orderkey % 2")
-def j8_acceptance(spark, sf_dir):
-    """Accepted jobs whose lease and proposal agree."""
-    jobs = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("job_id"))
-    leases = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("job_id"), F.col("l_partkey").alias("p_partkey"))
-    proposals = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    return jobs.join(leases, "job_id").join(proposals, "p_partkey").filter("p_size % 2 = job_id % 2").select("job_id")
+_WORKER = {"policy_id": "polW", "owner_host": "alpha", "residency": "eu", "data_use": "memory", "store_id": "store0", "embedding_id": "embed0", "llm_id": "llm0", "origin": "any", "allow_replay": True, "expires_at": NOW_MS}
+_USABLE = "residency = 'eu' AND store_id = 'store0' AND embedding_id = 'embed0' AND llm_id = 'llm0'"
 
 
-@query("j9_policy_groups", with_(EPISODES, POLICIES) + "SELECT e.processing_policy_id AS policy_id, p.residency = 'eu' AS compatible, count(*) AS n FROM episodes e LEFT JOIN policies p ON e.processing_policy_id = p.policy_id GROUP BY 1, 2")
+def _spread(spark, sf_dir):
+    """Episodes under fifty policies."""
+    return rec.episodes(spark, sf_dir).withColumn("processing_policy_id", F.concat(F.lit("pol"), F.col("conv_id") % 50))
+
+
+@query("j9_policy_groups", with_(EPISODES, POLICIES) + f"SELECT policy_id, row_number() OVER (ORDER BY policy_id) AS position, n, least(coalesce(expires_at, {NOW_MS}), {NOW_MS}) AS expires_at, allow_replay, sha256(policy_id || '|polW') AS revision FROM policies JOIN (SELECT 'pol' || (conv_id % 50) AS policy_id, count(*) AS n FROM episodes GROUP BY 1) USING (policy_id) WHERE {_USABLE}")
 def j9_policy_groups(spark, sf_dir):
-    """Episodes by policy, and whether a worker in one residency may take them."""
-    p = rec.policies(spark, sf_dir).select(F.col("policy_id").alias("processing_policy_id"), "residency")
-    return rec.episodes(spark, sf_dir).join(p, "processing_policy_id", "left").groupBy(F.col("processing_policy_id").alias("policy_id"), (F.col("residency") == "eu").alias("compatible")).agg(F.count(F.lit(1)).alias("n"))
+    """Episodes by the intersection of their policy with the worker's, in order of policy."""
+    groups, _ = co.group_by_policy(_spread(spark, sf_dir), rec.policies(spark, sf_dir), _WORKER)
+    return groups.select(F.col("processing_policy_id").alias("policy_id"), "position", "n", "expires_at", "allow_replay", "revision")
+
+
+@query("j9_pending", with_(EPISODES, POLICIES) + f"SELECT id FROM episodes WHERE 'pol' || (conv_id % 50) NOT IN (SELECT policy_id FROM policies WHERE {_USABLE})")
+def j9_pending(spark, sf_dir):
+    """Episodes whose policy a worker's does not meet stay pending."""
+    return co.group_by_policy(_spread(spark, sf_dir), rec.policies(spark, sf_dir), _WORKER)[1]
 
 
 _EDGES = "edges AS (SELECT l_orderkey // 8 AS parent, l_orderkey AS child FROM lineitem WHERE l_orderkey > 0 GROUP BY l_orderkey)"
 
 
 @query("j10_descent", with_(_EDGES, """
-d(id, score, depth) AS (SELECT CAST(1 AS BIGINT), CAST(1.0 AS DOUBLE), 0 UNION ALL SELECT e.child, d.score, d.depth + 1 FROM d JOIN edges e ON e.parent = d.id WHERE d.depth < 4)""", recursive=True) + "SELECT id, max(score) AS score, min(depth) AS depth FROM d GROUP BY id")
+d(id, score, depth) AS (SELECT CAST(1 AS BIGINT), CAST(1.0 AS DOUBLE), 0 UNION ALL SELECT e.child, d.score, d.depth + 1 FROM d JOIN edges e ON e.parent = d.id WHERE d.depth < 10)""", recursive=True) + "SELECT id, max(score) AS score, min(depth) AS depth FROM d GROUP BY id")
 def j10_descent(spark, sf_dir):
     """Everything down to ten levels below a root, level by level."""
     edges = table(spark, sf_dir, "lineitem").filter("l_orderkey > 0").select(F.floor(F.col("l_orderkey") / 8).cast("long").alias("parent"), F.col("l_orderkey").alias("child")).distinct()
@@ -94,9 +101,9 @@ def j10_descent(spark, sf_dir):
 
 @query("a6_policy_intersection", with_(POLICIES, """
 m AS (SELECT store_id || '/' || embedding_id AS grp, * FROM policies)""") + """
-SELECT grp, c AS compatible, CASE WHEN c THEN residency END AS residency, CASE WHEN c THEN store_id END AS store_id, CASE WHEN c THEN allow_replay END AS allow_replay, CASE WHEN c THEN expires_at END AS expires_at, CASE WHEN c THEN revision END AS revision FROM (
-  SELECT grp, count(DISTINCT residency) = 1 AND count(DISTINCT store_id) = 1 AND count(DISTINCT embedding_id) = 1 AND count(DISTINCT origin) = 1 AS c,
-    min(residency) AS residency, min(store_id) AS store_id, bool_and(allow_replay) AS allow_replay, min(expires_at) AS expires_at,
+SELECT grp, c AS compatible, CASE WHEN c THEN residency END AS residency, CASE WHEN c THEN store_id END AS store_id, CASE WHEN c THEN llm_id END AS llm_id, CASE WHEN c THEN allow_replay END AS allow_replay, CASE WHEN c THEN expires_at END AS expires_at, CASE WHEN c THEN revision END AS revision FROM (
+  SELECT grp, count(DISTINCT residency) = 1 AND count(DISTINCT store_id) = 1 AND count(DISTINCT embedding_id) = 1 AND count(DISTINCT coalesce(llm_id, '')) = 1 AND count(DISTINCT origin) = 1 AS c,
+    min(residency) AS residency, min(store_id) AS store_id, min(llm_id) AS llm_id, bool_and(allow_replay) AS allow_replay, min(expires_at) AS expires_at,
     sha256(string_agg(DISTINCT policy_id, ',' ORDER BY policy_id)) AS revision
   FROM m GROUP BY grp)""")
 def a6_policy_intersection(spark, sf_dir):
@@ -105,25 +112,11 @@ def a6_policy_intersection(spark, sf_dir):
     return co.intersect_policies(members, "grp")
 
 
-@query("a7_cluster_range", with_(EPISODES) + "SELECT session_id, min(event_at) AS temporal_from, max(event_at) AS temporal_to, coalesce(string_agg(DISTINCT project_id, ',' ORDER BY project_id), '') AS covered_projects, CAST(sum(ceil(length(text) / 4)) AS BIGINT) AS tokens FROM episodes GROUP BY session_id")
+@query("a7_cluster_range", with_(EPISODES) + "SELECT session_id, min(event_at) AS temporal_from, max(event_at) AS temporal_to, coalesce(string_agg(DISTINCT project_id, ',' ORDER BY project_id), '') AS covered_projects, CAST(sum(greatest(1, ceil(strlen(text) / 4) + 32, 12)) AS BIGINT) AS tokens FROM episodes GROUP BY session_id")
 def a7_cluster_range(spark, sf_dir):
-    """Range, projects and token estimate of each cluster."""
-    return rec.episodes(spark, sf_dir).groupBy("session_id").agg(F.min("event_at").alias("temporal_from"), F.max("event_at").alias("temporal_to"), F.array_join(F.array_sort(F.collect_set("project_id")), ",").alias("covered_projects"), F.sum(F.ceil(F.length("text") / 4)).cast("long").alias("tokens"))
-
-
-@query("a10_status", with_(EPISODES, OBSERVATIONS) + "SELECT 'episode' AS record_type, status, count(*) AS n FROM episodes GROUP BY status UNION ALL SELECT 'curated_memory', 'active', count(*) FROM observations")
-def a10_status(spark, sf_dir):
-    """A10, AD4: records by type and status."""
-    ep = rec.episodes(spark, sf_dir).select(F.lit("episode").alias("record_type"), "status")
-    obs = rec.observations(spark, sf_dir).select(F.lit("curated_memory").alias("record_type"), F.lit("active").alias("status"))
-    return ep.unionByName(obs).groupBy("record_type", "status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("a13_lifecycle", with_(EPISODES) + "SELECT session_id, count(*) FILTER (event_kind = 'user') AS turns, count(*) FILTER (tool_name IS NOT NULL) AS calls, CASE WHEN count(*) <= 0 THEN 'idle' WHEN count(*) FILTER (event_kind = 'user') >= 3 OR count(*) FILTER (tool_name IS NOT NULL) >= 15 THEN 'run' ELSE 'wait' END AS trigger FROM episodes GROUP BY session_id")
-def a13_lifecycle(spark, sf_dir):
-    """A13, ST7: turns and calls of each session, and whether curation is due."""
-    sums = rec.episodes(spark, sf_dir).groupBy("session_id").agg(F.count_if(F.col("event_kind") == "user").alias("turns"), F.count_if(F.col("tool_name").isNotNull()).alias("calls"), F.count(F.lit(1)).alias("pending"))
-    return sums.select("session_id", "turns", "calls", co.trigger(F.col("turns"), F.col("calls"), F.col("pending"), most_turns=3).alias("trigger"))
+    """Range, projects and token estimate of each cluster; a member counts by its bytes, and for a share of the budget at least."""
+    estimate = op.token_estimate(F.col("text"), 12_000)
+    return rec.episodes(spark, sf_dir).groupBy("session_id").agg(F.min("event_at").alias("temporal_from"), F.max("event_at").alias("temporal_to"), F.array_join(F.array_sort(F.collect_set("project_id")), ",").alias("covered_projects"), F.sum(estimate).cast("long").alias("tokens"))
 
 
 @query("a15_uniqueness", with_(EPISODES) + "SELECT count(*) AS n, count(DISTINCT id) AS n_ids, count(*) = count(DISTINCT id) AS unique_ids FROM episodes")
@@ -132,15 +125,38 @@ def a15_uniqueness(spark, sf_dir):
     return rec.episodes(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), (F.count(F.lit(1)) == F.countDistinct("id")).alias("unique_ids"))
 
 
-@query("a17_manifest", with_(EPISODES, "n AS (SELECT *, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY id) AS k FROM episodes)") + "SELECT conv_id % 4 AS grp, CAST((k - 1) // 64 AS BIGINT) AS chunk, count(*) AS size, sha256(string_agg(id, ',' ORDER BY id)) AS content_hash FROM n GROUP BY 1, 2")
+_MERKLE = """
+n AS (SELECT conv_id AS grp, id, row_number() OVER (PARTITION BY conv_id ORDER BY id) AS k FROM episodes),
+c AS (SELECT grp, (k - 1) // 2 AS chunk, count(*) AS size, sha256(string_agg(id, ',' ORDER BY id)) AS h FROM n GROUP BY 1, 2),
+t(grp, hs) AS (SELECT grp, list(h ORDER BY chunk) FROM c GROUP BY grp UNION ALL SELECT grp, list_transform(list_filter(range(1, len(hs) + 1), lambda i: i % 2 = 1), lambda i: sha256('{"left":"' || hs[i] || '","right":"' || hs[least(i + 1, len(hs))] || '"}')) FROM t WHERE len(hs) > 1)"""
+
+
+@query("a17_manifest", with_(EPISODES, _MERKLE, recursive=True) + "SELECT grp, sum(size)::BIGINT AS leaf_count, count(*) AS n_chunks, (SELECT hs[1] FROM t WHERE t.grp = c.grp AND len(hs) = 1) AS merkle_root FROM c GROUP BY grp")
 def a17_manifest(spark, sf_dir):
-    """Chunks of sorted members with content hashes."""
-    from pyspark.sql import Window
+    """A manifest for each session: members in chunks with hashes, and the root over these."""
+    from palimpsest.operators.raptor import manifests
 
-    from palimpsest.operators.raptor import manifest_chunks
+    return manifests(rec.episodes(spark, sf_dir).select(F.col("conv_id").alias("grp"), "id"), 2)
 
-    numbered = rec.episodes(spark, sf_dir).select((F.col("conv_id") % 4).alias("grp"), "id").withColumn("n", F.row_number().over(Window.partitionBy("grp").orderBy("id")))
-    return manifest_chunks(numbered, 64)
+
+@query("m7_verify", with_(EPISODES) + "SELECT conv_id AS grp, conv_id % 4 <> 1 AS valid FROM episodes GROUP BY conv_id")
+def m7_verify(spark, sf_dir):
+    """M7: manifests against the members as they are now; some have lost one."""
+    from palimpsest.operators.raptor import manifests, verify_manifests
+
+    members = rec.episodes(spark, sf_dir).select(F.col("conv_id").alias("grp"), "id")
+    before = members.unionByName(members.filter("grp % 4 = 1").select("grp", F.concat(F.lit("lost-"), "grp").alias("id")).distinct())
+    return verify_manifests(manifests(before, 2), members, 2)
+
+
+@query("m8_generations", with_(EPISODES, _MERKLE, recursive=True) + "SELECT grp, core AS generation_id, sha256('attempt|' || core || '|job-' || grp || '|' || (grp % 3)) AS attempt_id FROM (SELECT grp, sha256(concat_ws('|', 'generation', merkle_root, leaf_count, CASE WHEN grp % 2 = 0 THEN 'g0' ELSE '-' END, '1', 'tree-1', 'model-1')) AS core FROM (SELECT grp, sum(size)::BIGINT AS leaf_count, (SELECT hs[1] FROM t WHERE t.grp = c.grp AND len(hs) = 1) AS merkle_root FROM c GROUP BY grp))")
+def m8_generations(spark, sf_dir):
+    """M8: ids of generations by content and base, and of each fenced attempt at one."""
+    from palimpsest.operators.raptor import generation_ids, manifests
+
+    m = manifests(rec.episodes(spark, sf_dir).select(F.col("conv_id").alias("grp"), "id"), 2)
+    base = F.when(F.col("grp") % 2 == 0, "g0")
+    return generation_ids(m, base, F.lit("1"), "tree-1", "model-1", F.concat(F.lit("job-"), "grp"), F.col("grp") % 3).select("grp", "generation_id", "attempt_id")
 
 
 @query("c16_evidence_digest", with_(OBSERVATIONS) + "SELECT state_key, sha256('[\"' || string_agg(DISTINCT evidence_id, '\",\"' ORDER BY evidence_id) || '\"]') AS digest FROM observations GROUP BY state_key")
@@ -164,22 +180,6 @@ def u5_edge_jaccard(spark, sf_dir):
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
 
 
-@query("ad1_forget_closure", with_(EPISODES, OBSERVATIONS) + "SELECT 'occurrence' AS scope, id AS target_id FROM episodes WHERE project_id = 'p1' UNION SELECT 'state', state_key FROM observations WHERE evidence_id IN (SELECT id FROM episodes WHERE project_id = 'p1') UNION SELECT 'occurrence', id FROM observations WHERE evidence_id IN (SELECT id FROM episodes WHERE project_id = 'p1')")
-def ad1_forget_closure(spark, sf_dir):
-    """AD1, AD2: everything that forgetting a project touches."""
-    ep = rec.episodes(spark, sf_dir).filter("project_id = 'p1'").select("id")
-    touched = rec.observations(spark, sf_dir).join(ep.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi")
-    own = ep.select(F.lit("occurrence").alias("scope"), F.col("id").alias("target_id"))
-    return own.unionByName(touched.select(F.lit("state").alias("scope"), F.col("state_key").alias("target_id"))).unionByName(touched.select(F.lit("occurrence").alias("scope"), F.col("id").alias("target_id"))).distinct()
-
-
-@query("ad7_curation_validation", with_(EPISODES, OBSERVATIONS) + "SELECT o.id, o.event_type NOT IN ('error') AS category_ok, e.id IS NOT NULL AS evidence_ok, coalesce(e.event_kind = 'user', false) AS direct FROM observations o LEFT JOIN episodes e ON o.evidence_id = e.id")
-def ad7_curation_validation(spark, sf_dir):
-    """AD7: category, evidence and direct-user rules of each item."""
-    ep = rec.episodes(spark, sf_dir).select(F.col("id").alias("evidence_id"), "event_kind")
-    return rec.observations(spark, sf_dir).join(ep, "evidence_id", "left").select("id", (~F.col("event_type").isin("error")).alias("category_ok"), F.col("event_kind").isNotNull().alias("evidence_ok"), F.coalesce(F.col("event_kind") == "user", F.lit(False)).alias("direct"))
-
-
 @query("st4_ingest_partition", with_(EPISODES, TOMBSTONES) + f"SELECT CASE WHEN id IN (SELECT target_id FROM tombstones) THEN 'tombstoned' WHEN expires_at <= {NOW_MS + SKEW_MS} THEN 'expired' WHEN status <> 'active' OR secret_scan <> 'passed' THEN 'quarantined' ELSE 'delivered' END AS outcome, count(*) AS n FROM episodes GROUP BY 1")
 def st4_ingest_partition(spark, sf_dir):
     """ST3, ST4, C11: what becomes of each arriving episode; the counts add up."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import retrieval as op
 from palimpsest.plans.registry import query
 from palimpsest.sources import records as rec
-from palimpsest.sources.records import EPISODES, NOW_MS, OBSERVATIONS, SKEW_MS, table, with_
+from palimpsest.sources.records import EPISODES, NOW_MS, OBSERVATIONS, POLICIES, SKEW_MS, table, with_
 
 TERMS = ["the", "re"]
 GUARD = f"owner_host = 'alpha' AND status = 'active' AND secret_scan = 'passed' AND privacy_epoch = 1 AND (expires_at IS NULL OR expires_at > {NOW_MS + SKEW_MS})"
@@ -84,13 +84,21 @@ def s5_multi_get(spark, sf_dir):
 @query("s6_evidence_lookup", with_(EPISODES, OBSERVATIONS) + """
 SELECT id, kind, count(*) OVER (PARTITION BY id) AS n FROM (
   SELECT id, 'episode' AS kind FROM episodes UNION ALL SELECT id, 'curated_memory' FROM observations UNION ALL SELECT DISTINCT state_key, 'curated_current' FROM observations
-) WHERE id IN (SELECT evidence_id FROM observations WHERE event_id % 50 = 0)""")
+) WHERE id IN (SELECT evidence_id FROM observations UNION ALL SELECT state_key FROM observations)""")
 def s6_evidence_lookup(spark, sf_dir):
-    """Ids over several record types; n tells ambiguous ones."""
+    """Ids over several record types; an ambiguous one fails the lookup."""
     obs = rec.observations(spark, sf_dir)
     everything = rec.episodes(spark, sf_dir).select("id", F.lit("episode").alias("kind")).unionByName(obs.select("id", F.lit("curated_memory").alias("kind"))).unionByName(obs.select(F.col("state_key").alias("id"), F.lit("curated_current").alias("kind")).distinct())
-    wanted = obs.filter("event_id % 50 = 0").select(F.col("evidence_id").alias("id")).distinct()
-    return everything.join(wanted, "id", "left_semi").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    wanted = obs.select(F.col("evidence_id").alias("id")).unionByName(obs.select(F.col("state_key").alias("id")))
+    return op.lookup(everything, wanted)
+
+
+@query("s7_dimension_reads", with_(EPISODES, POLICIES, "ids AS (SELECT DISTINCT processing_policy_id AS policy_id FROM episodes)") + "SELECT policy_id, residency, store_id FROM policies WHERE policy_id IN (SELECT policy_id FROM ids)")
+def s7_dimension_reads(spark, sf_dir):
+    """Policies by a bounded list of distinct ids; a longer one is refused."""
+    # as many ids as policies are in use, and 1,024 at most
+    ids = [r[0] for r in rec.episodes(spark, sf_dir).select("processing_policy_id").distinct().limit(1025).collect()]
+    return op.bounded_lookup(rec.policies(spark, sf_dir), ids, "policy_id").select("policy_id", "residency", "store_id")
 
 
 @query("s8_vector_topk", f"SELECT vec_id, score FROM {_SCORED} ORDER BY score DESC, vec_id LIMIT 20")
@@ -135,16 +143,15 @@ def a8_mean_vector(spark, sf_dir):
 
 
 @query("w9_context_pack", with_(EPISODES, """
-h AS (SELECT id, row_number() OVER (ORDER BY id) AS position, text, chr(10) || '(' || event_kind || ')' AS suffix FROM episodes WHERE conv_id < 3 AND text <> ''), f AS (
+h AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS position, text, chr(10) || '(' || event_kind || ')' AS suffix FROM episodes WHERE text <> ''), f AS (
   SELECT *, '[' || position || '] ' AS prefix, length('[' || position || '] ' || text || suffix) AS size FROM h WHERE position <= 10), r AS (
-  SELECT *, 1200 - coalesce(sum(size) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM f)""") + """
-SELECT position, CASE WHEN size <= room THEN prefix || text || suffix ELSE prefix || left(text, CAST(room - length(prefix) - length(suffix) - 1 AS INT)) || '…' || suffix END AS entry
+  SELECT *, 1200 - coalesce(sum(size) OVER (PARTITION BY session_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM f)""") + """
+SELECT session_id, position, CASE WHEN size <= room THEN prefix || text || suffix ELSE prefix || left(text, CAST(room - length(prefix) - length(suffix) - 1 AS INT)) || '…' || suffix END AS entry
 FROM r WHERE room > 0 AND (size <= room OR room - length(prefix) - length(suffix) > 0)""")
 def w9_context_pack(spark, sf_dir):
-    """Ranked hits packed into a character budget; the first that does not fit is cut."""
-    first = rec.episodes(spark, sf_dir).filter("conv_id < 3 AND text <> ''").orderBy("id").limit(10)
-    hits = first.select(F.row_number().over(Window.orderBy("id")).cast("long").alias("position"), "text", F.concat(F.lit("\n("), "event_kind", F.lit(")")).alias("suffix"))
-    return op.pack(hits, 1200)
+    """The first ten hits of each answer (here a session) packed into a character budget; the first that does not fit is cut."""
+    placed = rec.episodes(spark, sf_dir).filter("text <> ''").withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy("id")).cast("long")).filter("position <= 10")
+    return op.pack(placed.select("session_id", "position", "text", F.concat(F.lit("\n("), "event_kind", F.lit(")")).alias("suffix")), 1200, "session_id")
 
 
 @query("t4_inspect_page", with_(EPISODES) + "SELECT id, event_kind, status, (SELECT count(*) > 50 FROM episodes) AS truncated FROM episodes ORDER BY id LIMIT 50")

@@ -22,7 +22,7 @@ def m2_soft_clusters(spark, sf_dir):
 @query("m6_tree")
 def m6_tree(spark, sf_dir):
     """M6: edges of the soft tree, each one level up (iterative; tested for invariants)."""
-    return op.build_tree(_leaves(spark, sf_dir), budget=400, max_levels=3)[1]
+    return op.build_tree(_leaves(spark, sf_dir), budget=400)[1]
 
 
 @query("m4_assignments", "SELECT vec_id, list_position(p, list_max(p)) AS best, len(list_filter(p, lambda x: x >= 0.1)) AS n_clusters FROM (SELECT vec_id, list_transform(w, lambda x: x / list_sum(w)) AS p FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[])[1:8], lambda x: x * x + 0.000001) AS w FROM embeddings))")
@@ -40,11 +40,14 @@ def m9_summary_reuse(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sha2(F.concat(members, F.lit("|prompt-1|model-1")), 256).alias("reuse_key"))
 
 
-@query("m10_extractive_summary", "SELECT source, string_agg(left(text, 40), ' ' ORDER BY doc_id) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k <= 3 GROUP BY source")
+@query("m10_extractive_summary", "WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k <= 3), s AS (SELECT source, CAST(sum(strlen(left(text, 400))) AS BIGINT) AS bytes, string_agg(left(left(text, 400), 40), ' ' ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS summary FROM k GROUP BY source) SELECT source, CASE WHEN bytes <= 1220 THEN summary END AS summary, CASE WHEN bytes > 1220 THEN 'over budget' END AS error FROM s")
 def m10_extractive_summary(spark, sf_dir):
-    """The default summariser: openings of a cluster's three longest members."""
+    """An injected summariser (here openings) over each cluster's members, refused where they exceed four bytes a token."""
     from pyspark.sql import Window
 
+    from palimpsest.functions.seams import summarise
+
     k = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
     top = table(spark, sf_dir, "documents").withColumn("k", k).filter("k <= 3")
-    return top.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.left("text", F.lit(40)).alias("head")))), lambda x: x["head"]), " ").alias("summary"))
+    members = top.select(F.col("source").alias("cluster"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("member"), F.left("text", F.lit(400)).alias("text"))
+    return summarise(members, lambda texts: " ".join(t[:40] for t in texts), 305).withColumnRenamed("cluster", "source")

@@ -105,6 +105,7 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("memory").alias("data_use"),
         F.concat(F.lit("store"), F.col("s_nationkey") % 2).alias("store_id"),
         F.concat(F.lit("embed"), F.col("s_nationkey") % 3).alias("embedding_id"),
+        F.when(F.col("s_suppkey") % 7 != 0, F.concat(F.lit("llm"), F.col("s_nationkey") % 2)).alias("llm_id"),
         (F.col("s_suppkey") % 4 != 0).alias("allow_replay"),
         F.when(F.col("s_suppkey") % 3 == 0, F.lit(BASE_MS) + F.col("s_suppkey") * DAY_MS).alias("expires_at"),
         F.concat(F.lit("origin"), F.col("s_nationkey") % 2).alias("origin"),
@@ -115,7 +116,7 @@ POLICIES = f"""
 policies AS (
   SELECT 'pol' || (s_suppkey - 1) AS policy_id, 'alpha' AS owner_host, CASE WHEN s_suppkey % 5 = 0 THEN 'local' ELSE 'eu' END AS residency,
     'memory' AS data_use, 'store' || (s_nationkey % 2) AS store_id, 'embed' || (s_nationkey % 3) AS embedding_id,
-    s_suppkey % 4 <> 0 AS allow_replay, CASE WHEN s_suppkey % 3 = 0 THEN {BASE_MS} + s_suppkey * {DAY_MS} END AS expires_at,
+    CASE WHEN s_suppkey % 7 <> 0 THEN 'llm' || (s_nationkey % 2) END AS llm_id, s_suppkey % 4 <> 0 AS allow_replay, CASE WHEN s_suppkey % 3 = 0 THEN {BASE_MS} + s_suppkey * {DAY_MS} END AS expires_at,
     'origin' || (s_nationkey % 2) AS origin
   FROM supplier
 )"""
@@ -162,5 +163,63 @@ jobs AS (
 )"""
 
 
+def derived(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:
+    """Columns over a table by SQL expressions that Spark and DuckDB read alike."""
+    return table(spark, sf_dir, name).selectExpr(*[f"{sql} AS {column}" for column, sql in columns.items()])
+
+
+def cte(name: str, table_name: str, columns: dict[str, str]) -> str:
+    """The same columns as a common table expression for the oracle."""
+    listed = ", ".join(f"{sql} AS {column}" for column, sql in columns.items())
+    return f"\n{name} AS (SELECT {listed} FROM {table_name})"
+
+
+#: A session's log entries, as a host writes them: kinds, roles, parts and outcomes of each.
+ENTRY_COLUMNS = {
+    "session_id": "'s' || conv_id",
+    "conv_id": "conv_id",
+    "position": "turn",
+    "entry_id": "CASE WHEN conv_id % 29 = 7 AND turn = 1 THEN 'secret entry ' || conv_id WHEN conv_id % 31 = 8 AND turn = 2 THEN '' ELSE 'e-' || conv_id || '-' || turn END",
+    "entry_type": "CASE WHEN turn % 19 = 11 THEN 'Custom_note' WHEN turn % 23 = 4 AND conv_id % 3 = 0 THEN 'memory' ELSE 'message' END",
+    "role": "CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 'toolResult' ELSE role END",
+    "part_type": "CASE WHEN conv_id % 6 = 1 AND turn % 5 = 3 THEN 'Thinking' WHEN role = 'assistant' AND turn % 4 = 1 THEN 'toolCall' ELSE 'text' END",
+    "text": "CASE WHEN conv_id % 13 = 4 AND turn = 2 THEN '[memory-context] ' || text WHEN conv_id % 17 = 5 AND turn = 1 THEN '' ELSE text END",
+    "name": "CASE WHEN role = 'assistant' AND turn % 2 = 1 AND conv_id % 5 = 0 THEN 'memory_search' WHEN role = 'assistant' AND turn % 2 = 1 THEN 'tool' || (conv_id % 3) END",
+    "arguments": "CASE WHEN role = 'assistant' AND turn % 2 = 1 AND conv_id % 4 <> 2 THEN '{\"n\":' || turn || '}' END",
+    "status": "CASE WHEN conv_id % 8 = 5 AND turn % 4 = 3 THEN 'Timed-Out' WHEN conv_id % 9 = 2 AND turn % 7 = 6 THEN 'Partial' WHEN conv_id % 5 = 1 THEN 'ok' END",
+    "aborted": "conv_id % 27 = 13 AND turn = 3",
+    "is_error": "conv_id % 10 = 9 AND turn % 2 = 1",
+    "error": "CASE WHEN conv_id % 12 = 5 THEN '  ' WHEN conv_id % 12 = 6 THEN 'boom' END",
+    "code": "CASE WHEN conv_id % 3 = 1 THEN CAST((conv_id + turn) % 3 AS BIGINT) END",
+    "detail_code": "CASE WHEN conv_id % 3 = 2 THEN CAST((conv_id + turn) % 4 AS BIGINT) END",
+    "detail_status": "CASE WHEN conv_id % 11 = 3 THEN 'denied' END",
+    "stderr": "CASE WHEN conv_id % 4 = 1 THEN 'warn' WHEN conv_id % 4 = 3 THEN ' ' END",
+    "custom_type": "CASE WHEN conv_id % 25 = 6 AND turn = 2 THEN 'my-context' END",
+}
+ENTRIES = cte("entries", "conversations", ENTRY_COLUMNS)
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "conversations", ENTRY_COLUMNS)
+
+
+#: Records of several types under one envelope.
+_MEMORY = {
+    "episode": ("conversations", {"record_type": "'episode'", "id": "'ep-' || conv_id || '-' || turn", "owner_host": "CASE WHEN conv_id % 7 = 0 THEN 'beta' ELSE 'alpha' END", "project_id": "'p' || (conv_id % 5)", "status": "CASE WHEN turn % 13 = 5 THEN 'deleted' ELSE 'active' END", "secret_scan": "CASE WHEN conv_id % 17 = 3 THEN 'rejected' ELSE 'passed' END", "privacy_epoch": "CAST(CASE WHEN conv_id % 9 = 4 THEN 0 ELSE 1 END AS BIGINT)", "processing_policy_id": "'pol' || (conv_id % 4)", "expires_at": f"CASE WHEN conv_id % 6 = 0 THEN {BASE_MS} + {DAY_MS} * (conv_id % 40) END"}),
+    "curated_memory": ("events", {"record_type": "'curated_memory'", "id": "'obs-' || event_id", "owner_host": "'alpha'", "project_id": "'p' || (user_id % 5)", "status": "'active'", "secret_scan": "'passed'", "privacy_epoch": "CAST(1 AS BIGINT)", "processing_policy_id": "'pol' || (user_id % 4)", "expires_at": f"CASE WHEN event_id % 5 = 0 THEN {BASE_MS} + {DAY_MS} * (event_id % 40) END"}),
+    "lease": ("orders", {"record_type": "'lease'", "id": "'lease-' || o_orderkey", "owner_host": "CASE WHEN o_orderkey % 8 = 0 THEN 'beta' ELSE 'alpha' END", "project_id": "'p' || (o_custkey % 5)", "status": "'active'", "secret_scan": "'passed'", "privacy_epoch": "CAST(o_orderkey % 2 AS BIGINT)", "processing_policy_id": "'pol' || (o_custkey % 4)", "expires_at": f"{BASE_MS} - {DAY_MS} * (o_orderkey % 9)"}),
+    "tombstone": ("customer", {"record_type": "'tombstone'", "id": "'tomb-' || c_custkey", "owner_host": "'alpha'", "project_id": "'p0'", "status": "'active'", "secret_scan": "'passed'", "privacy_epoch": "CAST(1 AS BIGINT)", "processing_policy_id": "'pol0'", "expires_at": "CAST(NULL AS BIGINT)"}),
+}
+MEMORY = "\nmemory AS (" + " UNION ALL ".join("SELECT " + ", ".join(f"{sql} AS {c}" for c, sql in columns.items()) + f" FROM {name}" for name, columns in _MEMORY.values()) + ")"
+
+
+def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records under one envelope."""
+    first, *rest = (derived(spark, sf_dir, name, columns) for name, columns in _MEMORY.values())
+    for other in rest:
+        first = first.unionByName(other)
+    return first
+
+
 def with_(*ctes: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",".join(ctes) + "\n"

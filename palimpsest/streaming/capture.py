@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.coordination import audit_hash
 from palimpsest.sources.records import table
 
 KINDS = ("user", "assistant")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a folder of this process where all runs in one JVM."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+
+
 def captured(entries: DataFrame) -> DataFrame:
     """Episodes of finalized entries."""
     return entries.filter(F.col("role").isin(*KINDS)).select(F.concat(F.lit("ep-"), "conv_id", F.lit("-"), "turn").alias("id"), "role", "text")
 
 
+def write_batch(batch: DataFrame, number: int, path: str) -> None:
+    """A batch goes to a folder of its own, so one that is run again replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def sweep(entries: DataFrame, sink: DataFrame) -> DataFrame:
+    """Entries that the sink lacks, each id once: the periodic pass that no cursor can miss anything in."""
+    return entries.join(sink.select("id"), "id", "left_anti").dropDuplicates(["id"])
+
+
 def append_new(spark: SparkSession, batch: DataFrame, path: str) -> None:
-    """Append the batch's ids that the sink lacks; a batch that is run again adds nothing."""
+    """Append what a sweep finds that the sink lacks; run again, it adds nothing."""
     fresh = batch.dropDuplicates(["id"])
     try:
-        stored = spark.read.schema(batch.schema).parquet(path)
-        fresh = fresh.join(stored.select("id"), "id", "left_anti")
+        fresh = sweep(fresh, spark.read.schema(batch.schema).parquet(path))
     except Exception as missing:  # the first batch has no sink yet
         if "PATH_NOT_FOUND" not in str(missing):
             raise
@@ -30,11 +52,28 @@ def append_new(spark: SparkSession, batch: DataFrame, path: str) -> None:
 
 
 def capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run the stream over all entries at hand and return the sink's ids."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest").rstrip("/")
-    out = f"{root}/palimpsest/capture-{uuid.uuid4().hex}"
+    """Run the stream over all entries at hand and return the sink's ids.
+
+    The ids seen are state of the stream, kept with its checkpoint, so no batch reads
+    the sink.
+    """
+    out = f"{shared_folder(spark)}/palimpsest/capture-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "conversations").schema
     entries = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/conversations.parquet*")
-    stream = captured(entries).writeStream.foreachBatch(lambda batch, _: append_new(batch.sparkSession, batch, f"{out}/sink")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    fresh = captured(entries).dropDuplicates(["id"])
+    stream = fresh.writeStream.foreachBatch(lambda batch, number: write_batch(batch, number, f"{out}/sink")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.read.parquet(f"{out}/sink").select("id")
+    return spark.read.schema("id string").parquet(f"{out}/sink").select("id")
+
+
+def write_outbox(jobs: DataFrame, path: str) -> None:
+    """Jobs as JSON files, one row a line; written again, the same jobs replace themselves."""
+    jobs.write.mode("overwrite").json(path)
+
+
+def read_outbox(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs, malformed): jobs whose audit hash holds, and the lines that are no such job, as they were read."""
+    schema = "session_id string, chunk long, size long, created_at long, bytes long, job_id string, audit_hash string"
+    lines = spark.read.text(path).withColumn("j", F.from_json("value", schema))
+    whole = lines.select("value", "j.*").withColumn("good", F.coalesce(F.col("audit_hash") == audit_hash(), F.lit(False)))
+    return whole.filter("good").drop("value", "good"), whole.filter("NOT good").select("value")
