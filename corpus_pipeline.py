@@ -8,9 +8,8 @@ way goes when it ends.
 A null or empty text is scored, and goes or stays, by its statistics like any other; it
 has no near-duplicates, repeats or leaks, and encodes to no tokens. A null doc_id has no
 near-duplicates and counts as the largest one among repeats. Rows that repeat a doc_id go
-through every stage as rows of their own, except that a document which a smaller id stands
-for goes with all its rows. Equal texts with the smallest id count once: the first row
-stays whole. Further columns of the table stay until the last stage; the operators'
+through every stage as rows of their own; where a smaller id stands for a document, all its
+rows go. Further columns of the table stay until the last stage; the operators'
 own columns all begin with an underscore. Empty tables give empty ones; without labels
 every document scores 0.5 and stays, and without benchmark none is contaminated.
 """
