@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, decontam, lmscore, neardup_texts, neardup_vectors, quality, substrings, toxicity, warc
+from palimpsest.llm import bpe, chat, decontam, lmscore, neardup_texts, neardup_vectors, quality, substrings, tokenpairs, toxicity, warc
 
-MODULES = [bpe, warc, chat, decontam, lmscore, neardup_texts, neardup_vectors, quality, substrings, toxicity]
+MODULES = [bpe, warc, chat, decontam, lmscore, neardup_texts, neardup_vectors, quality, substrings, toxicity, tokenpairs]
 
 
 def queries() -> dict:
