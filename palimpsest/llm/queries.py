@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, codebooks, decontam, lmscore, neardup_texts, neardup_vectors, quality, substrings, tokenpairs, toxicity, warc
+from palimpsest.llm import bpe, chat, codebooks, decontam, lmscore, neardup_texts, neardup_vectors, quality, substrings, tokenpairs, toxicity, urlfilter, warc
 
-MODULES = [bpe, warc, chat, decontam, lmscore, neardup_texts, neardup_vectors, quality, substrings, toxicity, tokenpairs, codebooks]
+MODULES = [bpe, warc, chat, decontam, lmscore, neardup_texts, neardup_vectors, quality, substrings, toxicity, tokenpairs, codebooks, urlfilter]
 
 
 def queries() -> dict:
