@@ -206,8 +206,8 @@ def exact_lane(records: DataFrame, query: str, limit: int, pages: int = 4, page_
 MAX_CANDIDATE_TEXT, MAX_EVIDENCE = 16_000, 1024
 
 
-def candidates(records: DataFrame) -> DataFrame:
-    """Records as retrieval candidates; what no answer can rest on goes.
+def candidates(records: DataFrame, others: Column | None = None) -> DataFrame:
+    """Records as retrieval candidates; what no answer can rest on goes, but for ``others``.
 
     Needs record_type, resolution, text, tool_name, event_kind, score and evidence_ids.
     An episode is its own evidence and shows a safe text. Conflicts, blank and oversized
@@ -233,7 +233,8 @@ def candidates(records: DataFrame) -> DataFrame:
         & (n <= MAX_EVIDENCE)
         & (F.size(F.array_distinct("evidence_ids")) == n)
     )
-    return shown.filter(F.coalesce(keep, F.lit(False)))
+    keep = F.coalesce(keep, F.lit(False))
+    return shown.filter(keep if others is None else others | keep)
 
 
 def with_all_evidence(candidates: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from palimpsest.plans import admin, capture, control, coordination, filters, joins, leases, retrieval, text, timelines, trees  # noqa: E402, F401
+from palimpsest.plans import admin, capture, control, coordination, filters, joins, leases, retrieval, search, text, timelines, trees  # noqa: E402, F401

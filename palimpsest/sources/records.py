@@ -223,3 +223,60 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_(*ctes: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",".join(ctes) + "\n"
+
+
+#: The records that a search reads. Each project stands for a case: in p2 some evidence belongs to another owner, in p3
+#: some was deleted, p1 has forgotten records, in p4 some records' policy is unknown; p0 has none of these.
+_PROJECT = {"conversations": "'p' || (conv_id % 5)", "events": "'p' || (user_id % 5)"}
+_AT = {"conversations": f"{BASE_MS} + conv_id * 600000 + turn * 1000", "events": f"{BASE_MS} + event_id * 60000"}
+_SEARCH_NULLS = {c: "CAST(NULL AS VARCHAR(99))" for c in ("scope", "text", "tool_name", "tool_args", "error_fingerprint", "event_kind", "subject", "predicate", "value", "resolution", "content_id", "observation_id", "state_key", "evidence", "members", "projects", "generation_id", "project_id")}
+_SEARCH_COMMON = {"owner_host": "'alpha'", "project_kind": "'registered'", "status": "'active'", "secret_scan": "'passed'", "privacy_epoch": "CAST(1 AS BIGINT)", "policy_epoch": "CAST(1 AS BIGINT)", "policy_hash": "'h1'", "expires_at": "CAST(NULL AS BIGINT)"}
+_EVENT_EVIDENCE = "'ep-' || (5 * (event_id % 20) + user_id % 5) || '-' || (event_id % 3)"
+_SEARCH = {
+    "episode": ("conversations", {
+        "record_type": "'episode'", "id": "'ep-' || conv_id || '-' || turn", "project_id": _PROJECT["conversations"], "scope": "'project'", "text": "text", "event_kind": "role", "happened_at": _AT["conversations"], "created_at": f"{_AT['conversations']} + 5000",
+        "owner_host": "CASE WHEN conv_id % 10 = 7 THEN 'beta' ELSE 'alpha' END", "status": "CASE WHEN conv_id % 5 = 3 AND turn = 0 THEN 'deleted' ELSE 'active' END", "project_kind": "CASE WHEN conv_id % 100 = 55 THEN 'local_only' ELSE 'registered' END",
+        "processing_policy_id": "CASE WHEN conv_id % 45 = 4 THEN 'lost' WHEN conv_id % 5 = 4 THEN 'pol' || (conv_id % 4) ELSE 'pol' || (conv_id % 2) END", "tool_name": "CASE WHEN turn % 4 = 3 THEN 'tool' || (conv_id % 3) END", "expires_at": f"CASE WHEN turn % 7 = 6 THEN {BASE_MS} + {DAY_MS} * (conv_id % 40) END", "vec": "conv_id * 7 + turn",
+    }),
+    "curated_memory": ("events", {
+        "record_type": "'curated_memory'", "id": "'obs-' || lpad(CAST(event_id AS VARCHAR(20)), 9, '0')", "project_id": _PROJECT["events"], "scope": "CASE WHEN user_id % 15 = 0 THEN 'global' ELSE 'project' END", "text": "'user ' || user_id || ' did the ' || event_type || ' there'",
+        "subject": "'user'", "predicate": "'did'", "value": "event_type", "content_id": "'content:' || event_type || (event_id % 4)", "observation_id": "'obs-' || event_id", "state_key": "'state:' || user_id", "evidence": _EVENT_EVIDENCE,
+        "happened_at": _AT["events"], "created_at": f"{_AT['events']} + 1000", "policy_hash": "CASE WHEN event_id % 6 = 1 THEN 'h0' ELSE 'h1' END", "processing_policy_id": "CASE WHEN user_id % 5 = 4 THEN 'pol' || (user_id % 4) ELSE 'pol' || (user_id % 2) END", "vec": "event_id",
+    }),
+    "curated_current": ("events", {
+        "record_type": "'curated_current'", "id": "'cur-' || lpad(CAST(event_id AS VARCHAR(20)), 9, '0')", "project_id": _PROJECT["events"], "scope": "CASE WHEN user_id % 15 = 0 THEN 'global' ELSE 'project' END", "text": "'now the ' || event_type || ' of ' || user_id || ' holds there'",
+        "resolution": "CASE WHEN event_id % 5 = 2 THEN 'conflict' ELSE 'resolved' END", "content_id": "'content:' || event_type || (event_id % 4)", "state_key": "'state:' || user_id", "evidence": _EVENT_EVIDENCE,
+        "happened_at": _AT["events"], "created_at": f"{_AT['events']} + 2000", "policy_epoch": "CAST(CASE WHEN event_id % 9 = 4 THEN 0 ELSE 1 END AS BIGINT)", "processing_policy_id": "CASE WHEN user_id % 5 = 4 THEN 'pol' || (user_id % 4) ELSE 'pol' || (user_id % 2) END", "vec": "event_id + 3",
+    }),
+    # a summary above the first two turns of a conversation, and one above it and the first turn itself
+    "leaf_summary": ("conversations", {
+        "record_type": "'raptor_summary'", "id": "'sum1-' || conv_id", "members": "'ep-' || conv_id || '-0,ep-' || conv_id || '-1' || CASE WHEN conv_id % 40 = 21 THEN ',ep-none' ELSE '' END", "projects": _PROJECT["conversations"], "generation_id": "'g1'",
+        "happened_at": _AT["conversations"], "created_at": _AT["conversations"], "processing_policy_id": "'pol' || (conv_id % 2)", "vec": "conv_id % 5",
+    }),
+    "top_summary": ("conversations", {
+        "record_type": "'raptor_summary'", "id": "'sum2-' || conv_id", "members": "'sum1-' || conv_id || ',ep-' || conv_id || '-0'", "projects": f"CASE WHEN conv_id % 3 = 0 THEN 'p9,' ELSE '' END || {_PROJECT['conversations']}", "generation_id": "CASE WHEN conv_id % 4 = 3 THEN 'g0' ELSE 'g1' END",
+        "happened_at": _AT["conversations"], "created_at": _AT["conversations"], "processing_policy_id": "'pol1'", "vec": "conv_id % 5 + 5 * (conv_id % 2)",
+    }),
+}
+_SEARCH_FILTER = {"leaf_summary": "turn = 1", "top_summary": "turn = 1"}
+SEARCH_COLUMNS = ["id", "record_type", "happened_at", "created_at", "processing_policy_id", "vec", *_SEARCH_COMMON, *_SEARCH_NULLS]
+_SEARCH_SQL = " UNION ALL ".join(
+    "SELECT " + ", ".join(f"{(_SEARCH_NULLS | _SEARCH_COMMON | columns)[c]} AS {c}" for c in SEARCH_COLUMNS) + f" FROM {name}" + (f" WHERE {_SEARCH_FILTER[kind]}" if kind in _SEARCH_FILTER else "") for kind, (name, columns) in _SEARCH.items()
+)
+SEARCH_RECORDS = f"""
+flat_records AS ({_SEARCH_SQL}),
+records AS (
+  SELECT f.* EXCLUDE (evidence, members, projects), string_split(evidence, ',') AS evidence_ids, string_split(members, ',') AS member_ids, string_split(projects, ',') AS covered_projects, CAST(v.embedding AS DOUBLE[]) AS vector
+  FROM flat_records f LEFT JOIN embeddings v ON v.vec_id = f.vec % (SELECT count(*) FROM embeddings))"""
+
+
+def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes, curated records and summaries under one envelope, with vectors."""
+    for name in ("conversations", "events"):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"_search_{name}")
+    flat = spark.sql(_SEARCH_SQL.replace(" FROM conversations", " FROM _search_conversations").replace(" FROM events", " FROM _search_events"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    size = vectors.agg(F.count(F.lit(1)).alias("n_vectors"))
+    placed = flat.join(F.broadcast(size), F.lit(True)).withColumn("vec_id", F.col("vec") % F.col("n_vectors"))
+    lists = {"evidence_ids": "evidence", "member_ids": "members", "covered_projects": "projects"}
+    return placed.withColumns({to: F.split(of, ",") for to, of in lists.items()}).join(vectors, "vec_id", "left").drop(*lists.values(), "vec", "vec_id", "n_vectors")
