@@ -70,6 +70,13 @@ def logical_id(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.sha2(F.concat(F.lit('["'), F.concat_ws('","', *parts), F.lit('"]')), 256))
 
 
+def retry_wait(key: str, attempts: int, base: int, most: int) -> int:
+    """``coordination.retry_delay`` of one job, where state is kept a key at a time."""
+    bounded = min(most, base * 2 ** min(30, max(0, attempts - 1)))
+    share = int(sha256_hex(f'{{"attempts":{attempts},"jobId":"{key}"}}')[:8], 16) / 0xFFFFFFFF
+    return max(1, min(most, int(bounded * (0.5 + share * 0.5))))
+
+
 class Xoshiro:
     """The public-domain xoshiro128** generator, seeded by a hash of a text."""
 

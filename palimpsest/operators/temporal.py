@@ -68,6 +68,23 @@ def decide(current_kind: Column, same_content: Column, comparison: Column) -> Co
     return F.when(current_kind.isNull(), "insert").when(current_kind == "resolved", resolved).otherwise(conflict)
 
 
+def arrived(now: dict | None, at: int, content: str, skew: int) -> dict:
+    """The current value of a state after one more observation: kind, content, at, members, version.
+
+    A later one replaces it, one within the skew window opens or widens a conflict, and
+    equal and earlier ones change nothing. The same value is returned where nothing changes.
+    """
+    if now is None:
+        return {"kind": "resolved", "content": content, "at": at, "members": {content}, "version": 1}
+    if at - now["at"] > skew:
+        return {"kind": "resolved", "content": content, "at": at, "members": {content}, "version": now["version"] + 1}
+    tied = abs(at - now["at"]) <= skew and content != now["content"]
+    if not tied or (now["kind"] == "conflict" and content in now["members"]):
+        return now
+    members = now["members"] | {content}
+    return {"kind": "conflict", "content": max(members), "at": max(now["at"], at), "members": members, "version": now["version"] + 1}
+
+
 def fold_current(observations: DataFrame, skew: int) -> DataFrame:
     """The current value of each state after all arrivals, in order of (created_at, id).
 
@@ -78,24 +95,15 @@ def fold_current(observations: DataFrame, skew: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = None
-        now: dict = {}
+        now: dict | None = None
         for batch in batches:
             out = []
             for state, at, content, ident in batch[["state_key", "effective_at", "content_id", "id"]].itertuples(index=False):
                 if state != key:
                     if key is not None:
                         out.append((key, now["kind"], now["content"], now["at"], sorted(now["members"]), now["version"]))
-                    key, now = state, {"kind": "resolved", "content": content, "at": at, "members": {content}, "version": 1}
-                    continue
-                delta = now["at"] - at
-                same = content == now["content"]
-                how = ("equal" if same else "within_skew") if abs(delta) <= skew else ("before" if delta < 0 else "after")
-                if how == "before":
-                    now = {"kind": "resolved", "content": content, "at": at, "members": {content}, "version": now["version"] + 1}
-                elif how == "within_skew":
-                    members = now["members"] | {content}
-                    if now["kind"] == "resolved" or members != now["members"]:
-                        now = {"kind": "conflict", "content": max(members), "at": max(now["at"], at), "members": members, "version": now["version"] + 1}
+                    key, now = state, None
+                now = arrived(now, at, content, skew)
             yield pd.DataFrame(out, columns=["state_key", "kind", "content", "at", "members", "version"])
         if key is not None:
             yield pd.DataFrame([(key, now["kind"], now["content"], now["at"], sorted(now["members"]), now["version"])], columns=["state_key", "kind", "content", "at", "members", "version"])

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.coordination import audit_hash
 from palimpsest.sources.records import table
+from palimpsest.sources.shared import new_folder
 
 KINDS = ("user", "assistant")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a folder of this process where all runs in one JVM."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-
-
 def captured(entries: DataFrame) -> DataFrame:
     """Episodes of finalized entries."""
     return entries.filter(F.col("role").isin(*KINDS)).select(F.concat(F.lit("ep-"), "conv_id", F.lit("-"), "turn").alias("id"), "role", "text")
@@ -40,24 +27,13 @@ def sweep(entries: DataFrame, sink: DataFrame) -> DataFrame:
     return entries.join(sink.select("id"), "id", "left_anti").dropDuplicates(["id"])
 
 
-def append_new(spark: SparkSession, batch: DataFrame, path: str) -> None:
-    """Append what a sweep finds that the sink lacks; run again, it adds nothing."""
-    fresh = batch.dropDuplicates(["id"])
-    try:
-        fresh = sweep(fresh, spark.read.schema(batch.schema).parquet(path))
-    except Exception as missing:  # the first batch has no sink yet
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    fresh.write.mode("append").parquet(path)
-
-
 def capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the stream over all entries at hand and return the sink's ids.
 
     The ids seen are state of the stream, kept with its checkpoint, so no batch reads
     the sink.
     """
-    out = f"{shared_folder(spark)}/palimpsest/capture-{uuid.uuid4().hex}"
+    out = new_folder(spark, "capture")
     schema = table(spark, sf_dir, "conversations").schema
     entries = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/conversations.parquet*")
     fresh = captured(entries).dropDuplicates(["id"])

@@ -281,15 +281,6 @@ def test_current_fold_against_brute_force(spark):
     assert got == want
 
 
-def test_capture_runs_twice_without_doubles(spark, tmp_path):
-    from palimpsest.streaming import capture
-
-    batch = spark.createDataFrame([("a", "user", "x"), ("a", "user", "x"), ("b", "user", "y")], "id string, role string, text string")
-    for _ in range(2):
-        capture.append_new(spark, batch, f"file://{tmp_path}/sink")
-    assert spark.read.parquet(f"{tmp_path}/sink").count() == 2
-
-
 def test_packing_cuts_the_last(spark):
     hits = spark.createDataFrame([(1, "aaaa", "!"), (2, "bbbbbbbbbb", "!"), (3, "c", "!")], "position long, text string, suffix string")
     assert [r.entry for r in op.pack(hits, 20).orderBy("position").collect()] == ["[1] aaaa!", "[2] bbbbb…!"]
