@@ -45,14 +45,12 @@ def _nfc(text):
 
 def normalize_nfkc(text: Column) -> Column:
     """Compatibility form; texts without a character that it may change stay in the JVM."""
-    odd = text.rlike(_STABLE_NFKC)
-    return F.when(odd, _nfkc(F.when(odd, text))).otherwise(text)
+    return F.coalesce(_nfkc(F.when(text.rlike(_STABLE_NFKC), text)), text)
 
 
 def normalize_nfc(text: Column) -> Column:
     """Composed form, likewise."""
-    odd = text.rlike(_STABLE_NFC)
-    return F.when(odd, _nfc(F.when(odd, text))).otherwise(text)
+    return F.coalesce(_nfc(F.when(text.rlike(_STABLE_NFC), text)), text)
 
 
 @F.pandas_udf(T.DoubleType())
