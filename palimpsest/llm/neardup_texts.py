@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, bounded_slices, connected_components, discard, materialize, materialize_alone
+from palimpsest.llm.common import bounded_batches, bounded_slices, connected_components, discard, free_name, materialize, materialize_alone
 from palimpsest.llm.wordhash import gram_hashes, hash_words, mix
 
 #: Words of a shingle.
@@ -364,9 +364,10 @@ def group_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFr
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that a smaller id of their group stands for; all columns stay."""
-    gone = materialize_alone(lambda: group_near_duplicates(docs, threshold).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    name = free_name("_gone", docs)
+    gone = materialize_alone(lambda: group_near_duplicates(docs, threshold).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
     small = gone.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
 
 
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,8 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Q
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """All columns of ``docs`` and ``_quality``, the calibrated score of the whole text.
+def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, into: str = "_quality") -> DataFrame:
+    """All columns of ``docs`` and ``into``, the calibrated score of the whole text, which replaces a column of that name.
 
     Scores depend on the text alone; a null text counts as empty and is scored too.
     Labels without a document, null labels and documents without a label are no
@@ -184,7 +184,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_
             parts = [shared.value.score(texts.iloc[i : i + 1024].tolist()) for i in range(0, len(texts), 1024)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn("_quality", score(F.col("text").cast("string")))
+    return docs.withColumn(into, score(F.col("text").cast("string")))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

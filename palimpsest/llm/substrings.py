@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.chunks import answered, asked, bucket_count, characters, chunked, key_counts, met
-from palimpsest.llm.common import bounded_batches, discard, materialize, release
+from palimpsest.llm.common import bounded_batches, discard, free_name, materialize, release
 from palimpsest.llm.wordhash import Words, as_bytes, gram_hashes, hash_words, mix, sliding
 
 WINDOW, GRAM, ROUTE_GRAM = 13, 9, 3
@@ -280,7 +280,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated windows cut from the texts, and ``_n_words`` and ``_n_removed``.
 
-    Takes ``doc_id`` and ``text``; other columns stay. Words are runs of characters
+    Takes ``doc_id`` and ``text``; other columns stay, whatever their names: where one has
+    the name of an added column, that gets underscores before it. Words are runs of characters
     between white space, unchanged. Each word that a window covers whose words also
     start in a document with a smaller doc_id goes; windows are judged on the input.
     Kept words are joined by one space where something was removed, and the text stays
@@ -289,8 +290,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     repeats itself, and each keeps its row. An empty table gives an empty one.
     """
     bounded_batches(docs.sparkSession)
-    starts = repeated_windows(docs.select("doc_id", "text")).select(F.col("o").alias("_o"), F.col("fp").alias("_fp"), F.col("starts").alias("_starts"))
-    keyed = docs.withColumns({"_key_o": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key_fp": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    o, fp, places_of, key_o, key_fp, done, n_words, n_removed = (free_name(n, docs) for n in ("_o", "_fp", "_starts", "_key_o", "_key_fp", "_cut", "_n_words", "_n_removed"))
+    starts = repeated_windows(docs.select("doc_id", "text")).select(F.col("o").alias(o), F.col("fp").alias(fp), F.col("starts").alias(places_of))
+    keyed = docs.withColumns({key_o: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key_fp: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
     @F.pandas_udf("text string, n_words long, n_removed long")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -309,9 +311,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
                 out.append((b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode("utf-8", "surrogatepass"), len(words), int(gone.sum())))
             yield pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
-    joined = keyed.join(starts, (F.col("_key_o") == F.col("_o")) & (F.col("_key_fp") == F.col("_fp")), "left")
-    cutting = joined.withColumn("_cut", cut(F.col("text").cast("string"), F.col("_starts")))
-    return cutting.withColumns({"text": F.col("_cut.text"), "_n_words": F.col("_cut.n_words"), "_n_removed": F.col("_cut.n_removed")}).drop("_cut", "_starts", "_o", "_fp", "_key_o", "_key_fp")
+    joined = keyed.join(starts, (F.col(key_o) == F.col(o)) & (F.col(key_fp) == F.col(fp)), "left")
+    cutting = joined.withColumn(done, cut(F.col("text").cast("string"), F.col(places_of)))
+    return cutting.withColumns({"text": F.col(f"{done}.text"), n_words: F.col(f"{done}.n_words"), n_removed: F.col(f"{done}.n_removed")}).drop(done, places_of, o, fp, key_o, key_fp)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import public_tokenizers
 from test_neardup_texts import sets
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from palimpsest.llm import bpe, decontam
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +93,29 @@ def test_run_is_the_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, SF), "t")
     assert once == sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in docs.collect())
+
+
+#: Names that operators use for columns of their own.
+CLASHING = ["_quality", "_gone", "_starts", "_o", "_fp", "_cut", "_key_o", "_key_fp", "_n_words", "_n_removed", "node", "component", "kept", "starts", "chunk", "bucket", "hits", "item_id", "y", "n"]
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls, repeated ids, empty texts and columns by every working name go through all stages."""
+    plain = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    some = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (1, "", None, None, 0), (7, "a b", "en", "s", 3), (7, "a b", "en", "s", 3), (None, "one two three four five six seven", None, None, 1)], some)
+    docs = plain.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).unionByName(odd)
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.materialize(stage(spark, now, SF), "odd")
+        assert now.columns == docs.columns
+        assert now.filter(" OR ".join(f"`{name}` IS NULL OR `{name}` <> 'own {name}'" for name in CLASHING)).isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() == now.count()
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
