@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import encode_documents
-from palimpsest.llm.common import discard, materialize, materialize_alone
+from palimpsest.llm.common import discard, free_name, materialize, materialize_alone
 from palimpsest.llm.decontam import decontaminate
 from palimpsest.llm.neardup_texts import drop_near_duplicates
 from palimpsest.llm.quality import THRESHOLD, score_quality
@@ -33,8 +33,9 @@ SIMILARITY = 80
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter(F.col("_quality") >= THRESHOLD).drop("_quality")
+    score = free_name("_quality", docs)
+    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), into=score)
+    return scored.filter(F.col(score) >= THRESHOLD).drop(score)
 
 
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
