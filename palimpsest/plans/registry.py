@@ -23,3 +23,5 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 from palimpsest.plans import admin, capture, control, coordination, filters, joins, leases, retrieval, search, text, timelines, trees  # noqa: E402, F401
+# built on other queries' oracles
+from palimpsest.plans import durable  # noqa: E402, F401

@@ -64,7 +64,11 @@ episodes AS (
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One curated observation for each event: the user's state becomes the event's type."""
-    e = table(spark, sf_dir, "events")
+    return observations_of(table(spark, sf_dir, "events"))
+
+
+def observations_of(e: DataFrame) -> DataFrame:
+    """The observations of a frame of events, which may be a stream."""
     at = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     return e.select(
         "event_id",

@@ -122,10 +122,10 @@ class Leases(_Machine):
     """
 
     schema, order = LEASE_STATE, ("at", "seq")
-    output = f"job_id string, at long, kind string, outcome string, {LEASE_STATE}"
+    said = f"at long, kind string, outcome string, {LEASE_STATE}"
 
-    def __init__(self, skew: int, lease_ms: int) -> None:
-        self.skew, self.lease_ms = skew, lease_ms
+    def __init__(self, skew: int, lease_ms: int, key: str = "string") -> None:
+        self.skew, self.lease_ms, self.output = skew, lease_ms, f"job_id {key}, {self.said}"
 
     def step(self, now: dict | None, event: Row) -> tuple[dict | None, list[tuple]]:
         after, outcome = lease_step(now, event.kind, event.owner_id, event.at, event.held_version, event.held_fence, self.skew, self.lease_ms)
@@ -211,6 +211,8 @@ def stateful(events: DataFrame, key: str, machine: _Machine, lateness: str | Non
     With ``lateness`` the events' ``time`` (milliseconds) drives watermark and timers.
     ``initial`` has the key and the machine's state for keys that are known already.
     """
+    if lateness is None:
+        machine.rings = False  # without event time there are no timers
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     mode = "None"
     if lateness is not None:
