@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.identity import logical_id
+from palimpsest.sources.shared import written
 
 
 def classify_insert(arriving: DataFrame, stored: DataFrame) -> DataFrame:
@@ -254,11 +255,10 @@ def descend(roots: DataFrame, edges: DataFrame, depth: int, most: int | None = N
     """Every node below the roots, with the best score and the least depth that reach it.
 
     A driver loop over at most ``depth`` levels, which ends at the first empty one. A
-    level is written to the checkpoint folder and holds only nodes that no level before
+    level is written to the shared folder and holds only nodes that no level before
     had, so no chain is followed twice. More than ``most`` nodes fail the descent.
     """
-    session = roots.sparkSession
-    keep = (lambda df: df.checkpoint()) if session.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    keep = lambda df: written(df, "level")
     level = keep(roots.select("id", "score").groupBy("id").agg(F.max("score").alias("score")))
     found = level.withColumn("depth", F.lit(0))
     for n in range(1, depth + 1):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.identity import Xoshiro, canonical_json, sha256_hex
+from palimpsest.sources.shared import written
 
 MAX_CLUSTERS, MAX_ROUNDS, TOLERANCE, FLOOR = 50, 100, 1e-4, 1e-6
 
@@ -154,69 +155,81 @@ def token_partition(items: list[tuple[str, int]], budget: int) -> list[list[str]
     return groups + [now] if now else groups
 
 
-def learned_groups(ids: list[str], x: np.ndarray, components: int, neighbours: int, most: int, threshold: float, seed: str) -> list[list[int]] | None:
-    """Soft groups in two steps: clusters of all, then clusters within each; None where one group is all.
+def _within(budget: int | None, ids: list[str], tokens: list[int]) -> list[list[str]]:
+    """One group of ids, or its parts where it exceeds the token budget."""
+    return [ids] if budget is None or sum(tokens) <= budget else token_partition(list(zip(ids, tokens, strict=True)), budget)
 
-    A cluster of fewer than three, or one whose own mixture fails, stays whole. Rows that no
-    group holds are groups of their own.
+
+def _rough(vectors: DataFrame, group: str, components: int, most: int, threshold: float, budget: int | None, seed: str) -> DataFrame:
+    """First step, a task a part of a group: (grp, part, first, id, vector, tokens, size), a row for each rough cluster of an id.
+
+    ``first`` numbers the clusters of a part. A part needs no clusters, and is one, where it
+    has two members at most, or where no two of its members fit the budget together; in
+    the latter case each member is one.
     """
-    n = len(ids)
-    if n < 3:
-        return None
-    every = soft_clusters(best_mixture(reduce_dimensions(x, components, max(2, min(n - 1, math.ceil(math.sqrt(n)))), seed, "global"), most, f"{seed}:global")["shares"], threshold)
-    found: set[tuple[int, ...]] = set()
-    for members in every:
-        if len(members) < 3:
-            found.add(members)
-            continue
-        rows = np.asarray(members)
-        own = f"{seed}:local:{','.join(ids[i] for i in members)}"
-        shares = best_mixture(reduce_dimensions(x[rows], components, neighbours, own, "local"), most, own)["shares"]
-        found |= {tuple(rows[list(part)].tolist()) for part in soft_clusters(shares, threshold)}
-    if any(len(g) == n for g in found):
-        return None
-    covered = {i for g in found for i in g}
-    groups = [list(g) for g in sorted(found)] + [[i] for i in range(n) if i not in covered]
-    return groups if len(groups) > 1 else None
-
-
-def level_groups(ids: list[str], x: np.ndarray, tokens: list[int], budget: int | None, seed: str, components: int, neighbours: int, most: int, threshold: float) -> list[list[int]]:
-    """Groups of one level, within the token budget: learned, or by the greedy partition where that can't be."""
-    place = {name: i for i, name in enumerate(ids)}
-    packed = lambda members: [[place[m] for m in part] for part in token_partition([(ids[i], tokens[i]) for i in members], budget)]
-    everything = list(range(len(ids)))
-    if budget is not None and len(ids) > 1 and sum(sorted(tokens)[:2]) > budget:
-        return [[i] for i in everything]
-    groups = [everything] if len(ids) == 2 else learned_groups(ids, x, components, neighbours, most, threshold, seed)
-    if groups is None:
-        groups = [everything]
-    if budget is None:
-        return groups
-    return [part for g in groups for part in ([g] if sum(tokens[i] for i in g) <= budget else packed(g))]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id").reset_index(drop=True)
+        n = len(rows)
+        apart = budget is not None and n > 1 and rows["tokens"].nsmallest(2).sum() > budget
+        if apart:
+            clusters = [(i,) for i in range(n)]
+        elif n < 3:
+            clusters = [tuple(range(n))]
+        else:
+            x = np.stack(rows["vector"].to_numpy()).astype(float)
+            near = max(2, min(n - 1, math.ceil(math.sqrt(n))))
+            own = f"{seed}:{key[0]}:{key[1]}"
+            clusters = soft_clusters(best_mixture(reduce_dimensions(x, components, near, own, "global"), most, f"{own}:global")["shares"], threshold)
+        taken = pd.concat([rows.iloc[list(c)].assign(first=k) for k, c in enumerate(clusters)])
+        return taken.assign(grp=key[0], part=key[1], size=n)[["grp", "part", "first", "id", "vector", "tokens", "size"]]
+
+    return vectors.groupBy(group, "part").applyInPandas(run, "grp long, part int, first int, id string, vector array<double>, tokens long, size long")
+
+
+def _fine(rough: DataFrame, components: int, neighbours: int, most: int, threshold: float, seed: str) -> DataFrame:
+    """Second step, a task a rough cluster: (grp, part, size, members) of the soft clusters within it."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        ids = rows["id"].tolist()
+        found: list[tuple[int, ...]] = [tuple(range(len(ids)))]
+        if len(ids) >= 3:
+            x = np.stack(rows["vector"].to_numpy()).astype(float)
+            own = f"{seed}:{key[0]}:{key[1]}:local:{','.join(ids)}"
+            found = soft_clusters(best_mixture(reduce_dimensions(x, components, neighbours, own, "local"), most, own)["shares"], threshold)
+        return pd.DataFrame({"grp": key[0], "part": key[1], "size": int(rows["size"].iloc[0]), "members": [[ids[i] for i in g] for g in found]})
+
+    return rough.groupBy("grp", "part", "first").applyInPandas(run, "grp long, part int, size long, members array<string>")
 
 
 def cluster_groups(vectors: DataFrame, group: str, components: int = 10, neighbours: int = 10, most: int = MAX_CLUSTERS, seed: str = "tree", threshold: float = 0.1, max_group: int = 2048, budget: int | None = None) -> DataFrame:
     """Soft clusters within each group: (grp, cluster, member, tokens).
 
-    Clusters are learned for all of a group and again within each; one over the token
-    budget is split into runs of ids that keep it, and a member alone is a cluster of its
-    own, under its own id. A group larger than ``max_group`` is split by a hash of the id
-    first, so that a task holds a bounded number of vectors and their distances: members
-    of different parts then meet a level higher only.
+    Clusters are learned for all of a group and again within each, the second step dealt
+    anew, so that one group's rough clusters are worked on side by side. Where a fine cluster is
+    all of its group, the group stays whole. A cluster over the token budget is split into
+    runs of ids that keep it, and a member alone is a cluster of its own, under its own
+    id. A group larger than ``max_group`` is split by a hash of the id first, so that a
+    task holds a bounded number of vectors and their distances: members of different parts
+    then meet a level higher only.
     """
     sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / max_group).alias("parts"))
     split = vectors.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        ids, tokens = rows["id"].tolist(), rows["tokens"].astype(int).tolist()
-        found = level_groups(ids, np.stack(rows["vector"].to_numpy()).astype(float), tokens, budget, f"{seed}:{key[0]}:{key[1]}", components, neighbours, most, threshold)
-        groups = sorted({tuple(sorted(ids[i] for i in g)) for g in found})
-        size = dict(zip(ids, tokens, strict=True))
-        out = [(key[0], g[0] if len(g) == 1 else sha256_hex(canonical_json({"leafIds": list(g), "seed": seed})), m, size[m]) for g in groups for m in g]
+    rough = written(_rough(split.withColumn("vector", F.col("vector").cast("array<double>")), group, components, most, threshold, budget, seed), "rough")
+    fine = _fine(rough, components, neighbours, most, threshold, seed).dropDuplicates(["grp", "part", "members"])
+    # a cluster that is all of its part makes the others of no use
+    whole = fine.withColumn("all", F.size("members") == F.col("size")).withColumn("any_all", F.max("all").over(Window.partitionBy("grp", "part"))).filter("all OR NOT any_all")
+    named = whole.select("grp", "part", F.sha2(F.array_join("members", "\x00"), 256).alias("c"), F.explode("members").alias("id"))
+    weighed = named.join(rough.select("grp", "part", "id", "tokens").distinct(), ["grp", "part", "id"])
+
+    def sized(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        size = dict(zip(rows["id"], rows["tokens"].astype(int), strict=True))
+        parts = _within(budget, sorted(size), [size[i] for i in sorted(size)])
+        out = [(key[0], p[0] if len(p) == 1 else sha256_hex(canonical_json({"members": p, "seed": seed})), m, size[m]) for p in parts for m in p]
         return pd.DataFrame(out, columns=["grp", "cluster", "member", "tokens"])
 
-    return split.groupBy(group, "part").applyInPandas(run, "grp long, cluster string, member string, tokens long")
+    return weighed.groupBy("grp", "c").applyInPandas(sized, "grp long, cluster string, member string, tokens long").dropDuplicates(["grp", "cluster", "member"])
 
 
 def build_tree(vectors: DataFrame, budget: int, max_levels: int = 5, seed: str = "tree", **options) -> tuple[DataFrame, DataFrame]:
@@ -227,7 +240,7 @@ def build_tree(vectors: DataFrame, budget: int, max_levels: int = 5, seed: str =
     then skip a level; the tree ends with its last group or at ``max_levels``.
     """
     spark = vectors.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    keep = lambda df: written(df, "tree")
     nodes = vectors.select("id", F.lit(0).alias("level"), "tokens")
     edges = spark.createDataFrame([], "parent string, child string, level int")
     now = vectors.select(F.col("grp"), "id", "vector", "tokens")

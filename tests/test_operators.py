@@ -106,12 +106,20 @@ def test_tree_edges_are_one_level_apart(spark):
     assert {r.leaf for r in closed} == {r[1] for r in rows}
 
 
-def test_quality_floors_of_the_tree():
+def test_quality_floors_of_the_tree(spark):
     """Equal seeds give equal groups; half of the roots nearest to a query hold its nearest leaves."""
     rng = np.random.default_rng(7)
     x = np.vstack([rng.normal(6 * c, 0.3, (4, 5)) for c in range(3)])
     ids = [f"v{i:02}" for i in range(12)]
-    once, twice = (raptor.level_groups(ids, x, [10] * 12, 40, "quality", 10, 10, 2, 0.1) for _ in range(2))
+    frame = spark.createDataFrame([(0, i, v.tolist(), 10) for i, v in zip(ids, x, strict=True)], "grp long, id string, vector array<double>, tokens long")
+
+    def groups():
+        found = {}
+        for r in raptor.cluster_groups(frame, "grp", most=2, seed="quality", budget=40).collect():
+            found.setdefault(r.cluster, []).append(ids.index(r.member))
+        return sorted(map(sorted, found.values()))
+
+    once, twice = groups(), groups()
     assert once == twice and {i for g in once for i in g} == set(range(12))
     means = np.stack([x[g].mean(0) for g in once])
     recalls = []
