@@ -104,6 +104,11 @@ def filter_groups(unit: np.ndarray, n: int, cap: float) -> tuple[np.ndarray, np.
     return row[use], group[use]
 
 
+def level(x: np.ndarray) -> np.ndarray:
+    """Rows of doubles over a power of two each, so that no square over- or underflows; nothing is rounded."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 ROUTE_SCHEMA = "label long, dims int, filter long, k1 long, k2 long, id long, copies long, v binary, passed binary"
 OUT_SCHEMA = "kind int, k1 long, k2 long, a long, b long"
 
@@ -112,12 +117,12 @@ def _keyed(vectors: DataFrame) -> DataFrame:
     wide = F.col("embedding").cast("array<double>")
     good = F.col("label").isNotNull() & wide.isNotNull() & (F.size(wide) > 0)
     finite = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x)
+    some = F.exists(wide, lambda x: x != 0)
     return vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.col("label").cast("long").alias("label"),
         F.col("embedding"),
-        F.coalesce(good & finite & (norm > 0) & (norm < float("inf")), F.lit(False)).alias("valid"),
+        F.coalesce(good & finite & some, F.lit(False)).alias("valid"),
         F.xxhash64(F.lit(1), "label", "embedding").alias("k1"),
         F.xxhash64(F.lit(2), "label", "embedding").alias("k2"),
     )
@@ -147,7 +152,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             dims = batch["embedding"].map(len)
             for d, part in batch.groupby(dims):
                 raw = np.stack(part["embedding"].to_numpy()).astype(kind)
-                wide = raw.astype(np.float64)
+                wide = level(raw.astype(np.float64))
                 unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
                 if d < MIN_DIMENSIONS:
                     row, found = np.arange(len(part)), np.zeros(len(part), np.int64)
@@ -210,7 +215,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _compare_block(block: pd.DataFrame, kind: str, threshold: float) -> pd.DataFrame | None:
     """Links of one block: a count for each vector, and a star of ids for each component."""
-    x = np.frombuffer(b"".join(block["v"]), kind).reshape(len(block), -1).astype(np.float64)
+    x = level(np.frombuffer(b"".join(block["v"]), kind).reshape(len(block), -1).astype(np.float64))
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     near = (x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold
     part, lo, hi = block["part"].to_numpy(), block["lo"].iloc[0], block["hi"].iloc[0]

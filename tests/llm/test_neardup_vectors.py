@@ -73,6 +73,16 @@ def test_odd_vectors(spark):
     assert got(spark, []) == []
 
 
+def test_very_small_and_very_large_vectors(spark):
+    """What has a square beyond the range of doubles is linked like its multiples."""
+    v = [1.0, -2.0, 3.0, 0.5] * 6
+    w = [1.0] * 12 + [-1.0] * 12
+    scaled = lambda x, by: [c * by for c in x]
+    rows = [(1, v, 0), (2, scaled(v, 1e-200), 0), (3, scaled(v, 1e-200), 0), (4, scaled(v, 1e200), 0), (5, scaled(v, 4e307), 0), (6, [5e-324, *[0.0] * 23], 0), (7, [3.0, *[0.0] * 23], 0), (8, scaled(w, 1e250), 0), (9, scaled(w, 1e-300), 0)]
+    out = {r.vec_id: r for r in nv.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert [(out[i].n_links, out[i].component_id) for i in range(1, 10)] == [(4, 1)] * 5 + [(1, 6)] * 2 + [(1, 8)] * 2
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(9)
     n = 3000
