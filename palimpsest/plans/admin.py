@@ -120,7 +120,7 @@ _JUDGED = ", ".join(f"{t} AS (SELECT {', '.join(f'{sql} AS {c}' for c, sql in co
 
 @query("f18_validity", f"WITH {_JUDGED} " + " UNION ALL ".join(f"SELECT '{t}' AS record_type, reason, count(*) AS n FROM (SELECT CASE {rules} ELSE 'valid' END AS reason FROM {t}) GROUP BY reason" for t, rules in _RULES.items()))
 def f18_validity(spark, sf_dir):
-    """records of four types by the first rule of their closed schema that they break."""
+    """records of the other four types by the first rule of their closed schema that they break."""
     k = {"episode": ("conversations", F.expr("conv_id * 100 + turn")), "curated_memory": ("events", F.col("event_id")), "lease": ("orders", F.col("o_orderkey")), "tombstone": ("customer", F.col("c_custkey"))}
     out = None
     for t, (source, columns) in _RULED.items():
@@ -136,6 +136,57 @@ def f18_validity(spark, sf_dir):
     return out
 
 
+#: The hash of the members a and b.
+_AB = "0473ef2dc0d324ab659d3580c1134e9d812035905c4781fdd6d529b0c6860e13"
+_LIST = "split(CASE WHEN k % 23 = 5 THEN 'b,a' WHEN k % 19 = 6 THEN 'a,a' WHEN k % 17 = 7 THEN 'a,token' ELSE 'a,b' END, ',')"
+_EPOCHS = {"coordination_policy_hash": "CASE WHEN k % 37 = 3 THEN '' ELSE 'ch' END", "coordination_policy_epoch": "CASE WHEN k % 29 = 2 THEN -1 ELSE k % 3 END"}
+_MADE = {"id": "'r-' || k", **_ENVELOPE, **_EPOCHS}
+_REVISION = {"extractor_revision": "CASE WHEN k % 13 = 4 THEN 'bearer' ELSE 'x1' END"}
+_COORDINATED = {
+    "job": ("orders", "o_orderkey", _MADE | {"policy_id": "CASE WHEN k % 11 = 1 THEN 'pol2' ELSE 'pol1' END", "policy_hash": "CASE WHEN k % 31 = 4 THEN 'other' ELSE 'ch' END", "policy_epoch": "CASE WHEN k % 7 = 6 THEN 9 ELSE k % 3 END", "membership": _LIST, **_REVISION}),
+    "proposal": ("part", "p_partkey", _MADE | {"job_id": "'j' || k", "owner_id": "CASE WHEN k % 11 = 1 THEN '' ELSE 'node1' END", "proposal_hash": "repeat('0', CASE WHEN k % 9 = 2 THEN 63 ELSE 64 END)", "manifest_hash": f"CASE WHEN k % 8 = 3 THEN 'm' ELSE '{_AB}' END", "fencing_token": "k % 5 - CASE WHEN k % 35 = 0 THEN 1 ELSE 0 END", "membership": _LIST}),
+    "coverage": ("events", "event_id", _MADE | {"episode_id": "CASE WHEN k % 12 = 5 THEN NULL ELSE 'e' || k END", **_REVISION}),
+    "evidence_link": ("lineitem", "l_orderkey * 8 + l_linenumber", _MADE | {"source_id": "CASE WHEN k % 10 = 1 THEN 'password' ELSE 's' END", "target_id": "CASE WHEN k % 14 = 3 THEN '' ELSE 't' END", "job_id": "CASE WHEN k % 15 = 4 THEN NULL ELSE 'j' END", **_REVISION}),
+    "conflict_manifest": ("customer", "c_custkey", _MADE | {"state_key": "CASE WHEN k % 10 = 1 THEN repeat('s', 513) ELSE 'token' END", "members": "split(CASE WHEN k % 23 = 5 THEN 'b,a' WHEN k % 9 = 6 THEN 'a' ELSE 'a,b' END, ',')"}),
+    "collection_control": ("nation", "n_nationkey", _MADE | {"version": "k % 5", "active_generation": "CASE WHEN k % 6 = 1 THEN '' WHEN k % 2 = 0 THEN 'g' END", "active_base_generation": "'g0'", "state": "CASE WHEN k % 7 = 2 THEN 'gone' ELSE 'active' END", "scan_cursor": "CASE WHEN k % 8 = 4 THEN '' END", "last_forget_barrier": "CASE WHEN k % 9 = 8 THEN -1 END", "revoked_destination_ids": "split(CASE WHEN k % 4 = 1 THEN 'd,d' WHEN k % 4 = 2 THEN 'a b' ELSE 'd1,d2' END, ',')"}),
+    "processing_policy": ("supplier", "s_suppkey", {**_ENVELOPE, "id": "'pol1'", "policy_id": "'pol1'", "policy_owner_host": "CASE WHEN k % 6 = 1 THEN 'beta' ELSE 'alpha' END", "policy_expires_at": "CASE WHEN k % 8 <> 2 AND k % 2 = 0 THEN 1704067200000 END", "canonical_hash": "CASE WHEN k % 5 = 3 THEN 'z' ELSE 'pol1' END"}),
+    "curated_current": ("events", "event_id", _MADE | {"version": "k % 7", "state_key": "'k'", "project_id": "CASE WHEN k % 12 = 1 THEN '' END", "scope": "'project'", "resolution": "CASE k % 5 WHEN 0 THEN 'conflict' WHEN 1 THEN 'maybe' ELSE 'resolved' END", "content_id": "CASE WHEN k % 5 <> 0 THEN 'c' END", "observation_id": "CASE WHEN k % 5 <> 0 THEN 'o' END", "text": "CASE WHEN k % 5 <> 0 AND k % 9 <> 1 THEN 't' END", "conflict_manifest_hash": "CASE WHEN k % 5 = 0 AND k % 4 <> 3 OR k % 11 = 5 THEN 'm' END", "source_episode_ids": f"CASE WHEN k % 2 = 0 THEN {_LIST} END"}),
+    "raptor_summary": ("documents", "doc_id", _MADE | {"generation_id": "'g'", "cluster_id": "'c' || k", "membership_hash": f"CASE WHEN k % 8 = 3 THEN 'm' ELSE '{_AB}' END", "level": "k % 4", "member_ids": "CASE WHEN k % 3 = 0 THEN split('a,b', ',') END", "manifest_hash": "CASE WHEN k % 7 = 1 THEN NULL ELSE 'm' END", "summary": "text", "model_id": "'m'", "embedding_dimension": "CASE WHEN k % 10 = 4 THEN 3 ELSE 1024 END", "prompt_revision": "'p'", "algorithm": "'a'", "seed": "CASE WHEN k % 12 = 5 THEN 4294967296 ELSE k END", "job_id": "'j'", "fencing_token": "1", "temporal_from": f"{BASE_MS} + k % 6", "temporal_to": f"{BASE_MS} + 3", "covered_projects": "split(CASE WHEN k % 16 = 9 THEN 'p,' ELSE 'p' END, ',')", "algorithm_parameters": "lang"}),
+}
+_KEYED = "coordination_policy_hash = '' THEN 'coordination hash' WHEN coordination_policy_epoch < 0 THEN 'coordination epoch'"
+_BROKEN_LIST = "{0} IS NOT NULL AND (list_sort(list_distinct({0})) <> {0} OR list_contains({0}, 'token'))"
+_OWN = {
+    "job": f"WHEN {_KEYED} WHEN policy_id <> processing_policy_id THEN 'job policy' WHEN policy_hash <> coordination_policy_hash THEN 'policy hash' WHEN policy_epoch <> coordination_policy_epoch THEN 'policy epoch' WHEN {_BROKEN_LIST.format('membership')} THEN 'membership' WHEN extractor_revision = 'bearer' THEN 'extractor'",
+    "proposal": f"WHEN {_KEYED} WHEN owner_id = '' THEN 'holder' WHEN length(proposal_hash) <> 64 THEN 'proposal hash' WHEN fencing_token < 0 THEN 'fence' WHEN {_BROKEN_LIST.format('membership')} THEN 'membership' WHEN manifest_hash <> sha256('[\"' || array_to_string(membership, '\",\"') || '\"]') THEN 'manifest'",
+    "coverage": f"WHEN {_KEYED} WHEN episode_id IS NULL THEN 'episode' WHEN extractor_revision = 'bearer' THEN 'extractor'",
+    "evidence_link": f"WHEN {_KEYED} WHEN source_id = 'password' THEN 'source' WHEN target_id = '' THEN 'target' WHEN job_id IS NULL THEN 'job' WHEN extractor_revision = 'bearer' THEN 'extractor'",
+    "conflict_manifest": f"WHEN {_KEYED} WHEN length(state_key) > 512 THEN 'state key' WHEN len(members) < 2 OR {_BROKEN_LIST.format('members')} THEN 'members'",
+    "collection_control": f"WHEN {_KEYED} WHEN version < 1 THEN 'version' WHEN active_generation = '' THEN 'generation' WHEN state NOT IN ('active', 'draining', 'retired') THEN 'state' WHEN scan_cursor = '' THEN 'cursor' WHEN last_forget_barrier < 0 THEN 'barrier' WHEN len(list_distinct(revoked_destination_ids)) < len(revoked_destination_ids) OR list_contains(revoked_destination_ids, 'a b') THEN 'destinations'",
+    "processing_policy": "WHEN policy_owner_host <> owner_host THEN 'policy owner' WHEN policy_expires_at IS DISTINCT FROM expires_at OR policy_id <> processing_policy_id THEN 'policy envelope' WHEN canonical_hash <> id THEN 'policy hash'",
+    "curated_current": f"WHEN {_KEYED} WHEN version < 1 THEN 'version' WHEN project_id = '' THEN 'project' WHEN resolution = 'maybe' THEN 'resolution' WHEN resolution = 'resolved' AND (text IS NULL OR conflict_manifest_hash IS NOT NULL) THEN 'resolved' WHEN resolution = 'conflict' AND conflict_manifest_hash IS NULL THEN 'conflict' WHEN {_BROKEN_LIST.format('source_episode_ids')} THEN 'sources'",
+    "raptor_summary": f"WHEN {_KEYED} WHEN member_ids IS NULL AND manifest_hash IS NULL THEN 'closure' WHEN member_ids IS NOT NULL AND membership_hash = 'm' THEN 'membership hash' WHEN text IS NULL OR text = '' OR length(text) > 16000 THEN 'summary' WHEN embedding_dimension <> 1024 THEN 'dimension' WHEN seed > 4294967295 THEN 'seed' WHEN temporal_from > temporal_to THEN 'range' WHEN list_contains(covered_projects, '') THEN 'projects'",
+}
+
+
+def _coordinated_sql() -> str:
+    parts = []
+    for t, (source, key, columns) in _COORDINATED.items():
+        rows = f"(SELECT {', '.join(f'{sql} AS {c}' for c, sql in columns.items())}{', text' if t == 'raptor_summary' else ''} FROM (SELECT *, {key} AS k FROM {source}))"
+        parts.append(f"SELECT '{t}' AS record_type, reason, count(*) AS n FROM (SELECT CASE {_COMMON.format('expires_at IS NOT NULL')} {_OWN[t]} ELSE 'valid' END AS reason FROM {rows}) GROUP BY reason")
+    return " UNION ALL ".join(parts)
+
+
+@query("f18_coordination_validity", _coordinated_sql())
+def f18_coordination_validity(spark, sf_dir):
+    """records of the nine types of coordination, current values and summaries by the first rule that they break."""
+    out = None
+    for t, (source, key, columns) in _COORDINATED.items():
+        rows = table(spark, sf_dir, source).withColumn("k", F.expr(key))
+        counted = va.validate(rows.select(*[F.expr(sql).alias(c) for c, sql in columns.items()]), t).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("record_type"), "reason", "n")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 _ITEM = {
     "result_id": "user_id % 40", "item": "event_id", "category": "CASE event_type WHEN 'error' THEN 'failure' WHEN 'click' THEN 'preference' WHEN 'view' THEN 'correction' WHEN 'purchase' THEN 'fact' ELSE 'gossip' END",
     "scope": "CASE WHEN event_id % 53 = 1 THEN 'galaxy' ELSE 'project' END", "subject": "CASE WHEN event_id % 59 = 2 THEN '' WHEN event_id % 61 = 3 THEN 'the API key' ELSE 'user' || user_id END", "predicate": "CASE WHEN event_id % 67 = 4 THEN repeat('x', 513) ELSE 'does' END",
