@@ -1,8 +1,9 @@
-"""Memory search as one lazy plan: gates, lanes, descent, fusion and barriers, for many requests at once.
+"""Memory search for many requests at once: gates, lanes, descent, fusion and barriers.
 
 A request is a row, so one scan of the records serves all requests of a batch, and every
 rule that empties an answer empties that request's alone. Ranks, fusion and barriers hold
-at most a few hundred rows for each request; nothing is collected.
+at most a few hundred rows for each request. The lanes' rows are written to the shared
+folder, all after them is one lazy plan, and nothing is collected.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import normalize_nfkc
 from palimpsest.operators import retrieval as op
+from palimpsest.sources.shared import written
 
 MODES = {
     "all": ["current", "historical", "episodes", "curated", "raptor"],
@@ -147,21 +149,42 @@ def _policies(policies: DataFrame) -> DataFrame:
     return policies.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*names)).alias("p")).filter("n = 1").select("policy_id", "p")
 
 
-def _lanes_of(config: SearchConfig) -> Column:
-    """The lanes of a record for a request, as an array of structs."""
-    kind, mode = F.col("record_type"), F.col("q_mode")
+def _probes(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What requests ask of the records, each once, and (probe, p_lane, q, c): the requests' shares in it.
+
+    Modes, projects and identities of a batch ask much alike. A probe has a reach and key,
+    a window, a vector for its dense lanes or terms and types for its exact one.
+    """
+    keys = [F.struct(F.lit(reach).alias("reach"), F.col("q.project_id").alias("key")) for reach in ("project", "covers")]
+    all_records = F.when(F.col("q.everywhere"), F.struct(F.lit("global").alias("reach"), F.lit("").alias("key")))
+    lanes = F.create_map(*[x for m, found in MODES.items() for x in (F.lit(m), F.array(*map(F.lit, found)))])
+    types = F.create_map(*[x for m, found in EXACT_TYPES.items() for x in (F.lit(m), F.array(*map(F.lit, found)))])
+    nothing = F.lit(None).cast("array<string>")
+    # without a vector there is no dense lane, without terms or types no exact one
+    dense = F.when(F.col("q.vector").isNotNull(), F.transform(F.element_at(lanes, F.col("q.mode")), lambda lane: F.struct(lane.alias("p_lane"), nothing.alias("p_types"))))
+    exact = F.when(F.col("reach").isin("project", "global") & (F.size("q.terms") > 0) & F.element_at(types, F.col("q.mode")).isNotNull(), F.array(F.struct(F.lit("exact").alias("p_lane"), F.element_at(types, F.col("q.mode")).alias("p_types"))))
+    none = F.array().cast("array<struct<p_lane:string,p_types:array<string>>>")
+    each = asked.select("q", "c", F.inline(F.array_compact(F.array(*keys, all_records)))).select("*", F.inline(F.concat(F.coalesce(dense, none), F.coalesce(exact, none))))
+    is_exact = F.col("p_lane") == "exact"
+    parts = {"p_after": F.col("q.after"), "p_before": F.col("q.before"), "p_terms": F.when(is_exact, F.col("q.terms")), "p_vector": F.when(~is_exact, F.col("q.vector"))}
+    named = ["reach", "key", "p_types", *parts]
+    told = each.withColumns(parts).withColumn("probe", F.sha2(F.to_json(F.struct(*named)), 256))
+    probes = told.groupBy("probe").agg(*(F.first(n).alias(n) for n in (*named, "c")), F.collect_set("p_lane").alias("p_lanes"))
+    return probes, told.select("probe", "p_lane", F.struct(*[F.col(f"q.{n}").alias(n) for n in ANSWERED]).alias("q"), "c")
+
+
+def _lanes_of() -> Column:
+    """The lanes of a record for a probe, as an array of structs."""
+    kind = F.col("record_type")
 
     def in_window(time: str) -> Column:
-        return (F.col("q_after").isNull() | (F.col(time) >= F.col("q_after"))) & (F.col("q_before").isNull() | (F.col(time) <= F.col("q_before")))
+        return (F.col("p_after").isNull() | (F.col(time) >= F.col("p_after"))) & (F.col("p_before").isNull() | (F.col(time) <= F.col("p_before")))
 
     policy = F.col("policy_epoch") == F.col("c.policy_epoch")
     scoped = ((F.col("reach") == "project") & (F.col("scope") == "project")) | ((F.col("reach") == "global") & (F.col("scope") == "global"))
-    wide = F.exists(F.col("q_terms"), lambda t: F.coalesce(F.col("folded").contains(t), F.lit(False)) | F.coalesce(F.col("tool_name") == t, F.lit(False)) | F.coalesce(F.col("error_fingerprint") == t, F.lit(False)))
-    typed = F.lit(False)
-    for m, types in EXACT_TYPES.items():
-        typed |= (mode == m) & kind.isin(types)
+    wide = F.exists(F.col("p_terms"), lambda t: F.coalesce(F.col("folded").contains(t), F.lit(False)) | F.coalesce(F.col("tool_name") == t, F.lit(False)) | F.coalesce(F.col("error_fingerprint") == t, F.lit(False)))
     conditions = {
-        "exact": typed & F.col("reach").isin("project", "global") & in_window("created_at") & wide,
+        "exact": F.array_contains("p_types", kind) & F.col("reach").isin("project", "global") & in_window("created_at") & wide,
         "current": (kind == "curated_current") & policy & scoped & in_window("created_at"),
         "historical": (kind == "curated_memory") & policy & scoped & in_window("happened_at"),
         "episodes": (kind == "episode") & (F.col("reach") == "project") & in_window("happened_at"),
@@ -170,19 +193,24 @@ def _lanes_of(config: SearchConfig) -> Column:
     }
     entries = []
     for place, (lane, keep) in enumerate(conditions.items()):
+        asked = F.array_contains("p_lanes", F.lit(lane)) & keep
         if lane != "exact":
-            keep &= mode.isin([m for m, lanes in MODES.items() if lane in lanes]) & F.col("dense").isNotNull()
+            asked &= F.col("dense").isNotNull()
         score = F.lit(1.0) if lane == "exact" else F.col("dense")
-        entries.append(F.when(F.coalesce(keep, F.lit(False)), F.struct(F.lit(lane).alias("lane"), F.lit(place).alias("place"), score.alias("score"))))
+        entries.append(F.when(F.coalesce(asked, F.lit(False)), F.struct(F.lit(lane).alias("lane"), F.lit(place).alias("place"), score.alias("score"))))
     return F.array_compact(F.array(*entries))
 
 
 def lane_hits(records: DataFrame, asked: DataFrame, config: SearchConfig) -> DataFrame:
     """What each lane of each request returns, before anything is judged: q, c, lane, place, score and the record.
 
-    Records meet requests on their scope: a project, all projects, or a project that a
-    summary covers. Ranks are cut in each task before rows are dealt by request.
+    Records meet probes on their scope: a project, all projects, or a project that a
+    summary covers; requests that ask the same share a probe. Ranks are cut in each task
+    before rows are dealt by probe and lane, for which Spark's threshold of such cuts is
+    raised to the scan of an exact lane.
     """
+    cut = "spark.sql.optimizer.windowGroupLimitThreshold"
+    records.sparkSession.conf.set(cut, str(max(int(records.sparkSession.conf.get(cut)), EXACT_SCAN, config.per_lane)))
     guarded = records.filter((F.col("owner_host") == config.owner) & (F.col("status") == "active") & (F.col("secret_scan") == "passed") & op.not_expired(config.now, config.skew))
     reaches = F.array_compact(
         F.array(
@@ -194,19 +222,18 @@ def lane_hits(records: DataFrame, asked: DataFrame, config: SearchConfig) -> Dat
     # folded once a record, below the join: a lambda cannot call Python
     folded = guarded.withColumns({"folded": F.lower(normalize_nfkc(F.col("text"))), "folded_whole": F.lower(normalize_nfkc(op.exact_text()))})
     spread = folded.select("*", F.inline(F.concat(reaches, covers)))
-    own = F.array(F.struct(F.lit("project").alias("reach"), F.col("q.project_id").alias("key")), F.struct(F.lit("covers").alias("reach"), F.col("q.project_id").alias("key")))
-    both = F.when(F.col("q.everywhere"), F.concat(own, F.array(F.struct(F.lit("global").alias("reach"), F.lit("").alias("key"))))).otherwise(own)
-    met = spread.join(asked.select(*[F.col(f"q.{n}").alias(f"q_{n}") for n in (*ANSWERED, "after", "before", "vector", "terms")], "c", F.inline(both)), ["reach", "key"]).filter(F.col("privacy_epoch") == F.col("c.privacy_epoch"))
-    product = F.aggregate(F.zip_with(F.col("vector").cast("array<double>"), F.col("q_vector"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    probes, shares = _probes(asked)
+    met = spread.join(F.broadcast(probes), ["reach", "key"]).filter(F.col("privacy_epoch") == F.col("c.privacy_epoch"))
+    product = F.aggregate(F.zip_with(F.col("vector").cast("array<double>"), F.col("p_vector"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = met.withColumn("dense", F.round(product, 6)).withColumn("dense", F.when(~F.isnan("dense") & (F.abs("dense") < float("inf")), F.col("dense")))
-    listed = scored.select("*", F.inline(_lanes_of(config))).drop("vector", "dense", "folded")
-    order = Window.partitionBy("q_request_id", "lane", "reach").orderBy(F.desc("score"), "id")
-    first = listed.withColumn("seen", F.row_number().over(order)).filter(F.col("seen") <= max(EXACT_SCAN, config.per_lane))
-    holds = (F.size("q_terms") > 0) & F.forall(F.col("q_terms"), lambda t: F.col("folded_whole").contains(t))
-    exact = first.filter("lane = 'exact'").filter(F.coalesce(holds, F.lit(False))).withColumn("seen", F.row_number().over(order))
-    both = first.filter("lane <> 'exact'").unionByName(exact).filter((F.col("seen") <= config.per_lane) & ((F.col("lane") == "exact") | (F.col("score") >= config.least_score)))
-    dropped = [c for c in both.columns if c.startswith("q_")]
-    return both.withColumn("q", F.struct(*[F.col(f"q_{n}").alias(n) for n in ANSWERED])).drop("seen", "folded_whole", *dropped)
+    holds = F.coalesce(F.forall(F.col("p_terms"), lambda t: F.col("folded_whole").contains(t)), F.lit(False))
+    listed = scored.select("*", F.inline(_lanes_of())).withColumn("holds", holds).drop("vector", "dense", "folded", "folded_whole", "p_vector", "p_terms", "p_types", "p_lanes", "p_after", "p_before", "c")
+    order = Window.partitionBy("probe", "lane").orderBy(F.desc("score"), "id")
+    # a score below the least ranks behind all that are not, so it can go before ranks are given
+    may = listed.filter((F.col("lane") == "exact") | (F.col("score") >= config.least_score))
+    first = may.withColumn("seen", F.row_number().over(order)).filter(F.col("seen") <= max(EXACT_SCAN, config.per_lane))
+    both = first.filter((F.col("lane") != "exact") | F.col("holds")).withColumn("seen", F.row_number().over(order)).filter(F.col("seen") <= config.per_lane).drop("seen", "holds")
+    return both.join(F.broadcast(shares.withColumnRenamed("p_lane", "lane")), ["probe", "lane"]).drop("probe")
 
 
 def descend(seeds: DataFrame, records: DataFrame, config: SearchConfig) -> DataFrame:
@@ -363,7 +390,9 @@ def search(store: Store, requests: DataFrame, config: SearchConfig) -> DataFrame
     """
     asked = gated(requests, store.control, config)
     raptor = F.col("lane") == "raptor"
-    hits = _embeddable(_candidates(lane_hits(store.records, asked, config), raptor), store.policies, config).drop("reach", "key")
+    # read by several branches below: written once, it holds at most two times a lane's few rows for each lane
+    found = written(lane_hits(store.records, asked, config), "lane-hits")
+    hits = _embeddable(_candidates(found, raptor), store.policies, config).drop("reach", "key")
     whole = (F.col("policy_hash") == F.col("c.policy_hash")) & (F.col("covered_projects") == F.array("q.project_id")) & F.size("member_ids").between(1, MAX_LEVEL)
     seeds = hits.filter(raptor).filter(F.coalesce(whole, F.lit(False)))
     below = descend(seeds, store.records, config).withColumns({"lane": F.lit("raptor"), "place": F.lit(LANES.index("raptor")), "dense_used": F.lit(True)})

@@ -51,6 +51,19 @@ def test_sql_table_functions(spark, written):
     assert spark.sql("SELECT * FROM memory_search('another')").count() == 0
 
 
+def test_lanes_are_cut_in_each_task_and_asked_once(spark, written):
+    store, _ = written
+    asked = op.gated(plan.requests(spark, SF).filter("request_id LIKE '%-p0-%'"), plan.control(spark), plan.CONFIG)
+    assert asked.count() == 12
+    # three reaches with one vector, and an exact lane of three modes for two of them
+    assert op._probes(asked)[0].count() == 3 + 2 * 3
+    lanes = op.lane_hits(store.records, asked, plan.CONFIG)
+    assert "WindowGroupLimit" in lanes._jdf.queryExecution().optimizedPlan().toString()
+    # registered and local identities have the same rows within the project
+    by_kind = {kind: {(r.lane, r.id) for r in lanes.filter(f"q.request_id = 'all-p0-{kind}' AND reach = 'project'").collect()} for kind in ("reg", "loc")}
+    assert by_kind["reg"] and by_kind["reg"] == by_kind["loc"]
+
+
 #: Records below a summary, and whether a descent to them stands.
 DESCENTS = {
     "two levels": ([("s1", "raptor_summary", ["s2", "e1"]), ("s2", "raptor_summary", ["e1", "e2"]), ("e1", "episode", None), ("e2", "episode", None)], {"e1", "e2"}),
