@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize
 
-#: Labelled rows that a classifier is fitted on at most; more are thinned by a hash of the id.
-MAX_TRAIN_ROWS = 200_000
-
 
 def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the text ''."""
@@ -18,13 +18,13 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     return (F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int = MAX_TRAIN_ROWS, distinct_texts: bool = False) -> DataFrame:
-    """(doc_id, text, y) of labelled documents outside the held-out remainder.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int | None = None, distinct_texts: bool = False) -> DataFrame:
+    """(doc_id, text, y) of all labelled documents outside the held-out remainder.
 
-    A document with several labels has their mean. At most about ``max_rows`` rows are
-    used, chosen by a hash of the id, so the labels that are broadcast have a fixed
-    bound; texts are not shuffled. ``distinct_texts`` keeps the smallest id of each
-    text, so that copies do not count as independent evidence.
+    A document with several labels has their mean. Labels are broadcast where Spark finds
+    them small; else both sides are dealt by id, texts of the held-out remainder left out.
+    ``distinct_texts`` keeps the smallest id of each text, so that copies do not count
+    as independent evidence. Only a caller that gives ``max_rows`` gets about so many, chosen by a hash of the id.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
@@ -33,16 +33,43 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
         .groupBy("doc_id")
         .agg(F.avg("y").alias("y"))
     )
-    n = known.count()
-    if n > max_rows:
-        share = int(2**32 * max_rows / n)
-        known = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < share)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if max_rows is not None and (n := known.count()) > max_rows:
+        known = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < int(2**32 * max_rows / n))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(id_remainder("doc_id", modulus) != held_out)
     if distinct_texts:
-        hashed = rows.select("doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(known), "doc_id")
-        known = materialize(hashed.groupBy("h", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "y").groupBy("doc_id").agg(F.avg("y").alias("y")), "known")
-    # bounded by max_rows rows of 16 bytes
-    return rows.join(F.broadcast(known), "doc_id")
+        hashed = rows.select("doc_id", F.xxhash64("text").alias("h")).join(known, "doc_id")
+        known = hashed.groupBy("h", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "y").groupBy("doc_id").agg(F.avg("y").alias("y"))
+    # written, so that Spark knows its size
+    return rows.join(materialize(known, "known"), "doc_id")
+
+
+Block = tuple[float, float, float, int]
+
+
+def pooled(blocks: Iterable[Block]) -> list[Block]:
+    """Pool adjacent violators: blocks (left, right, sum, rows), ascending, until their means rise.
+
+    Pooling runs of blocks first and what is left of them later gives the same.
+    """
+    out: list[Block] = []
+    for left, right, total, n in blocks:
+        while out and out[-1][2] * n >= total * out[-1][3]:
+            left, _, add, size = out.pop()
+            total, n = total + add, n + size
+        out.append((left, right, total, n))
+    return out
+
+
+def isotonic_of(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``isotonic`` of all rows (s, y): pooled within ranges of the score by tasks, then over the blocks that are left."""
+
+    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((s, s, y, n) for batch in batches for s, y, n in batch[["s", "y", "n"]].itertuples(index=False))
+        yield pd.DataFrame(pooled(rows), columns=["lo", "hi", "y", "n"])
+
+    each = pairs.groupBy("s").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    blocks = each.repartitionByRange("s").sortWithinPartitions("s").mapInPandas(pool, "lo double, hi double, y double, n long").collect()
+    return _knots(pooled(sorted((r.lo, r.hi, r.y, r.n) for r in blocks)))
 
 
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,25 +79,19 @@ def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     is exactly 0 or 1. Without rows the fit is 0.5 everywhere.
     """
     if len(scores) == 0:
-        return np.asarray([0.0]), np.asarray([0.5])
+        return _knots([])
     order = np.argsort(scores, kind="stable")
-    s, t = scores[order], y[order]
-    s, first, n = np.unique(s, return_index=True, return_counts=True)
-    total = np.add.reduceat(t, first)
-    sums, counts, left, right = [], [], [], []
-    for value, add, size in zip(s, total, n, strict=True):
-        sums.append(float(add))
-        counts.append(int(size))
-        left.append(value)
-        right.append(value)
-        while len(sums) > 1 and sums[-2] * counts[-1] >= sums[-1] * counts[-2]:
-            add, size, end, _ = sums.pop(), counts.pop(), right.pop(), left.pop()
-            sums[-1] += add
-            counts[-1] += size
-            right[-1] = end
-    rate = float(np.mean(y))
-    fitted = (np.asarray(sums) + rate) / (np.asarray(counts) + 1.0)
-    fitted = np.maximum.accumulate(fitted)
+    s, first, n = np.unique(scores[order], return_index=True, return_counts=True)
+    total = np.add.reduceat(y[order], first)
+    return _knots(pooled(zip(s.tolist(), s.tolist(), total.tolist(), n.tolist(), strict=True)))
+
+
+def _knots(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    if not blocks:
+        return np.asarray([0.0]), np.asarray([0.5])
+    left, right, sums, counts = (np.asarray(part, dtype=float) for part in zip(*blocks, strict=True))
+    rate = float(sums.sum() / counts.sum())
+    fitted = np.maximum.accumulate((sums + rate) / (counts + 1.0))
     knots, values = [], []
     for a, b, v in zip(left, right, fitted, strict=True):
         knots += [a] if a == b else [a, b]

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bounded_slices, materialize
-from palimpsest.llm.labelled import MAX_TRAIN_ROWS, calibrated, id_remainder, isotonic, training_rows
+from palimpsest.llm.labelled import calibrated, id_remainder, isotonic, isotonic_of, training_rows
 from palimpsest.llm.wordhash import as_bytes, hash_words
 
 N_COSINES, RIDGE, FOLDS, SEED = 256, 1e-3, 5, 20240229
 #: Widths of the kernel, in standard deviations of a statistic times the root of their number.
 WIDTHS = (0.35, 1.0)
-#: Partitions that the bounded training rows are summed in.
+#: Partitions that the training rows are summed in; each sends the driver its sums, of a fixed size.
 TRAIN_PARTITIONS = 8
 THRESHOLD = 0.3
 MODULUS, HELD_OUT = 5, 0
@@ -104,7 +104,7 @@ class QualityModel:
         return calibrated(self.map(statistics(texts)) @ self.weights, self.knots, self.values)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int | None = None) -> QualityModel:
     """Fit on labelled documents outside the held-out remainder; without any, every score is 0.5."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Q
             yield pd.DataFrame({"fold": [fold], "gram": [gram[fold].tobytes()], "cross": [cross[fold].tobytes()]})
 
     grams, crosses = np.zeros((FOLDS, size, size)), np.zeros((FOLDS, size))
-    for row in table.mapInPandas(equations, "fold int, gram binary, cross binary").toLocalIterator():
+    for row in table.mapInPandas(equations, "fold int, gram binary, cross binary").collect():
         grams[row.fold] += np.frombuffer(row.gram).reshape(size, size)
         crosses[row.fold] += np.frombuffer(row.cross)
 
@@ -162,12 +162,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Q
                 z = model.map(np.stack(batch["x"]))
                 yield pd.DataFrame({"s": np.einsum("ij,ij->i", z, by_fold[batch["fold"].to_numpy()]), "y": batch["y"]})
 
-    pairs = table.mapInPandas(outside, "s double, y double").toPandas()  # at most max_rows pairs
-    model.knots, model.values = isotonic(pairs["s"].to_numpy(), pairs["y"].to_numpy())
+    model.knots, model.values = isotonic_of(table.mapInPandas(outside, "s double, y double"))
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, into: str = "_quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int | None = None, into: str = "_quality") -> DataFrame:
     """All columns of ``docs`` and ``into``, the calibrated score of the whole text, which replaces a column of that name.
 
     Scores depend on the text alone; a null text counts as empty and is scored too.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bounded_batches, discard, free_name, materialize
-from palimpsest.llm.labelled import MAX_TRAIN_ROWS, calibrated, id_remainder, isotonic, training_rows
+from palimpsest.llm.labelled import calibrated, id_remainder, isotonic, isotonic_of, training_rows
 
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: Least documents of a word, and least odds ratio between toxic and other documents.
@@ -227,7 +227,7 @@ class Decoder:
 class ToxicityModel:
     """Weights of marking words, the character model and the calibration.
 
-    A marking word is in MIN_DOCS of at most MAX_TRAIN_ROWS training rows, so the rows bound the lexicon.
+    The lexicon is what passes the tests of ``_weight``, whose bar rises with the words that were counted.
     """
 
     weights: dict[str, float]
@@ -345,11 +345,10 @@ def _weight(toxic: Column, other: Column, n_toxic: float, n_other: float, n_word
     return F.when((toxic >= MIN_DOCS) & (odds >= MIN_ODDS) & (ratio >= 2 * math.log(n_words)), weight)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
-    """Learn lexicon, character model and calibration from rows outside the held-out remainder.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int | None = None) -> ToxicityModel:
+    """Learn lexicon, character model and calibration from all labelled rows outside the held-out remainder.
 
-    At most about ``max_rows`` labelled rows are used (see ``labelled``). The calibration
-    scores each of them by a lexicon that its own fold has no part in.
+    The calibration scores each of them by a lexicon that its own fold has no part in.
     """
     bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, "toxic", MODULUS, HELD_OUT, max_rows, distinct_texts=True)
@@ -380,7 +379,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> T
     variants = [None, *range(FOLDS)]
     total = sum((F.col(f"toxic{k}") for k in range(1, FOLDS)), F.col("toxic0"))
     weighed = table.filter((F.length("word") > 2) & (total >= MIN_DOCS)).select("word", total.alias("toxic"), *(weight(v).alias(f"w{i}") for i, v in enumerate(variants)))
-    # the training rows bound how many words are in MIN_DOCS of them
     marking = weighed.filter(F.coalesce(*(f"w{i}" for i in range(len(variants)))).isNotNull()).orderBy("word").collect()
     lexicons = [{r.word: float(r[f"w{i}"]) for r in marking if r[f"w{i}"] is not None} for i in range(len(variants))]
 
@@ -411,11 +409,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> T
         for batch in batches:
             yield pd.DataFrame({"s": [scorers[k].raw(t) for t, k in zip(batch["text"], batch["fold"], strict=True)], "y": batch["y"]})
 
-    pairs = rows.mapInPandas(raw, "s double, y double").toPandas()  # at most max_rows pairs
-    return ToxicityModel(lexicons[0], chars, *isotonic(pairs["s"].to_numpy(), pairs["y"].to_numpy()))
+    return ToxicityModel(lexicons[0], chars, *isotonic_of(rows.mapInPandas(raw, "s double, y double")))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int | None = None) -> DataFrame:
     """All columns of ``docs``, ``_toxicity`` and ``_markers`` (marking words found, restored, sorted).
 
     Scores depend on the text alone; null and empty texts hold no marker and get the

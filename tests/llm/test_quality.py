@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from palimpsest.llm import labelled, quality
 
@@ -56,3 +58,19 @@ def test_edges(spark):
 def test_bound_on_training_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     assert 20 < labelled.training_rows(docs, labels, "quality", 5, 0, max_rows=100).count() < 200
+
+
+def test_all_labelled_rows_train(spark):
+    ids = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit(1).alias("quality"))
+    kept = ids.filter("crc32(CAST(doc_id AS string)) % 5 <> 0").count()
+    assert kept > 200_000 and labelled.training_rows(ids, ids, "quality", 5, 0).count() == kept
+
+
+def test_calibration_by_ranges_is_that_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    s = np.round(rng.uniform(size=3000), 3)
+    y = (rng.uniform(size=3000) < s**2).astype(float)
+    pairs = spark.createDataFrame(pd.DataFrame({"s": s, "y": y}))
+    for a, b in zip(labelled.isotonic_of(pairs), labelled.isotonic(s, y), strict=True):
+        assert np.allclose(a, b, rtol=0, atol=1e-12)
+    assert [x.tolist() for x in labelled.isotonic_of(pairs.limit(0))] == [[0.0], [0.5]]
