@@ -300,3 +300,12 @@ def test_descent_goes_ten_levels_down_and_no_further(spark, tmp_path):
     spark.createDataFrame([(8**k,) for k in range(13)], "l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = sorted((r.depth, r.id) for r in registry.QUERIES["j10_descent"](spark, str(tmp_path)).collect())
     assert got == [(k, 8**k) for k in range(11)]
+
+
+def test_moves_add_up_as_one_by_one():
+    rng = np.random.default_rng(3)
+    y, rows, moves = rng.normal(size=(40, 3)), rng.integers(0, 40, 900), rng.normal(size=(900, 3))
+    expected = y.copy()
+    np.add.at(expected, rows, moves)
+    assert np.array_equal(raptor._moved(y, rows, moves), expected)
+    assert np.array_equal(raptor._moved(y, rows[:0], moves[:0]), y)
