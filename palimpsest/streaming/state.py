@@ -38,14 +38,14 @@ class _Machine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("value", _struct(self.schema))
+        self.names, self.told_names = _struct(self.schema).names, _struct(self.output).names
 
     def load(self) -> dict | None:
-        if not self.value.exists():
-            return None
-        return dict(zip(_struct(self.schema).names, self.value.get(), strict=True))
+        held = self.value.get()  # a call to the store each; a key that is new has none
+        return None if held is None else dict(zip(self.names, held, strict=True))
 
     def store(self, now: dict) -> None:
-        self.value.update(tuple(now[name] for name in _struct(self.schema).names))
+        self.value.update(tuple(now[name] for name in self.names))
 
     def wake_at(self, at: int | None) -> None:
         """One timer a key: the last that was asked for."""
@@ -57,8 +57,7 @@ class _Machine(StatefulProcessor):
             self.handle.registerTimer(at)
 
     def told(self, key: tuple, said: list[tuple]) -> Iterator[Row]:
-        names = _struct(self.output).names
-        return (Row(**dict(zip(names, (*key, *row), strict=True))) for row in said)
+        return (Row(**dict(zip(self.told_names, (*key, *row), strict=True))) for row in said)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         before, self.key = self.load(), key[0]

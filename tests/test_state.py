@@ -87,3 +87,22 @@ def test_retries_wait_and_ring(spark, tmp_path):
     assert got["a"][0][2] == 1000 + waits[0] and got["a"][2][2] == 100_000 + waits[1]
     assert got["b"] == [("delivered", 0, 1000)] and got["c"][0][0] == "quarantined" and got["d"][0][0] == "quarantined"
     assert [o for o, _, _ in got["e"]] == ["due", "delivered"]
+
+
+def test_a_key_costs_one_read():
+    class Value:
+        calls = 0
+
+        def get(self):
+            Value.calls += 1
+
+        def exists(self):
+            Value.calls += 1
+            return False
+
+    machine = state.Leases(0, 60_000)
+    machine.value = Value()
+    assert machine.load() is None and Value.calls == 1
+    held = {"owner_id": "a", "version": 1, "fencing_token": 1, "expires_at": 5, "state": "leased"}
+    machine.names, machine.value = list(held), type("Held", (), {"get": lambda self: tuple(held.values())})()
+    assert machine.load() == held
