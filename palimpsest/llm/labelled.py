@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
-
 
 def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the text ''."""
@@ -18,11 +16,15 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     return (F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int | None = None, distinct_texts: bool = False) -> DataFrame:
+def training_rows(
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int | None = None, distinct_texts: bool = False, described: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None
+) -> DataFrame:
     """(doc_id, text, y) of all labelled documents outside the held-out remainder.
 
-    A document with several labels has their mean. Labels are broadcast where Spark finds
-    them small; else both sides are dealt by id, texts of the held-out remainder left out.
+    A document with several labels has their mean. Both sides are always dealt by id, so that
+    disk grows with the input alone: a broadcast would end where the labels outgrow it. With
+    ``described`` (batches of doc_id and text to those of doc_id and ``x``, an array of doubles) the
+    documents are described first, and rows of (doc_id, x, y) are dealt instead of texts.
     ``distinct_texts`` keeps the smallest id of each text, so that copies do not count
     as independent evidence. Only a caller that gives ``max_rows`` gets about so many, chosen by a hash of the id.
     """
@@ -35,12 +37,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     )
     if max_rows is not None and (n := known.count()) > max_rows:
         known = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < int(2**32 * max_rows / n))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(id_remainder("doc_id", modulus) != held_out)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL").filter(id_remainder("doc_id", modulus) != held_out)
     if distinct_texts:
-        hashed = rows.select("doc_id", F.xxhash64("text").alias("h")).join(known, "doc_id")
+        hashed = rows.select("doc_id", F.xxhash64("text").alias("h")).join(known.hint("merge"), "doc_id")
         known = hashed.groupBy("h", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "y").groupBy("doc_id").agg(F.avg("y").alias("y"))
-    # written, so that Spark knows its size
-    return rows.join(materialize(known, "known"), "doc_id")
+    if described is not None:
+        rows = rows.mapInPandas(described, "doc_id long, x array<double>")
+    return rows.join(known.hint("merge"), "doc_id")
 
 
 Block = tuple[float, float, float, int]

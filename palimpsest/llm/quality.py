@@ -110,10 +110,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int | None = None) -> Qual
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in bounded_slices(batch, rows=1024):
-                yield pd.DataFrame({"y": part["y"], "fold": part["fold"], "x": list(statistics(part["text"].tolist()))})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "x": list(statistics(part["text"].tolist()))})
 
-    rows = training_rows(docs, labels, "quality", MODULUS, HELD_OUT, max_rows).withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int"))
-    table = materialize(rows.mapInPandas(describe, "y double, fold int, x array<double>").repartition(TRAIN_PARTITIONS), "quality_train")
+    rows = training_rows(docs, labels, "quality", MODULUS, HELD_OUT, max_rows, described=describe)
+    fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    table = materialize(rows.select("y", fold, "x").repartition(TRAIN_PARTITIONS), "quality_train")
     p = len(_STATISTICS)
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
