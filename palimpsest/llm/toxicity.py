@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, discard, free_name, materialize
+from palimpsest.llm.common import bounded_batches, discard, free_name, materialize, release
 from palimpsest.llm.labelled import calibrated, id_remainder, isotonic, isotonic_of, training_rows
 
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -352,7 +352,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int | None = None) -> Toxi
     """
     bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, "toxic", MODULUS, HELD_OUT, max_rows, distinct_texts=True)
-    rows = rows.select("text", "y", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    # written, so that the texts are dealt once for both the counts and the calibration
+    rows = materialize(rows.select("text", "y", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "toxic_rows")
+    release(docs.sparkSession)
     counts = [f"{kind}{k}" for kind in ("toxic", "other") for k in range(FOLDS)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -409,7 +411,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int | None = None) -> Toxi
         for batch in batches:
             yield pd.DataFrame({"s": [scorers[k].raw(t) for t, k in zip(batch["text"], batch["fold"], strict=True)], "y": batch["y"]})
 
-    return ToxicityModel(lexicons[0], chars, *isotonic_of(rows.mapInPandas(raw, "s double, y double")))
+    model = ToxicityModel(lexicons[0], chars, *isotonic_of(rows.mapInPandas(raw, "s double, y double")))
+    discard(rows)
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int | None = None) -> DataFrame:

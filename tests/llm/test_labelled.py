@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import quality
+from palimpsest.llm import quality, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,8 @@ def once(spark, docs) -> int:
 def test_quality_shuffles_statistics_not_texts(spark, tables):
     small, large = both_ways(spark, lambda: quality.fit(*tables))
     assert large < 0.3 * once(spark, tables[0]) and large < 1.2 * small
+
+
+def test_toxicity_shuffles_texts_once(spark, tables):
+    small, large = both_ways(spark, lambda: toxicity.fit(*tables))
+    assert large < once(spark, tables[0]) and large < 1.2 * small
