@@ -31,8 +31,6 @@ LANES = ["exact", "current", "historical", "episodes", "curated", "raptor"]
 #: Modes with an exact lane, and the record types that it has there.
 EXACT_TYPES = {"all": ["episode", "curated_memory", "curated_current"], "curated": ["curated_memory", "curated_current"], "episodes": ["episode"]}
 MAX_QUERY, MAX_ID = 4000, 512
-#: Rows that an exact lane looks at: four pages of 256.
-EXACT_SCAN = 1024
 #: Descent below a summary: levels, records of a level, records in all.
 MAX_DEPTH, MAX_LEVEL, MAX_VISITED = 10, 1024, 8192
 
@@ -184,7 +182,7 @@ def _lanes_of() -> Column:
     scoped = ((F.col("reach") == "project") & (F.col("scope") == "project")) | ((F.col("reach") == "global") & (F.col("scope") == "global"))
     wide = F.exists(F.col("p_terms"), lambda t: F.coalesce(F.col("folded").contains(t), F.lit(False)) | F.coalesce(F.col("tool_name") == t, F.lit(False)) | F.coalesce(F.col("error_fingerprint") == t, F.lit(False)))
     conditions = {
-        "exact": F.array_contains("p_types", kind) & F.col("reach").isin("project", "global") & in_window("created_at") & wide,
+        "exact": F.array_contains("p_types", kind) & F.col("reach").isin("project", "global") & in_window("created_at") & wide & F.col("holds"),
         "current": (kind == "curated_current") & policy & scoped & in_window("created_at"),
         "historical": (kind == "curated_memory") & policy & scoped & in_window("happened_at"),
         "episodes": (kind == "episode") & (F.col("reach") == "project") & in_window("happened_at"),
@@ -205,12 +203,12 @@ def lane_hits(records: DataFrame, asked: DataFrame, config: SearchConfig) -> Dat
     """What each lane of each request returns, before anything is judged: q, c, lane, place, score and the record.
 
     Records meet probes on their scope: a project, all projects, or a project that a
-    summary covers; requests that ask the same share a probe. Ranks are cut in each task
-    before rows are dealt by probe and lane, for which Spark's threshold of such cuts is
-    raised to the scan of an exact lane.
+    summary covers; requests that ask the same share a probe. Every record that its scope
+    and terms let in is ranked; ranks are cut in each task before rows are dealt by probe
+    and lane, for which Spark's threshold of such cuts is raised to a lane's rows.
     """
     cut = "spark.sql.optimizer.windowGroupLimitThreshold"
-    records.sparkSession.conf.set(cut, str(max(int(records.sparkSession.conf.get(cut)), EXACT_SCAN, config.per_lane)))
+    records.sparkSession.conf.set(cut, str(max(int(records.sparkSession.conf.get(cut)), config.per_lane)))
     guarded = records.filter((F.col("owner_host") == config.owner) & (F.col("status") == "active") & (F.col("secret_scan") == "passed") & op.not_expired(config.now, config.skew))
     reaches = F.array_compact(
         F.array(
@@ -227,12 +225,11 @@ def lane_hits(records: DataFrame, asked: DataFrame, config: SearchConfig) -> Dat
     product = F.aggregate(F.zip_with(F.col("vector").cast("array<double>"), F.col("p_vector"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = met.withColumn("dense", F.round(product, 6)).withColumn("dense", F.when(~F.isnan("dense") & (F.abs("dense") < float("inf")), F.col("dense")))
     holds = F.coalesce(F.forall(F.col("p_terms"), lambda t: F.col("folded_whole").contains(t)), F.lit(False))
-    listed = scored.select("*", F.inline(_lanes_of())).withColumn("holds", holds).drop("vector", "dense", "folded", "folded_whole", "p_vector", "p_terms", "p_types", "p_lanes", "p_after", "p_before", "c")
+    listed = scored.withColumn("holds", holds).select("*", F.inline(_lanes_of())).drop("vector", "dense", "holds", "folded", "folded_whole", "p_vector", "p_terms", "p_types", "p_lanes", "p_after", "p_before", "c")
     order = Window.partitionBy("probe", "lane").orderBy(F.desc("score"), "id")
     # a score below the least ranks behind all that are not, so it can go before ranks are given
     may = listed.filter((F.col("lane") == "exact") | (F.col("score") >= config.least_score))
-    first = may.withColumn("seen", F.row_number().over(order)).filter(F.col("seen") <= max(EXACT_SCAN, config.per_lane))
-    both = first.filter((F.col("lane") != "exact") | F.col("holds")).withColumn("seen", F.row_number().over(order)).filter(F.col("seen") <= config.per_lane).drop("seen", "holds")
+    both = may.withColumn("seen", F.row_number().over(order)).filter(F.col("seen") <= config.per_lane).drop("seen")
     return both.join(F.broadcast(shares.withColumnRenamed("p_lane", "lane")), ["probe", "lane"]).drop("probe")
 
 

@@ -105,11 +105,11 @@ pol AS (
 exact AS MATERIALIZED (
   SELECT request_id, 'exact' AS lane, 0 AS place, 1.0::DOUBLE AS raw, {_COLUMNS} FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id, reach ORDER BY id) AS n FROM (
-      SELECT q.request_id, q.terms, s.reach, r.*, row_number() OVER (PARTITION BY q.request_id, s.reach ORDER BY r.id) AS seen
+      SELECT q.request_id, q.terms, s.reach, r.*
       FROM guarded r, q, s
       WHERE (CASE q.mode WHEN 'all' THEN r.record_type <> 'raptor_summary' WHEN 'curated' THEN r.record_type LIKE 'curated%' WHEN 'episodes' THEN r.record_type = 'episode' ELSE false END)
         AND ((s.reach = 'project' AND r.project_id = q.project_id AND r.record_type <> 'raptor_summary') OR (s.reach = 'global' AND r.scope = 'global' AND q.everywhere)) AND {_IN_WINDOW.format('r.created_at')} AND {_WIDE}) r
-    WHERE seen <= 1024 AND {_HOLDS.format(_EXACT_TEXT).replace('q.terms', 'terms')}) WHERE n <= 20),
+    WHERE {_HOLDS.format(_EXACT_TEXT).replace('q.terms', 'terms')}) WHERE n <= 20),
 dense AS MATERIALIZED (SELECT request_id, lane, place, raw, {_COLUMNS} FROM ({_DENSE_LANES})),
 shown AS (
   SELECT h.*, CASE WHEN h.record_type = 'episode' THEN list_value(h.id) ELSE h.evidence_ids END AS ev, CASE WHEN h.record_type = 'episode' THEN 'project' ELSE h.scope END AS own_scope FROM (SELECT * FROM exact UNION ALL SELECT * FROM dense) h),

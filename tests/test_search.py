@@ -64,6 +64,17 @@ def test_lanes_are_cut_in_each_task_and_asked_once(spark, written):
     assert by_kind["reg"] and by_kind["reg"] == by_kind["loc"]
 
 
+def test_an_exact_lane_looks_at_every_record(spark, written):
+    """Records that hold all terms are found behind any number that hold only one of them."""
+    columns = written[0].records.schema
+    common = dict.fromkeys(columns.names) | {"record_type": "episode", "owner_host": "alpha", "status": "active", "secret_scan": "passed", "privacy_epoch": 1, "project_id": "p0", "scope": "project", "created_at": 1}
+    texts = [(f"ep-{n:05}", "the") for n in range(1100)] + [(f"ep-{n:05}", "over there") for n in range(1100, 1130)]
+    records = spark.createDataFrame([tuple((common | {"id": i, "text": text})[c] for c in columns.names) for i, text in texts], columns)
+    asked = op.gated(plan.requests(spark, SF).filter("request_id = 'no-vector'"), plan.control(spark), plan.CONFIG)
+    got = op.lane_hits(records, asked, plan.CONFIG).select("lane", "id").collect()
+    assert sorted((r.lane, r.id) for r in got) == [("exact", f"ep-{n:05}") for n in range(1100, 1120)]
+
+
 #: Records below a summary, and whether a descent to them stands.
 DESCENTS = {
     "two levels": ([("s1", "raptor_summary", ["s2", "e1"]), ("s2", "raptor_summary", ["e1", "e2"]), ("e1", "episode", None), ("e2", "episode", None)], {"e1", "e2"}),
