@@ -25,11 +25,10 @@ def st9_stream_current(spark, sf_dir):
 
 #: An order is a job: claimed when it is placed, its lease then renewed, released or completed by what the order came to.
 _AT = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(o_orderdate AS TIMESTAMP_NTZ))"
-_STEPS = {
-    "first": "SELECT o_orderkey, 0 AS seq, 'claim' AS kind, 'n1' AS owner_id, 0 AS held_version, 0 AS wait FROM orders",
-    "second": f"SELECT o_orderkey, 1, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'P' THEN 'release' ELSE 'renew' END, 'n1', CASE WHEN o_orderkey % 4 = 3 THEN 2 ELSE 1 END, CASE WHEN o_orderkey % 5 = 2 THEN {LEASE_MS} ELSE 1000 END FROM orders",
-    "third": f"SELECT o_orderkey, 2, 'claim', 'n2', 0, CASE WHEN o_orderkey % 3 = 0 THEN {3 * LEASE_MS + SKEW_MS} ELSE 2000 END FROM orders WHERE o_orderkey % 2 = 0",
-}
+_STEPS = f"""array(
+  named_struct('seq', 0L, 'kind', 'claim', 'owner_id', 'n1', 'held_version', 0L, 'wait', 0L),
+  named_struct('seq', 1L, 'kind', CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'P' THEN 'release' ELSE 'renew' END, 'owner_id', 'n1', 'held_version', CASE WHEN o_orderkey % 4 = 3 THEN 2L ELSE 1L END, 'wait', CASE WHEN o_orderkey % 5 = 2 THEN {LEASE_MS}L ELSE 1000L END),
+  CASE WHEN o_orderkey % 2 = 0 THEN named_struct('seq', 2L, 'kind', 'claim', 'owner_id', 'n2', 'held_version', 0L, 'wait', CASE WHEN o_orderkey % 3 = 0 THEN {3 * LEASE_MS + SKEW_MS}L ELSE 2000L END) END)"""
 
 
 @query(
@@ -45,16 +44,10 @@ SELECT k AS job_id, CASE WHEN stolen THEN 'n2' ELSE 'n1' END AS owner_id, CAST(v
 )
 def st8_lease_stream(spark, sf_dir):
     """ST8: leases under a stream of claims, renewals, releases and completions, one state a job."""
-    rows = table(spark, sf_dir, "orders")
-    rows.createOrReplaceTempView("_lease_orders")
-    steps = spark.sql(" UNION ALL ".join(sql.replace(" FROM orders", " FROM _lease_orders") for sql in _STEPS.values()))
-    events = steps.join(rows.select("o_orderkey", F.expr(_AT).alias("placed")), "o_orderkey").select(
-        F.col("o_orderkey").alias("job_id"), (F.col("placed") + F.col("wait")).alias("at"), F.col("seq").cast("long").alias("seq"), "kind", "owner_id", F.col("held_version").cast("long").alias("held_version"), F.lit(1).cast("long").alias("held_fence")
-    )
-    folder = new_folder(spark, "leases")
-    events.write.parquet(f"{folder}/events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
-    said = state.run(state.stateful(stream, "job_id", state.Leases(SKEW_MS, LEASE_MS, key="long")), folder)
+    orders = spark.readStream.schema(table(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders.parquet*")
+    steps = orders.select(F.col("o_orderkey").alias("job_id"), F.expr(_AT).alias("placed"), F.inline(F.array_compact(F.expr(_STEPS))))
+    events = steps.withColumns({"at": F.col("placed") + F.col("wait"), "held_fence": F.lit(1).cast("long")})
+    said = state.run(state.stateful(events, "job_id", state.Leases(SKEW_MS, LEASE_MS, key="long")), new_folder(spark, "leases"))
     return said.groupBy("job_id").agg(F.max_by(F.struct("owner_id", "version", "fencing_token", "expires_at", "state"), F.struct("version", "at")).alias("v")).select("job_id", "v.*")
 
 

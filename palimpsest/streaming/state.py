@@ -4,13 +4,20 @@ Each machine is one small function of a state and an event; a state store holds
 for each key, and timers of event time fire when the watermark passes. A stream stopped
 anywhere goes on from its checkpoint with the states that it had. Events of a key within
 a batch are taken in order of time and sequence, so a trigger bounds what a task sorts.
+
+Machines without timers keep the states of a bucket of keys as one value, since a key's
+own calls to the store and its own Arrow batch cost far more than its events do.
 """
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict, namedtuple
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +29,8 @@ from palimpsest.operators.temporal import arrived
 CURRENT_STATE = "kind string, content string, at long, members array<string>, version long"
 LEASE_STATE = "owner_id string, version long, fencing_token long, expires_at long, state string"
 RETRY_STATE = "attempts long, next_at long, deadline long, outcome string"
+#: Buckets that the keys of machines without timers are dealt to; a checkpoint is bound to their number.
+BUCKETS = 4096
 
 
 def _struct(ddl: str) -> StructType:
@@ -33,7 +42,8 @@ def _struct(ddl: str) -> StructType:
 class _Machine(StatefulProcessor):
     """One value a key, changed by events in order and by the timer that it asks for."""
 
-    schema, output, order, rings = "", "", (), True
+    #: ``reads`` names what a step reads of an event beside its order.
+    schema, output, order, reads, rings = "", "", (), (), True
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -60,16 +70,22 @@ class _Machine(StatefulProcessor):
         return (Row(**dict(zip(self.told_names, (*key, *row), strict=True))) for row in said)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        before, self.key = self.load(), key[0]
-        now = before
-        for event in sorted(rows, key=lambda r: tuple(r[c] for c in self.order)):
-            now, said = self.step(now, event)
-            yield from self.told(key, said)
+        before = self.load()
+        now, said = self.steps(key[0], before, rows)
+        yield from self.told(key, said)
         # what changes nothing asks for no timer either, so one that rang does not ring again
         if now is not None and now != before:
             self.store(now)
             self.wake_at(self.alarm(now))
 
+    def steps(self, key: Any, now: dict | None, events: Iterator[Any]) -> tuple[dict | None, list[tuple]]:
+        """A key's value after its events of a batch, and what they came to."""
+        self.key, told = key, []
+        for event in sorted(events, key=attrgetter(*self.order)):
+            now, said = self.step(now, event)
+            told += said
+        return now, told
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now, said = self.ring(self.load(), expiredTimerInfo.getExpiryTimeInMs())
         yield from self.told(key, said)
@@ -94,10 +110,52 @@ class _Machine(StatefulProcessor):
         pass
 
 
+class _Buckets(StatefulProcessor):
+    """A machine for many keys whose values are one text: a list of key and fields each.
+
+    Events come as texts too: pandas would make floats of longs where some are null.
+    """
+
+    def __init__(self, machine: _Machine, key: str) -> None:
+        self.machine, self.columns = machine, _read_columns(machine, key)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("bucket", _struct("held string"))
+        self.names, self.told_names = _struct(self.machine.schema).names, _struct(self.machine.output).names
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = self.value.get()
+        states = {k: dict(zip(self.names, fields, strict=True)) for k, *fields in json.loads(held[0])} if held else {}
+        event_of, by_key = namedtuple("Event", self.columns), defaultdict(list)
+        for frame in rows:
+            for fields in json.loads(f"[{','.join(frame['event'])}]"):
+                event = event_of._make(fields.values())
+                by_key[event[0]].append(event)
+        told, changed = [], False
+        for own, events in by_key.items():
+            before = states.get(own)
+            now, said = self.machine.steps(own, before, events)
+            told += [(own, *row) for row in said]
+            if now is not None and now != before:
+                states[own], changed = now, True
+        if changed:
+            self.value.update((json.dumps([(k, *(state[name] for name in self.names)) for k, state in states.items()]),))
+        if told:
+            # objects, for the same reason
+            yield pd.DataFrame({name: pd.Series(column, dtype=object) for name, column in zip(self.told_names, zip(*told, strict=True), strict=True)})
+
+    def close(self) -> None:
+        pass
+
+
+def _read_columns(machine: _Machine, key: str) -> list[str]:
+    return list(dict.fromkeys((key, *machine.order, *machine.reads)))
+
+
 class Current(_Machine):
     """The current value of a state, and the members of its open conflict."""
 
-    schema, order, rings = CURRENT_STATE, ("created_at", "id"), False
+    schema, order, reads, rings = CURRENT_STATE, ("created_at", "id"), ("effective_at", "content_id"), False
     output = f"state_key string, {CURRENT_STATE}"
 
     def __init__(self, skew: int) -> None:
@@ -120,7 +178,7 @@ class Leases(_Machine):
     timer, once expiry and clock skew have passed, and changes nothing: another may take it.
     """
 
-    schema, order = LEASE_STATE, ("at", "seq")
+    schema, order, reads = LEASE_STATE, ("at", "seq"), ("kind", "owner_id", "held_version", "held_fence")
     said = f"at long, kind string, outcome string, {LEASE_STATE}"
 
     def __init__(self, skew: int, lease_ms: int, key: str = "string") -> None:
@@ -175,7 +233,7 @@ class Retries(_Machine):
     deadline is quarantined when it is next touched.
     """
 
-    schema, order = RETRY_STATE, ("at", "seq")
+    schema, order, reads = RETRY_STATE, ("at", "seq"), ("result", "deadline")
     output = "job_id string, at long, outcome string, attempts long, next_at long"
 
     def __init__(self, base: int = 500, most: int = 30_000, skew: int = 0) -> None:
@@ -210,9 +268,12 @@ def stateful(events: DataFrame, key: str, machine: _Machine, lateness: str | Non
     With ``lateness`` the events' ``time`` (milliseconds) drives watermark and timers.
     ``initial`` has the key and the machine's state for keys that are known already.
     """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     if lateness is None:
         machine.rings = False  # without event time there are no timers
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        if initial is None:
+            texts = events.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket"), F.to_json(F.struct(*_read_columns(machine, key)), {"ignoreNullFields": "false"}).alias("event"))
+            return texts.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Buckets(machine, key), outputStructType=machine.output, outputMode="Update", timeMode="None")
     mode = "None"
     if lateness is not None:
         events, mode = events.withColumn("event_time", F.timestamp_millis(time)).withWatermark("event_time", lateness), "EventTime"

@@ -106,3 +106,49 @@ def test_a_key_costs_one_read():
     held = {"owner_id": "a", "version": 1, "fencing_token": 1, "expires_at": 5, "state": "leased"}
     machine.names, machine.value = list(held), type("Held", (), {"get": lambda self: tuple(held.values())})()
     assert machine.load() == held
+
+
+@pytest.mark.parametrize("cuts", [[500], [1, 2, 130, 499]])
+def test_keys_of_a_bucket_stay_apart(spark, tmp_path, monkeypatch, cuts):
+    """Leases without timers, many to a bucket, as one after the other for any cut; longs stay exact beside nulls."""
+    monkeypatch.setattr(state, "BUCKETS", 3)
+    rng, far = random.Random(7), 2**60 + 1
+    events, want, now, at = [], [], {}, far
+    for seq in range(500):
+        at += rng.randrange(1, 400)
+        job, kind = rng.choice([f'job"{n},é' for n in range(40)]), rng.choice(["claim", "renew", "release", "complete"])
+        held = now.get(job) if rng.random() < 0.7 else None
+        owner, version, fence = (held["owner_id"], held["version"], held["fencing_token"]) if held else (f"node{rng.randrange(2)}", None, None)
+        events.append((job, at, seq, kind, owner, version, fence))
+        now[job], outcome = state.lease_step(now.get(job), kind, owner, at, version, fence, 500, 5000)
+        want.append((job, at, kind, outcome, *(now[job] or dict.fromkeys(state.LEASE_FIELDS)).values()))
+    parts = [events[i:j] for i, j in zip([0, *cuts], [*cuts, len(events)], strict=True)]
+    for stream, _ in fed(spark, str(tmp_path), "events", [p for p in parts if p], EVENT):
+        said = state.run(state.stateful(stream, "job_id", state.Leases(500, 5000)), str(tmp_path)).drop("batch")
+    assert sorted(map(str, (tuple(r) for r in said.collect()))) == sorted(map(str, want))
+
+
+def test_a_bucket_costs_one_read_one_write_and_one_batch():
+    class Value:
+        calls, held = [], None
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, held):
+            self.calls.append("update")
+            Value.held = held
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    buckets = state._Buckets(state.Leases(0, 60_000, key="long"), "job_id")
+    buckets.init(Handle())
+    claims = [f'{{"job_id":{n},"at":5,"seq":0,"kind":"claim","owner_id":"a","held_version":null,"held_fence":null}}' for n in range(1000)]
+    told = [*buckets.handleInputRows((1,), iter([state.pd.DataFrame({"event": claims[:600]}), state.pd.DataFrame({"event": claims[600:]})]), None)]
+    assert [len(t) for t in told] == [1000] and Value.calls == ["get", "update"] and set(told[0].outcome) == {"fresh"}
+    again = [*buckets.handleInputRows((1,), iter([state.pd.DataFrame({"event": claims})]), None)]
+    # what changes nothing is not written
+    assert set(again[0].outcome) == {"held"} and Value.calls == ["get", "update", "get"]
